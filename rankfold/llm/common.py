@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space of all contracts: space and \t to \r.
 SPACE = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, GAP = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
 _made: dict[str, str] = {}
 
@@ -61,8 +62,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and nothing else; ``lower`` does the same, faster, where all bytes are ASCII."""
-    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+    """Lower-case A-Z and nothing else.
+
+    Where all bytes are ASCII ``lower`` does the same; else the letters are replaced one by one, which
+    passes over bytes and is several times as fast as ``translate``.
+    """
+    each = reduce(lambda text, pair: F.replace(text, F.lit(pair[0]), F.lit(pair[1])), zip(UPPER, LOWER), c)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(each)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -70,6 +76,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def words_of(text: Column, gap: str = GAP) -> Column:
+    """The runs of characters between gaps; none of a null text."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
+
+
 @dataclass
 class Carried:
     """A table whose columns have neutral names, so that no column of the caller can clash with ours."""

@@ -8,12 +8,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import ascii_lower, id_and_text, let
+from rankfold.llm.common import ascii_lower, id_and_text, let, words_of
 
 #: the characters that stand between words, once A-Z are lower-cased
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: words of texts with upper case: a maximal run of anything else
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: the same where A-Z are not lower-cased yet
+ANY_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: fixed values of the contract
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -156,7 +156,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = F.array(*(F.struct(F.lit(k).alias("rule"), F.lit(r[3]).alias("word"), F.lit(r[4]).alias("phrase")) for k, r in enumerate(every)))
     words = F.concat(F.lit(" "), F.btrim(F.regexp_replace(ascii_lower(F.col("text")), GAP, " ")), F.lit(" "))
     cuts = let(words, lambda s: F.flatten(F.transform(F.filter(table, lambda r: F.contains(s, r.word)), lambda r: _cuts(s, r))))
-    n_words = F.regexp_count("text", F.lit(ANY_WORD)).cast("long")
+    n_words = F.size(words_of(F.col("text"), ANY_GAP)).cast("long")
     rows = rows.select("rid", "doc_id", n_words.alias("n_words"), F.when(let(F.lower("text"), low), cuts).alias("cuts"))
     parts = rows.select("rid", "doc_id", "n_words", F.explode_outer("cuts").alias("c")).select("rid", "doc_id", "n_words", "c.*").repartition("rid")
     ahead = Window.partitionBy("rid", "rule").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)

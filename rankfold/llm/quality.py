@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import SPACE, WORD, carried, let
+from rankfold.llm.common import SPACE, WORD, carried, let, words_of
 
-GAP = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 PLAIN = r"""[\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'"()\-]+"""
-NAVIGATION = r"(?:[^|>»·•]{1,40}[|>»·•]){2}|^(?:home|menu|log ?in|sign ?in|sign ?up|next|previous|back to top|share this|skip to content)\W*$"
+NOT_SEPARATOR = "[^|>»·•]+"
+MENU = r"^(?:home|menu|log ?in|sign ?in|sign ?up|next|previous|back to top|share this|skip to content)\W*$"
 BOILERPLATE = (
-    r"javascript|cookie|lorem ipsum|terms of (?:use|service)|privacy policy|click here|read more|subscribe (?:to|now)|newsletter"
-    r"|page not found|enable js|follow us on|\{\{|\}\}|function ?\(|</?(?:div|span|script|style|a|p|br)\b"
-)
-
-
-def words_of(text: Column) -> Column:
-    return let(F.btrim(text, F.lit(SPACE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, GAP)))
+    "javascript", "cookie", "lorem ipsum", "terms of use", "terms of service", "privacy policy", "click here",
+    "read more", "subscribe", "newsletter", "page not found", "{{", "}}", "</",
+)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -47,10 +46,16 @@ def repeated_words(words: Column, window: int = 5) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) <= window, 0).otherwise(let(windows(h), count)))
 
 
+def has_boilerplate(text: Column) -> Column:
+    return let(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in BOILERPLATE)))
+
+
 def line_fails(line: Column, most_symbols: float) -> Column:
-    """A line with a word fails by punctuation (too many symbols), as navigation, or as boilerplate."""
+    """A line fails by punctuation (too many symbols), as navigation (a row of short items, or a menu's word), or as boilerplate."""
     symbols = F.length(F.regexp_replace(line, PLAIN, ""))
-    return (symbols > most_symbols * F.length(line)) | F.lower(line).rlike(NAVIGATION) | F.lower(line).rlike(BOILERPLATE)
+    row = let(F.length(F.regexp_replace(line, NOT_SEPARATOR, "")), lambda n: (n >= 2) & (F.length(line) <= 40 * (n + 1)))
+    menu = (F.length(line) <= 24) & F.lower(line).rlike(MENU)
+    return (symbols > most_symbols * F.length(line)) | row | menu
 
 
 def quality(docs: DataFrame, min_words: int = 10, most_repeats: int = 20, most_symbols: float = 0.2, most_lost: float = 0.5) -> DataFrame:
@@ -58,19 +63,22 @@ def quality(docs: DataFrame, min_words: int = 10, most_repeats: int = 20, most_s
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and clean_text to the
     columns of ``docs``; columns of these names are replaced. base_failed: fewer than ``min_words`` words, or
-    over ``most_repeats`` percent of them in repeated 5-word windows. Otherwise lines that fail line_fails are
-    removed, and a text that loses over ``most_lost`` of its characters on lines is not kept. clean_text has
-    the lines that are left. A null or empty text has no words, so it fails. Rows are judged one by one:
-    repeated rows alike, null ids too. An empty table gives an empty table. No rows are shuffled.
+    over ``most_repeats`` percent of them in repeated 5-word windows. Otherwise lines that fail line_fails or
+    hold boilerplate are removed, and a text that loses over ``most_lost`` of its characters on lines is not
+    kept. clean_text has the lines that are left. A null or empty text has no words, so it fails. Rows are
+    judged one by one: repeated rows alike, null ids too. An empty table gives an empty table. No rows are
+    shuffled.
     """
     own = carried(docs)
     text = F.coalesce(own.at("text"), F.lit(""))
 
-    def judged(t: Column) -> Column:
+    def bad_lines(t: Column) -> Column:
         lines = F.split(t, "\n")
-        with_word = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
-        good = F.filter(lines, lambda x: ~line_fails(x, most_symbols))
-        total = lambda a: F.length(F.array_join(a, ""))
+        symbols = F.filter(lines, lambda x: line_fails(x, most_symbols))
+        return F.when(has_boilerplate(t), F.filter(lines, lambda x: line_fails(x, most_symbols) | has_boilerplate(x))).otherwise(symbols)
+
+    def judged(t: Column) -> Column:
+        with_word = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
         return let(
             words_of(t),
             lambda w: F.struct(
@@ -79,16 +87,19 @@ def quality(docs: DataFrame, min_words: int = 10, most_repeats: int = 20, most_s
                 F.length(F.regexp_replace(t, NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
                 let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
                 repeated_words(w).cast("long").alias("n_repeat_words"),
-                let(good, lambda g: F.struct(F.array_join(g, "\n").alias("text"), total(g).alias("chars"))).alias("good"),
-                total(lines).alias("chars"),
+                F.length(F.array_join(bad_lines(t), "")).alias("lost"),
+                (F.length(t) - F.size(F.split(t, "\n")) + 1).alias("chars"),
             ),
         )
 
     rows = own.df.select("*", F.explode(F.array(let(text, judged))).alias("j"))
     failed = (F.col("j.n_words") < min_words) | (100 * F.col("j.n_repeat_words") > most_repeats * F.col("j.n_words"))
-    whole = F.col("j.good.chars") >= (1 - most_lost) * F.col("j.chars")
+    whole = F.col("j.lost") <= most_lost * F.col("j.chars")
+    clean = let(bad_lines(text), lambda bad: F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, x)), "\n"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return own.back(rows, **{n: F.col(f"j.{n}") for n in names}, base_failed=failed, kept=~failed & whole, clean_text=F.col("j.good.text"))
+    return own.back(
+        rows, **{n: F.col(f"j.{n}") for n in names}, base_failed=failed, kept=~failed & whole, clean_text=F.when(F.col("j.lost") == 0, text).otherwise(clean)
+    )
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +107,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_BOILERPLATE_SQL = " OR ".join(f"contains(lower(l), '{x}')" for x in BOILERPLATE)
 _PLAIN_SQL = PLAIN.replace("'", "''")
 SQL = {
     "op3_quality": rf"""
@@ -108,16 +120,18 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g WHERE g IS NOT
 p AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM c, range(5) AS x(k) WHERE n >= 2 GROUP BY r),
 l AS (SELECT r, unnest(ls) AS l FROM w),
 m AS (SELECT r, count(*) FILTER (has) - count(DISTINCT l) FILTER (has) AS n_dup_lines, sum(length(l)) AS chars,
-             coalesce(sum(length(l)) FILTER (NOT bad), 0) AS good
+             coalesce(sum(length(l)) FILTER (bad), 0) AS lost
       FROM (SELECT r, l, regexp_matches(l, '{WORD}') AS has,
                    length(regexp_replace(l, '{_PLAIN_SQL}', '', 'g')) > 0.2 * length(l)
-                   OR regexp_matches(lower(l), '{NAVIGATION}') OR regexp_matches(lower(l), '{BOILERPLATE}') AS bad FROM l) GROUP BY r),
+                   OR (seps >= 2 AND length(l) <= 40 * (seps + 1))
+                   OR (length(l) <= 24 AND regexp_matches(lower(l), '{MENU}')) OR {_BOILERPLATE_SQL} AS bad
+            FROM (SELECT *, length(regexp_replace(l, '{NOT_SEPARATOR}', '', 'g')) AS seps FROM l)) GROUP BY r),
 q AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
-             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, good, chars
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, lost, chars
       FROM w JOIN m USING (r) LEFT JOIN p USING (r)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND good >= 0.5 * chars AS kept FROM f
+       NOT base_failed AND lost <= 0.5 * chars AS kept FROM f
 """
 }
