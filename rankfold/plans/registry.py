@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from rankfold.plans import analytics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES}
+SQL: dict[str, str] = {**analytics.SQL}
