@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import SPACE, _remove, ascii_lower, carried, let, new_path
+from rankfold.llm.common import SPACE, _remove, ascii_lower, carried, let, new_path, stored
 
 HASH = ["h1", "h2"]
 
@@ -97,7 +97,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     own = carried(docs)
     rows = own.df.withColumn("t", F.coalesce(own.at("text"), F.lit("")))
     rows = rows.withColumn("rid", F.col(own.at("doc_id")).cast("string")).withColumn("rh", F.xxhash64("t"))
-    frequent = frequent_lines(rows.select("rid", "t"), "t", min_docs, min_chars, batches)
+    frequent = stored(frequent_lines(rows.select("rid", "t"), "t", min_docs, min_chars, batches), "frequent-lines")
     places = (
         rows.select("rid", "rh", F.posexplode(line_keys(F.col("t"))).alias("at", "key"))
         .filter(F.length("key") >= min_chars)
