@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import ascii_lower, carried
+from rankfold.llm.common import ascii_lower, carried, stored
 
 KEY = ["h1", "h2", "sha"]
 
@@ -43,6 +43,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     groups = groups.agg(F.count("*").alias("texts"), F.sum("n").alias("n"), pick("keep").alias("keep"))
     collided = F.raise_error(F.lit("two different texts share a 128-bit hash and a SHA-256"))
     groups = groups.select(*KEY, F.when(F.col("texts") == 1, F.col("n")).otherwise(collided.cast("long")).alias("n"), "keep")
+    groups = stored(groups, "exact-groups")  # read back, the join deals both sides itself and AQE can split a large group
     rows = own.df.select("*", norm.alias("norm")).select(*own.df.columns, *content_keys(F.col("norm")))
     return own.back(
         rows.join(groups, KEY),
