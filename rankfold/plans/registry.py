@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankfold.plans import analytics
+from rankfold.plans import analytics, retrieval
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES}
-SQL: dict[str, str] = {**analytics.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **retrieval.QUERIES}
+SQL: dict[str, str] = {**analytics.SQL, **retrieval.SQL}
