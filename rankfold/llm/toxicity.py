@@ -64,8 +64,8 @@ class FactorizationMachine:
         return 1.0 / (1.0 + float(np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, base_rate: float, factors: int = 8, steps: int = 200, rate: float = 0.05, decay: float = 2e-3, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the mean log loss over rows x (0/1, documents by features) with labels y; then w0 is moved half of the way from the log odds of the rows to those of ``base_rate``, as a missed toxic document costs more than the base rate alone says."""
+def fit(x: np.ndarray, y: np.ndarray, base_rate: float, factors: int = 8, steps: int = 300, rate: float = 0.02, decay: tuple[float, float] = (1e-3, 3e-3), seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
+    """Adam on the mean log loss, with ``decay`` of w and v, over rows x (0/1, documents by features) with labels y; then w0 is moved half of the way from the log odds of the rows to those of ``base_rate``, as a missed toxic document costs more than the base rate alone says."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     n, d = x.shape
@@ -78,7 +78,7 @@ def fit(x: np.ndarray, y: np.ndarray, base_rate: float, factors: int = 8, steps:
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32) / n
         xg = x.T @ g
         gv = x.T @ (g[:, None] * xv) - p[2] * xg[:, None]
-        for k, grad in enumerate((np.array([g.sum()]), xg + decay / n * 100 * p[1], gv + decay / n * 100 * p[2])):
+        for k, grad in enumerate((np.array([g.sum()]), xg + decay[0] * p[1], gv + decay[1] * p[2])):
             m[k] = 0.9 * m[k] + 0.1 * grad
             s[k] = 0.999 * s[k] + 0.001 * grad * grad
             p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
