@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe, exact_dedup, licenses, line_dedup, mixing, pii, quality, simhash, toxicity
+from rankfold.llm import bpe, exact_dedup, licenses, line_dedup, mixing, pii, quality, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,8 +11,9 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
     "op10_pii": pii.op10_pii,
 }
-SQL = {**line_dedup.SQL, **exact_dedup.SQL, **mixing.SQL, **bpe.SQL, **licenses.SQL, **pii.SQL, **quality.SQL, **simhash.SQL, **toxicity.SQL}
+SQL = {**line_dedup.SQL, **exact_dedup.SQL, **mixing.SQL, **bpe.SQL, **licenses.SQL, **pii.SQL, **quality.SQL, **simhash.SQL, **substring_dedup.SQL, **toxicity.SQL}
