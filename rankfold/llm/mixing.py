@@ -88,12 +88,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the columns of ``docs``."""
-    out = mix_sources(docs, **options)
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    clash = {c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")}
-    if clash:
-        raise ValueError(f"rename {sorted(clash)}: the decisions need these names")
-    return out.filter(F.col("copies") > 0).select(*(F.col(f"`{c}`") for c in docs.columns), times.alias("copy")).drop("copy")
+    names = [n if n in ("doc_id", "text", "source") else f"carried{i}" for i, n in enumerate(docs.columns)]
+    out = mix_sources(docs.toDF(*names), **options).filter(F.col("copies") > 0)
+    return out.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,8 +191,8 @@ def test_mixing(docs, empty):
     key = lambda r: repr((r.doc_id, r.text, r.source, r.copies))
     assert sorted(map(key, out)) == sorted(map(key, again))
     assert mixing.mix_sources(empty).count() == 0
-    mixed = mixing.mixed_documents(docs.drop("size"))
-    assert mixed.columns == docs.drop("size").columns and mixed.count() == sum(r.copies for r in out)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
 
 
 def test_targets_share_the_excess_again(spark):
