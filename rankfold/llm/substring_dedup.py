@@ -1,8 +1,10 @@
-"""Substring dedup: MinHash banding over paragraphs, exact Jaccard, components."""
+"""Substring dedup: MinHash banding over content-defined paragraphs, exact Jaccard, components."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -13,37 +15,78 @@ from pyspark.sql import functions as F
 from rankfold.llm.common import id_and_text, per_batch, stored
 from rankfold.llm.components import components
 
-#: 8 bands of 4 rows: of pairs at Jaccard 0.8, 98.5 percent share a band; at 0.9, 99.98
-BANDS, ROWS, WORDS = 8, 4, 5
+#: 4 bands of 2 rows: of pairs at Jaccard 0.8, 98.3 percent share a band; at 0.9, 99.87
+BANDS, ROWS, WORDS = 4, 2, 5
+#: a paragraph starts where a word pair's hash is below those of this many pairs on either side
+REACH = 6
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+MIX = _rng.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
 
 
-def paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Lines of at least ``min_words`` words, A-Z lower-cased, with their numbers."""
-    for at, line in enumerate((text or "").encode().lower().split(b"\n")):
-        words = line.split()
-        if len(words) >= min_words:
-            yield at, words
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * MIX[0] + b * MIX[1]
+    x ^= x >> np.uint64(31)
+    x *= MIX[2]
+    return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct hashes of five-word shingles; of fewer words, of all."""
-    n = max(1, len(words) - WORDS + 1)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + WORDS])) for i in range(n)], np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One 64-bit key for each band of the MinHash signature."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        least = np.minimum(least, (hashes[at : at + 4096, None] * MULTIPLIERS + SHIFTS).min(0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+@dataclass
+class Paragraphs:
+    """The paragraphs of a text: words [starts[i], stops[i]), named by the hash of the words.
 
+    Borders depend on the words near them alone, so a passage that stands in two texts is cut alike in both
+    but for its ends, wherever lines break. Neighbouring borders are over REACH words apart, 2 * REACH + 1 on
+    average. A text of fewer than five words has no paragraphs; one without borders, such as a word repeated,
+    is one paragraph. ``hashes`` are those of the text's five-word shingles.
+    """
 
-def name(words: list[bytes]) -> int:
-    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
+    starts: np.ndarray
+    stops: np.ndarray
+    names: list[int]
+    hashes: np.ndarray
+
+    def shingles(self, i: int) -> np.ndarray:
+        return np.unique(self.hashes[self.starts[i] : self.stops[i] - WORDS + 1])
+
+    def band_keys(self) -> np.ndarray:
+        """One row for each band: the keys of the paragraphs' MinHash signatures."""
+        padded, keys = np.append(self.hashes, np.uint64(0)), []
+        bounds = np.column_stack((self.starts, self.stops - WORDS + 1)).ravel()
+        for band in range(BANDS):
+            key = np.full(len(self.starts), band, np.uint64)
+            for k in range(band * ROWS, (band + 1) * ROWS):
+                key = mixed(key, np.minimum.reduceat(padded * MULTIPLIERS[k] + SHIFTS[k], bounds)[::2])
+            keys.append(key.view(np.int64))
+        return np.array(keys)
+
+
+def borders(words: list[bytes], reach: int = REACH) -> np.ndarray:
+    """Where paragraphs start, besides the first: strict minima to the left, minima to the right."""
+    each = np.fromiter(map(crc32, words), np.uint64, len(words))
+    pairs = mixed(each[:-1], each[1:])
+    inner = len(pairs) - 2 * reach
+    if inner <= 0:
+        return np.array([], np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(pairs, reach).min(1)
+    own = pairs[reach : reach + inner]
+    return np.flatnonzero((own < least[:inner]) & (own <= least[reach + 1 : reach + 1 + inner])) + reach
+
+
+def paragraphs(text: str | None) -> Paragraphs | None:
+    words = (text or "").encode().lower().split()
+    if len(words) < WORDS:
+        return None
+    flat = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    at = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(flat[i:j]) for i, j in zip(at[: len(words) - WORDS + 1].tolist(), ends[WORDS - 1 :].tolist())), np.uint64, len(words) - WORDS + 1)
+    cuts = borders(words)
+    starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(words)]))
+    names = [digest(flat[i:j], 1) - (1 << 63) for i, j in zip(at[starts].tolist(), ends[stops - 1].tolist())]
+    return Paragraphs(starts, stops, names, hashes)
 
 
 def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
@@ -73,58 +116,50 @@ def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple
     return links
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, similarity: float = 0.8, most: int = 4000) -> DataFrame:
-    """(doc_id, at, p, class, keep_doc, keep_at, removed): one row for each paragraph of at least ``min_words`` words.
-
-    A paragraph is a line; p is the hash of its lower-cased words. Different paragraphs that share a band are
-    linked if the exact Jaccard of their sets of five-word shingles is ``similarity`` or more; a band of over
-    ``most`` of them is dealt to all pairs of chunks of that size, so no task holds an unbounded group and no
-    pair is lost. Links make classes, and equal paragraphs are one. Of a class the paragraph with the
-    least (doc_id, at) stays, null ids last. Null and empty texts have no paragraphs; rows that repeat an id
-    give repeated paragraphs. An empty table gives an empty table.
-    """
-    rows = id_and_text(docs)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
+def _found(rows: DataFrame, kind: str) -> DataFrame:
     def make() -> Callable[..., Iterator[tuple]]:
         def run(ids: list, texts: list) -> Iterator[tuple]:
             for doc_id, text in zip(ids, texts):
-                for at, words in paragraphs(text, min_words):
-                    yield doc_id, at, name(words), band_keys(shingles(words))
+                if ps := paragraphs(text):
+                    rid, sizes = xxhash.xxh64_intdigest(text) - (1 << 63), ps.stops - ps.starts
+                    for at, (start, n, p, *keys) in enumerate(zip(ps.starts.tolist(), sizes.tolist(), ps.names, *ps.band_keys().tolist())):
+                        yield doc_id, rid, at, start, n, p, *keys
 
         return run
 
-    found = stored(per_batch(rows, f"doc_id {kind}, at int, p long, bands array<long>", make), "paragraphs")
-    members = stored(found.select("p", F.explode("bands").alias("key")).distinct(), "band-members")
-    shared = stored(members.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
-    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
-    place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at")).alias("place")
-    places = found.groupBy("p").agg(place)
-    wanted = members.select("p").distinct()
-    wanted = places.join(wanted, "p").select(F.col("place.doc_id").alias("wid"), F.col("place.at").alias("wat"))
-    wanted = wanted.groupBy("wid").agg(F.collect_set("wat").alias("wats"))
-    texts = rows.join(stored(wanted, "wanted"), F.col("doc_id").eqNullSafe(F.col("wid"))).select("wats", "text")
-
-    def make_sets() -> Callable[..., Iterator[tuple]]:
-        def run(wats: list, ts: list) -> Iterator[tuple]:
-            for w, text in zip(wats, ts):
-                w = set(w)
-                for at, words in paragraphs(text, min_words):
-                    if at in w:
-                        yield name(words), shingles(words).tobytes()
+    return per_batch(rows, f"doc_id {kind}, rid long, at int, start int, words int, p long, " + ", ".join(f"b{k} long" for k in range(BANDS)), make)
+
+
+def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, hashes) for the wanted paragraphs, each read from the texts of the one id named with it."""
+    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_set("p").alias("ps")).select(F.col("doc_id").alias("wid"), "ps"), "wanted")
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid"))).select("ps", "text")
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def run(wanted: list, texts: list) -> Iterator[tuple]:
+            for names, text in zip(map(set, wanted), texts):
+                if ps := paragraphs(text):
+                    for i, p in enumerate(ps.names):
+                        if p in names:
+                            names.discard(p)
+                            yield p, ps.shingles(i).tobytes()
 
         return run
 
-    sets = stored(per_batch(texts, "s long, hashes binary", make_sets).dropDuplicates(["s"]), "shingle-sets")
+    return stored(per_batch(texts, "s long, hashes binary", make).dropDuplicates(["s"]), "shingle-sets")
+
+
+def _links(members: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b): links that connect the similar paragraphs of each band; members are (key, p, g), g of a key."""
     chunks = F.ceil(F.col("g") / most)
     own = F.pmod("p", chunks)
     tasks = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.struct(F.least(own, c).alias("lo"), F.greatest(own, c).alias("hi")))
     dealt = members.select("p", "key", F.explode(tasks).alias("t")).select("p", F.xxhash64("key", "t.lo", "t.hi").alias("task"))
     dealt = dealt.join(sets, F.col("p") == F.col("s")).select("task", "p", "hashes")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "p")
 
-    def run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, np.ndarray]] = []
         now = None
 
@@ -142,26 +177,84 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, similarity: float = 0.
         if group:
             yield out()
 
-    links = dealt.mapInArrow(run_links, "a long, b long")
-    classes = components(links).withColumnRenamed("node", "n")
-    classed = places.join(classes, F.col("p") == F.col("n"), "left").select("p", "place", F.coalesce("root", "p").alias("class"))
-    firsts = stored(classed.groupBy("class").agg(F.min("place").alias("keep")), "class-firsts")
-    named = stored(classed.select("p", "class").join(firsts, "class").select(F.col("p").alias("np"), "class", "keep"), "classes")
-    out = found.select("doc_id", "at", "p").join(named, F.col("p") == F.col("np"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("at") == F.col("keep.at"))
-    return out.select("doc_id", "at", "p", "class", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.at").alias("keep_at"), (~stays).alias("removed"))
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def runs(items: list[tuple[int, int]]) -> dict[int, int]:
+    """Of (at, words), sorted: the words in the run of consecutive paragraphs that each stands in."""
+    out: dict[int, int] = {}
+    run: list[int] = []
+    total = 0
+    for at, words in [*items, (-1, 0)]:
+        if run and at != run[-1] + 1:
+            out |= dict.fromkeys(run, total)
+            run, total = [], 0
+        run.append(at)
+        total += words
+    return out
+
+
+def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.8, most: int = 4000) -> DataFrame:
+    """(doc_id, rid, at, start, words, class, keep_doc, run, removed): one row for each repeated paragraph.
+
+    Paragraphs are cut by content (see ``Paragraphs``): number ``at`` of a text is ``words`` words from word
+    ``start`` on; rid is the text's hash. Different paragraphs that share a band are linked if the exact
+    Jaccard of their sets of five-word shingles is ``similarity`` or more; a band of over ``most`` of them is
+    dealt to all pairs of chunks of that size, so no task holds an unbounded group and no pair is lost. Links
+    make classes, and paragraphs of the same words are one. Of a class the paragraph with the least
+    (doc_id, rid, at) stays, null ids last; others go if they stand in a run of repeated paragraphs of at
+    least ``min_words`` words. Null, empty and short texts have no paragraphs. Rows that repeat an id and its
+    text count as repeats but appear once, and that of the row that stays is kept. An empty table gives an
+    empty table.
+    """
+    rows = id_and_text(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = stored(_found(rows, kind), "paragraphs")
+    bands = [f"b{k}" for k in range(BANDS)]
+    each = stored(found.groupBy("p").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), *(F.first(b).alias(b) for b in bands)), "distinct-paragraphs")
+    members = each.select("p", F.explode(F.array(*bands)).alias("key"))
+    shared = stored(members.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
+    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
+    wanted = each.select("p", "doc_id").join(members.select("p").distinct(), "p")
+    links = _links(members, _shingle_sets(rows, wanted), similarity, most)
+    classes = components(links).withColumnRenamed("node", "m")
+    named = each.join(classes, F.col("p") == F.col("m"), "left").filter(F.col("m").isNotNull() | (F.col("n") > 1))
+    named = stored(named.select(F.col("p").alias("np"), F.coalesce("root", "p").alias("class")), "repeated-names")
+    hits = found.drop(*bands).join(named, F.col("p") == F.col("np")).drop("p", "np")
+    hits = stored(hits, "repeats")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
+    firsts = stored(hits.groupBy("class").agg(F.min(place).alias("keep")).select(F.col("class").alias("c"), "keep"), "class-firsts")
+    marked = hits.join(firsts, F.col("class") == F.col("c"))
+    item = F.struct("at", "start", "words", "class", F.col("keep.doc_id").alias("keep_doc"), (place != F.col("keep")).alias("other"))
+    marked = marked.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(item)).alias("items"))
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def run(ids: list, rids: list, lists: list) -> Iterator[tuple]:
+            for doc_id, rid, items in zip(ids, rids, lists):
+                long = runs([(x["at"], x["words"]) for x in items])
+                for x in items:
+                    n = long[x["at"]]
+                    yield doc_id, rid, x["at"], x["start"], x["words"], x["class"], x["keep_doc"], n, x["other"] and n >= min_words
+
+        return run
+
+    return per_batch(marked, f"doc_id {kind}, rid long, at int, start int, words int, class long, keep_doc {kind}, run int, removed boolean", make)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document with a removed paragraph or without: doc_id, n_paragraphs, n_removed, removed_lines, keep_ids."""
+    """Per document: doc_id, n_repeated and n_removed paragraphs, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = substring_dedup(docs).withColumnRenamed("doc_id", "id").groupBy("id").agg(
-        F.count("*").alias("n"), F.sum(F.col("removed").cast("long")).alias("k"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("at")))).alias("lines"), F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("keep_doc")))).alias("keeps"),
+    span = F.concat_ws("-", "start", F.col("start") + F.col("words"))
+    out = substring_dedup(docs).groupBy(F.col("doc_id").alias("id")).agg(
+        F.count_if(F.col("run") >= 15).alias("n"), F.count_if("removed").alias("k"),
+        F.sort_array(F.collect_list(F.when(F.col("removed"), F.struct("start", span.alias("span")))))["span"].alias("spans"),
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("keep_doc")))).alias("keeps"),
     )
     joined = docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    text = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ","), F.lit(""))
-    return joined.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_paragraphs"), F.coalesce("k", F.lit(0)).alias("n_removed"), text("lines").alias("removed_lines"), text("keeps").alias("keep_ids"))
+    return joined.select(
+        "doc_id", F.coalesce("n", F.lit(0)).alias("n_repeated"), F.coalesce("k", F.lit(0)).alias("n_removed"),
+        F.coalesce(F.array_join("spans", ","), F.lit("")).alias("removed_words"), F.coalesce("keeps", F.array().cast("array<long>")).alias("keep_ids"),
+    )
 
 
 SQL: dict[str, str] = {}

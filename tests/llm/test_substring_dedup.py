@@ -1,35 +1,93 @@
 import random
 
+import numpy as np
+import pytest
+
 from rankfold.llm import substring_dedup as S
 from tests.llm.test_operators import SCHEMA, row
 
 
 def brute(rows):
-    items = [(i, at, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))), w) for i, t in rows for at, w in S.paragraphs(t, 20)]
+    """All pairs of paragraphs; then the runs of repeated ones."""
+    items = []
+    for i, t in rows:
+        w = (t or "").lower().split()
+        if len(w) >= 5:
+            edges = [0, *S.borders([x.encode() for x in w]).tolist(), len(w)]
+            items += [(i, at, a, w[a:b], frozenset(tuple(w[k : k + 5]) for k in range(a, b - 4))) for at, (a, b) in enumerate(zip(edges, edges[1:]))]
     root = list(range(len(items)))
     for a in range(len(items)):
         for b in range(a):
-            x, y = items[a][2], items[b][2]
-            if items[a][3] == items[b][3] or len(x & y) / len(x | y) >= 0.8:
+            x, y = items[a][4], items[b][4]
+            if root[a] != root[b] and (items[a][3] == items[b][3] or len(x & y) / len(x | y) >= 0.8):
                 m, n = sorted((root[a], root[b]))
                 root = [m if r == n else r for r in root]
-    first = {}
-    for r, (i, at, _, _) in zip(root, items):
+    size, first = {}, {}
+    for r, (i, at, *_) in zip(root, items):
+        size[r] = size.get(r, 0) + 1
         first[r] = min(first.get(r, (1 << 60, 0)), (i, at))
-    return sorted((i, at, *first[r]) for r, (i, at, _, _) in zip(root, items))
+    out = []
+    for i in {x[0] for x in items}:
+        own = [(x, r) for x, r in zip(items, root) if x[0] == i and size[r] > 1]
+        run = S.runs([(x[1], len(x[3])) for x, _ in own])
+        out += [(i, x[1], x[2], len(x[3]), first[r][0], run[x[1]], first[r] != (i, x[1]) and run[x[1]] >= 15) for x, r in own]
+    return sorted(out)
 
 
-def test_substring_dedup_equals_brute_force(spark):
+def texts():
     rng = random.Random(6)
     words = [f"w{i}" for i in range(500)]
-    base = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
-    rows = [(900, None), (901, ""), (902, "short line")]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    base = [some(60) for _ in range(6)]
+    rows = [(900, None), (901, ""), (902, "short line"), (903, "same " * 3000), (904, "SAME\n" * 3000)]
     for i in range(60):
         copy = list(base[i % 6])
         if i % 3:
             copy[rng.randrange(60)] = "changed"
-        rows.append((i, "\n".join((" ".join(rng.choice(words) for _ in range(30)), " ".join(copy).title() if i % 2 else " ".join(copy), "tail"))))
+        rows.append((i, " ".join(some(rng.randrange(30))) + " " + ("\n" if i % 5 else " ").join(copy).title() + " " + "\t".join(some(30))))
+    rows += [(700 + i, " ".join(some(200))) for i in range(20)]
+    return rows
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rows = texts()
     docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(4)
-    got = sorted((r.doc_id, r.at, r.keep_doc, r.keep_at) for r in S.substring_dedup(docs).collect())
+    got = sorted((r.doc_id, r.at, r.start, r.words, r.keep_doc, r.run, r.removed) for r in S.substring_dedup(docs).collect())
     assert got == brute(rows)
+    removed = {x[0] for x in got if x[-1]}
+    assert set(range(6, 60, 3)) <= removed  # whole passages; a changed word leaves some with no long run
+    assert len(removed & set(range(6, 60))) >= 45
+    assert not {x[0] for x in got if x[-1]} & set(range(700, 720))
+    chunked = sorted((r.doc_id, r.at, r.start, r.words, r.keep_doc, r.run, r.removed) for r in S.substring_dedup(docs, most=2).collect())
+    assert chunked == got
     assert S.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"x{i}" for i in range(80))
+    docs = spark.createDataFrame([row(i, t) for i, t in [(1, text), (1, text), (None, text), (None, "other " + text)]], SCHEMA)
+    out = S.substring_dedup(docs).collect()
+    assert {(r.doc_id, r.removed) for r in out if r.start > 30} == {(1, False), (None, True)}
+    assert {r.keep_doc for r in out if r.start > 30} == {1}
+
+
+@pytest.mark.parametrize("n", [2, 5, 13, 14, 15, 40, 500])
+def test_borders_are_local_minima(n):
+    rng, reach = random.Random(n), S.REACH
+    words = [b"%d" % rng.randrange(9) for _ in range(n)]
+    crc = np.array([S.crc32(w) for w in words], np.uint64)
+    h = S.mixed(crc[:-1], crc[1:]).tolist()
+    naive = [i for i in range(reach, len(h) - reach) if h[i] < min(h[i - reach : i]) and h[i] <= min(h[i + 1 : i + reach + 1])]
+    assert S.borders(words).tolist() == naive
+
+
+def test_passages_of_fifty_words_are_cut_alike():
+    """A passage between other words shares whole paragraphs with its like in all but a few of a thousand."""
+    rng, found = random.Random(3), 0
+    words = [b"w%d" % i for i in range(3000)]
+    some = lambda n: rng.choices(words, k=n)
+    for _ in range(1000):
+        passage = some(51)
+        a, b = (S.paragraphs(b" ".join([*some(40), *passage, *some(40)]).decode()) for _ in range(2))
+        found += bool(set(a.names) & set(b.names))
+    assert found >= 960
