@@ -39,6 +39,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote, once nothing more is read from it."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _remove(df.sparkSession, path)
+
+
 def _remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         _remove(spark, path)
@@ -107,8 +113,22 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return c.df.select(*(F.col(c.at(n)).alias(n) for n in ("doc_id", "text", *more)))
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most 256 rows and, but for a single longer row, 4 MB."""
+    start = held = 0
+    sizes = [pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    for i in range(batch.num_rows):
+        own = sum(s[i] for s in sizes)
+        if i > start and (i - start >= 256 or held + own > 4_000_000):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += own
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def per_batch(docs: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
-    """Map rows through Python in pieces of at most 256 rows and, but for a single longer row, 4 MB.
+    """Map rows through Python piece by piece.
 
     ``make`` runs once per task and gives the function from the columns of a piece, as lists, to output rows.
     """
@@ -117,18 +137,6 @@ def per_batch(docs: DataFrame, schema: str, make: Callable[[], Callable[..., Ite
 
     out = to_arrow_schema(_parse_datatype_string(schema))
 
-    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        start = held = 0
-        sizes = [pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
-        for i in range(batch.num_rows):
-            own = sum(s[i] for s in sizes)
-            if i > start and (i - start >= 256 or held + own > 4_000_000):
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += own
-        if batch.num_rows > start:
-            yield batch.slice(start)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import id_and_text, per_batch, stored
+from rankfold.llm.common import dropped, id_and_text, per_batch, pieces, stored
 from rankfold.llm.components import components
 
 #: 4 bands of 2 rows: of pairs at Jaccard 0.8, 98.3 percent share a band; at 0.9, 99.87
 BANDS, ROWS, WORDS = 4, 2, 5
 #: a paragraph starts where a word pair's hash is below those of this many pairs on either side
 REACH = 6
+#: a band key on more than one in SHARE of all rows is dealt in parts
+SHARE = 1000
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -69,7 +72,7 @@ def borders(words: list[bytes], reach: int = REACH) -> np.ndarray:
     inner = len(pairs) - 2 * reach
     if inner <= 0:
         return np.array([], np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(pairs, reach).min(1)
+    least = reduce(np.minimum, (pairs[k : len(pairs) - reach + 1 + k] for k in range(reach)))
     own = pairs[reach : reach + inner]
     return np.flatnonzero((own < least[:inner]) & (own <= least[reach + 1 : reach + 1 + inner])) + reach
 
@@ -117,17 +120,43 @@ def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple
 
 
 def _found(rows: DataFrame, kind: str) -> DataFrame:
-    def make() -> Callable[..., Iterator[tuple]]:
-        def run(ids: list, texts: list) -> Iterator[tuple]:
-            for doc_id, text in zip(ids, texts):
-                if ps := paragraphs(text):
-                    rid, sizes = xxhash.xxh64_intdigest(text) - (1 << 63), ps.stops - ps.starts
-                    for at, (start, n, p, *keys) in enumerate(zip(ps.starts.tolist(), sizes.tolist(), ps.names, *ps.band_keys().tolist())):
-                        yield doc_id, rid, at, start, n, p, *keys
-
-        return run
+    """Every paragraph with its place, its name and its band keys."""
+    bands = [f"b{k}" for k in range(BANDS)]
 
-    return per_batch(rows, f"doc_id {kind}, rid long, at int, start int, words int, p long, " + ", ".join(f"b{k} long" for k in range(BANDS)), make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch)):
+            own = [(i, t, ps) for i, t in enumerate(piece.column(1).to_pylist()) if (ps := paragraphs(t))]
+            if not own:
+                continue
+            counts = [len(ps.starts) for *_, ps in own]
+            each = {
+                "rid": np.repeat(np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for _, t, _ in own], np.int64), counts),
+                "at": np.concatenate([np.arange(n, dtype=np.int32) for n in counts]),
+                "start": np.concatenate([ps.starts for *_, ps in own]).astype(np.int32),
+                "words": np.concatenate([ps.stops - ps.starts for *_, ps in own]).astype(np.int32),
+                "p": np.concatenate([np.array(ps.names, np.int64) for *_, ps in own]),
+                **dict(zip(bands, np.concatenate([ps.band_keys() for *_, ps in own], 1))),
+            }
+            ids = piece.column(0).take(pa.array(np.repeat([i for i, *_ in own], counts)))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, each.values())], names=["doc_id", *each])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, at int, start int, words int, p long, " + ", ".join(f"{b} long" for b in bands))
+
+
+def _repeated_keys(found: DataFrame) -> DataFrame:
+    """(key, p, n): band keys that stand on two rows or more, with the paragraphs that have them and how often.
+
+    The rows are dealt by key once, and counted where they arrive. Keys with more than one in SHARE of all
+    rows, at most SHARE of them, are told by a sketch of fixed size, and dealt in parts of that size.
+    """
+    keys = found.select("p", F.xxhash64("rid", "at").alias("place"), F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("key"))
+    top = keys.agg(F.count("*").alias("all"), F.expr(f"approx_top_k(key, {SHARE}, {16 * SHARE})").alias("top"))
+    top = top.select("all", F.explode("top").alias("t")).filter(F.col("t.count") * SHARE > F.col("all"))
+    hot = stored(top.select(F.col("t.item").alias("hk"), F.ceil(F.col("t.count") * SHARE / F.col("all")).alias("parts")), "hot-keys")
+    marked = keys.join(F.broadcast(hot), F.col("key") == F.col("hk"), "left")
+    dealt = marked.select("key", F.coalesce(F.pmod("place", "parts"), F.lit(-1).cast("long")).alias("part"), "p").repartition("key", "part")
+    counted = dealt.withColumn("rows", F.count("*").over(Window.partitionBy("key", "part"))).filter("rows > 1 or part >= 0")
+    return stored(counted.groupBy("key", "p").agg(F.count("*").alias("n")), "repeated-keys")
 
 
 def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,18 +239,19 @@ def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.
     rows = id_and_text(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = stored(_found(rows, kind), "paragraphs")
-    bands = [f"b{k}" for k in range(BANDS)]
-    each = stored(found.groupBy("p").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), *(F.first(b).alias(b) for b in bands)), "distinct-paragraphs")
-    members = each.select("p", F.explode(F.array(*bands)).alias("key"))
-    shared = stored(members.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
-    members = stored(members.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
-    wanted = each.select("p", "doc_id").join(members.select("p").distinct(), "p")
+    keys = _repeated_keys(found)
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
+    members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
+    marks = keys.groupBy("p").agg((F.max("n") > 1).alias("copied")).join(members.select(F.col("p").alias("mp")).distinct(), F.col("p") == F.col("mp"), "left")
+    marks = stored(marks.select(F.col("p").alias("kp"), "copied", F.col("mp").isNotNull().alias("near")), "candidate-names")
+    places = found.drop(*(f"b{k}" for k in range(BANDS))).join(marks, F.col("p") == F.col("kp")).drop("kp")
+    places = stored(places, "candidate-places")
+    dropped(found)
+    wanted = places.filter("near").groupBy("p").agg(F.min("doc_id").alias("doc_id"))
     links = _links(members, _shingle_sets(rows, wanted), similarity, most)
     classes = components(links).withColumnRenamed("node", "m")
-    named = each.join(classes, F.col("p") == F.col("m"), "left").filter(F.col("m").isNotNull() | (F.col("n") > 1))
-    named = stored(named.select(F.col("p").alias("np"), F.coalesce("root", "p").alias("class")), "repeated-names")
-    hits = found.drop(*bands).join(named, F.col("p") == F.col("np")).drop("p", "np")
-    hits = stored(hits, "repeats")
+    hits = places.join(classes, F.col("p") == F.col("m"), "left").filter(F.col("m").isNotNull() | F.col("copied"))
+    hits = stored(hits.select("doc_id", "rid", "at", "start", "words", F.coalesce("root", "p").alias("class")), "repeats")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
     firsts = stored(hits.groupBy("class").agg(F.min(place).alias("keep")).select(F.col("class").alias("c"), "keep"), "class-firsts")
     marked = hits.join(firsts, F.col("class") == F.col("c"))
