@@ -37,12 +37,12 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Paragraphs:
-    """The paragraphs of a text: words [starts[i], stops[i]), named by the hash of the words.
+    """The paragraphs of a text: words [starts[i], stops[i]), named by the hash of the words' hashes.
 
     Borders depend on the words near them alone, so a passage that stands in two texts is cut alike in both
     but for its ends, wherever lines break. Neighbouring borders are over REACH words apart, 2 * REACH + 1 on
     average. A text of fewer than five words has no paragraphs; one without borders, such as a word repeated,
-    is one paragraph. ``hashes`` are those of the text's five-word shingles.
+    is one paragraph. ``hashes`` are those of the text's five-word shingles, mixed from the words' 64-bit hashes.
     """
 
     starts: np.ndarray
@@ -81,14 +81,13 @@ def paragraphs(text: str | None) -> Paragraphs | None:
     words = (text or "").encode().lower().split()
     if len(words) < WORDS:
         return None
-    flat = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    at = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(flat[i:j]) for i, j in zip(at[: len(words) - WORDS + 1].tolist(), ends[WORDS - 1 :].tolist())), np.uint64, len(words) - WORDS + 1)
+    digest, n = xxhash.xxh64_intdigest, len(words) - WORDS + 1
+    each = np.fromiter(map(digest, words), np.uint64, len(words))
+    hashes = reduce(mixed, (each[k : n + k] for k in range(WORDS)))
     cuts = borders(words)
     starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(words)]))
-    names = [digest(flat[i:j], 1) - (1 << 63) for i, j in zip(at[starts].tolist(), ends[stops - 1].tolist())]
+    raw = each.tobytes()
+    names = [digest(raw[8 * i : 8 * j], 1) - (1 << 63) for i, j in zip(starts.tolist(), stops.tolist())]
     return Paragraphs(starts, stops, names, hashes)
 
 
