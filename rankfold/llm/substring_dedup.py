@@ -1,7 +1,8 @@
-"""Substring dedup: MinHash banding over content-defined paragraphs, exact Jaccard, components."""
+"""Substring dedup: MinHash banding over content-defined paragraphs and lines, exact Jaccard, components; exact passages by word grams."""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -20,6 +21,8 @@ from rankfold.llm.components import components
 BANDS, ROWS, WORDS = 4, 2, 5
 #: a paragraph starts where a word pair's hash is below those of this many pairs on either side
 REACH = 6
+#: passages are told by their grams of GRAM words; a gram is dealt by the least hash of its SEED-word shingles
+GRAM, SEED = 15, 8
 #: a band key on more than one in SHARE of all rows is dealt in parts
 SHARE = 1000
 _rng = np.random.default_rng(11)
@@ -39,6 +42,9 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Paragraphs:
     """The paragraphs of a text: words [starts[i], stops[i]), named by the hash of the words' hashes.
 
+    The first ``cut`` are cut by content; the others are the text's lines of five words or more that are not
+    one of those already. Names and band keys of the two kinds differ, so a line never meets its own parts.
+
     Borders depend on the words near them alone, so a passage that stands in two texts is cut alike in both
     but for its ends, wherever lines break. Neighbouring borders are over REACH words apart, 2 * REACH + 1 on
     average. A text of fewer than five words has no paragraphs; one without borders, such as a word repeated,
@@ -49,6 +55,7 @@ class Paragraphs:
     stops: np.ndarray
     names: list[int]
     hashes: np.ndarray
+    cut: int
 
     def shingles(self, i: int) -> np.ndarray:
         return np.unique(self.hashes[self.starts[i] : self.stops[i] - WORDS + 1])
@@ -58,7 +65,7 @@ class Paragraphs:
         padded, keys = np.append(self.hashes, np.uint64(0)), []
         bounds = np.column_stack((self.starts, self.stops - WORDS + 1)).ravel()
         for band in range(BANDS):
-            key = np.full(len(self.starts), band, np.uint64)
+            key = np.where(np.arange(len(self.starts)) < self.cut, band, band + BANDS).astype(np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
                 key = mixed(key, np.minimum.reduceat(padded * MULTIPLIERS[k] + SHIFTS[k], bounds)[::2])
             keys.append(key.view(np.int64))
@@ -78,7 +85,8 @@ def borders(words: list[bytes], reach: int = REACH) -> np.ndarray:
 
 
 def paragraphs(text: str | None) -> Paragraphs | None:
-    words = (text or "").encode().lower().split()
+    lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
+    words = [w for line in lines for w in line]
     if len(words) < WORDS:
         return None
     digest, n = xxhash.xxh64_intdigest, len(words) - WORDS + 1
@@ -86,9 +94,14 @@ def paragraphs(text: str | None) -> Paragraphs | None:
     hashes = reduce(mixed, (each[k : n + k] for k in range(WORDS)))
     cuts = borders(words)
     starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(words)]))
+    cut, ends = len(starts), np.cumsum([len(line) for line in lines])
+    parts = set(zip(starts.tolist(), stops.tolist()))
+    whole = [(j - len(line), j) for line, j in zip(lines, ends.tolist()) if len(line) >= WORDS and (j - len(line), j) not in parts]
+    if whole:
+        starts, stops = (np.concatenate((a, b)) for a, b in zip((starts, stops), np.array(whole).T))
     raw = each.tobytes()
-    names = [digest(raw[8 * i : 8 * j], 1) - (1 << 63) for i, j in zip(starts.tolist(), stops.tolist())]
-    return Paragraphs(starts, stops, names, hashes)
+    names = [digest(raw[8 * i : 8 * j], 1 if k < cut else 2) - (1 << 63) for k, (i, j) in enumerate(zip(starts.tolist(), stops.tolist()))]
+    return Paragraphs(starts, stops, names, hashes, cut)
 
 
 def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
@@ -222,11 +235,119 @@ def runs(items: list[tuple[int, int]]) -> dict[int, int]:
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of [start, stop) spans; those that touch become one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def lengths(spans: list[tuple[int, int]]) -> list[int]:
+    """For each span, the words of the run of touching spans that it stands in."""
+    joined = merged(spans)
+    heads = [a for a, _ in joined]
+    return [b - a for x, _ in spans for a, b in [joined[bisect_right(heads, x) - 1]]]
+
+
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(seeds, starts, hashes) of a text's GRAM-word grams: gram i is words [i, i + GRAM) and has hashes[i].
+
+    A gram's seed is the least hash of its SEED-word shingles, so equal grams have equal seeds. Grams follow
+    one another in runs of one seed, about 4.5 long and 8 at most, and no hash stands twice in a run: run k
+    starts at starts[k].
+    """
+    words = (text or "").encode().lower().split()
+    if len(words) < GRAM:
+        return None
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    for step in (1, 2, 4):
+        each = mixed(each[:-step], each[step:])
+    hashes, least = mixed(each[: SEED - GRAM], each[GRAM - SEED :]), each
+    for step in (1, 2, 4):
+        least = np.minimum(least[:-step], least[step:])
+    new = least[1:] != least[:-1]
+    for lag in range(1, min(SEED, len(new)) + 1):
+        new[lag - 1 :] |= hashes[lag:] == hashes[:-lag]
+    starts = np.concatenate(([0], np.flatnonzero(new) + 1))
+    return least[starts], starts, hashes
+
+
+def _runs_of_grams(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc_id, rid, start, seed, grams): the runs of grams of each text, a gram as 32 bits of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch)):
+            own = [(i, t, g) for i, t in enumerate(piece.column(1).to_pylist()) if (g := grams(t))]
+            if not own:
+                continue
+            counts = [len(seeds) for *_, (seeds, _, _) in own]
+            sizes = np.concatenate([np.diff(starts, append=len(hashes)) for *_, (_, starts, hashes) in own])
+            values = np.concatenate([hashes for *_, (_, _, hashes) in own]).astype(np.uint32).view(np.int32)
+            columns = [
+                piece.column(0).take(pa.array(np.repeat([i for i, *_ in own], counts))),
+                pa.array(np.repeat(np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for _, t, _ in own], np.int64), counts)),
+                pa.array(np.concatenate([starts for *_, (_, starts, _) in own]).astype(np.int32)),
+                pa.array(np.concatenate([seeds for *_, (seeds, _, _) in own]).view(np.int64)),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "seed", "grams"])
+
+    return rows.mapInArrow(run, f"doc_id {kind}, rid long, start int, seed long, grams array<int>")
+
+
+def exact_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, spans, keeps): the words of each text that repeat, word for word, a passage that stands before.
+
+    A passage is GRAM words or more, amid any other words and wherever lines break. Every gram of a text whose
+    like has a lesser place (doc_id, rid, start), null ids last, is in the spans to its last word; of grams that
+    overlap their own like, only the words behind it. keeps are the ids where the first ones stand.
+
+    Only runs whose seed stands on two rows are dealt on, and runs of the same grams are looked up once. Equal
+    grams are told by a 64-bit seed and 32 bits more.
+    """
+    rows = id_and_text(docs)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    found = stored(_runs_of_grams(rows, kind), "gram-runs")
+    twice = stored(found.groupBy(F.col("seed").alias("twice")).agg(F.count("*").alias("n")).filter("n > 1").select("twice"), "repeated-seeds")
+    runs_ = stored(found.join(twice, F.col("seed") == F.col("twice"), "left_semi").withColumn("like", F.xxhash64("grams")), "repeated-runs")
+    dropped(found)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
+    kinds = stored(runs_.groupBy("seed", "like").agg(F.min(place).alias("p"), F.first("grams").alias("grams")), "kinds-of-runs")
+    each = kinds.select("seed", "like", "p", F.posexplode("grams").alias("at", "gram"))
+    first = F.struct("p.last", "p.doc_id", "p.rid", (F.col("p.start") + F.col("at")).alias("start"))
+    firsts = stored(each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first")), "gram-firsts")
+    known = each.join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g"))).groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"))
+    known = stored(known.agg(F.collect_list(F.struct("at", "first")).alias("firsts")), "known-runs")
+    met = runs_.join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
+    own = lambda x: F.col("doc_id").eqNullSafe(x["first"]["doc_id"]) & (F.col("rid") == x["first"]["rid"])
+    met = met.withColumn("firsts", F.filter("firsts", lambda x: ~(own(x) & (F.col("start") + x["at"] == x["first"]["start"]))))
+    low = lambda x: F.greatest(F.col("start") + x["at"], F.when(own(x), x["first"]["start"] + GRAM))
+    met = met.filter(F.size("firsts") > 0).select(
+        "doc_id", "rid", F.transform("firsts", low).alias("low"), F.transform("firsts", lambda x: F.col("start") + x["at"] + GRAM).alias("high"),
+        F.array_distinct(F.transform("firsts", lambda x: x["first"]["doc_id"])).alias("keeps"),
+    )
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    met = met.groupBy("doc_id", "rid").agg(flat("low"), flat("high"), F.array_distinct(F.flatten(F.collect_set("keeps"))).alias("keeps"))
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def run(ids: list, rids: list, lows: list, highs: list, keeps: list) -> Iterator[tuple]:
+            for doc_id, rid, low, high, keep in zip(ids, rids, lows, highs, keeps):
+                yield doc_id, rid, [{"start": a, "stop": b} for a, b in merged(list(zip(low, high)))], keep
+
+        return run
+
+    return stored(per_batch(met, f"doc_id {kind}, rid long, spans array<struct<start:int,stop:int>>, keeps array<{kind}>", make), "exact-passages")
+
+
 def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.8, most: int = 4000) -> DataFrame:
     """(doc_id, rid, at, start, words, class, keep_doc, run, removed): one row for each repeated paragraph.
 
-    Paragraphs are cut by content (see ``Paragraphs``): number ``at`` of a text is ``words`` words from word
-    ``start`` on; rid is the text's hash. Different paragraphs that share a band are linked if the exact
+    Paragraphs are cut by content, and lines are paragraphs too (see ``Paragraphs``): number ``at`` of a text is
+    ``words`` words from word ``start`` on; rid is the text's hash. Different paragraphs that share a band are linked if the exact
     Jaccard of their sets of five-word shingles is ``similarity`` or more; a band of over ``most`` of them is
     dealt to all pairs of chunks of that size, so no task holds an unbounded group and no pair is lost. Links
     make classes, and paragraphs of the same words are one. Of a class the paragraph with the least
@@ -260,9 +381,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.
     def make() -> Callable[..., Iterator[tuple]]:
         def run(ids: list, rids: list, lists: list) -> Iterator[tuple]:
             for doc_id, rid, items in zip(ids, rids, lists):
-                long = runs([(x["at"], x["words"]) for x in items])
-                for x in items:
-                    n = long[x["at"]]
+                for x, n in zip(items, lengths([(x["start"], x["start"] + x["words"]) for x in items])):
                     yield doc_id, rid, x["at"], x["start"], x["words"], x["class"], x["keep_doc"], n, x["other"] and n >= min_words
 
         return run
@@ -270,19 +389,38 @@ def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.
     return per_batch(marked, f"doc_id {kind}, rid long, at int, start int, words int, class long, keep_doc {kind}, run int, removed boolean", make)
 
 
-def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_repeated and n_removed paragraphs, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    span = F.concat_ws("-", "start", F.col("start") + F.col("words"))
-    out = substring_dedup(docs).groupBy(F.col("doc_id").alias("id")).agg(
+def removals(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, k, spans, keeps): repeated and removed paragraphs and lines; the words that go, in disjoint spans, and where they stay."""
+    span = F.struct("start", (F.col("start") + F.col("words")).alias("stop"))
+    exact = exact_passages(docs).select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), "spans", "keeps")
+    near = substring_dedup(docs).groupBy("doc_id").agg(
         F.count_if(F.col("run") >= 15).alias("n"), F.count_if("removed").alias("k"),
-        F.sort_array(F.collect_list(F.when(F.col("removed"), F.struct("start", span.alias("span")))))["span"].alias("spans"),
-        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("keep_doc")))).alias("keeps"),
+        F.collect_list(F.when(F.col("removed"), span)).alias("spans"), F.collect_set(F.when(F.col("removed"), F.col("keep_doc"))).alias("keeps"),
     )
+    both = near.unionByName(exact).groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.filter("keeps", lambda x: x.isNotNull()))))).alias("keeps"),
+    )
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        def run(ids: list, ns: list, ks: list, spans: list, keeps: list) -> Iterator[tuple]:
+            for doc_id, n, k, x, keep in zip(ids, ns, ks, spans, keeps):
+                yield doc_id, n, k, ",".join(f"{a}-{b}" for a, b in merged([(y["start"], y["stop"]) for y in x])), keep
+
+        return run
+
+    kind = both.schema["doc_id"].dataType.simpleString()
+    return per_batch(both, f"doc_id {kind}, n long, k long, spans string, keeps array<{kind}>", make)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_repeated and n_removed paragraphs and lines, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = removals(docs).withColumnRenamed("doc_id", "id")
     joined = docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_repeated"), F.coalesce("k", F.lit(0)).alias("n_removed"),
-        F.coalesce(F.array_join("spans", ","), F.lit("")).alias("removed_words"), F.coalesce("keeps", F.array().cast("array<long>")).alias("keep_ids"),
+        F.coalesce("spans", F.lit("")).alias("removed_words"), F.coalesce("keeps", F.array().cast("array<long>")).alias("keep_ids"),
     )
 
 

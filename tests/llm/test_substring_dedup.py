@@ -91,3 +91,50 @@ def test_passages_of_fifty_words_are_cut_alike():
         a, b = (S.paragraphs(b" ".join([*some(40), *passage, *some(40)]).decode()) for _ in range(2))
         found += bool(set(a.names) & set(b.names))
     assert found >= 960
+
+
+def brute_passages(rows):
+    """Every gram against the first place of its like, word by word."""
+    first, out = {}, {}
+    texts = sorted({(i is None, i or 0, S.xxhash.xxh64_intdigest(t) - (1 << 63), t, i) for i, t in rows if t})
+    for last, i, rid, t, own in texts:
+        w, gone = t.encode().lower().split(), set()
+        for a in range(len(w) - 14):
+            at = first.setdefault(tuple(w[a : a + 15]), (last, i, rid, a))
+            if at != (last, i, rid, a):
+                gone |= set(range(max(a, at[3] + 15) if at[:3] == (last, i, rid) else a, a + 15))
+        if gone:
+            out[own, rid] = gone
+    return out
+
+
+def test_exact_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    base, rows = [some(n) for n in (14, 15, 16, 20, 25, 40)], texts()
+    rows += [(2000 + i, " ".join([*some(rng.randrange(40)), *base[i % 6], *base[(i * 7 + 1) % 6], *some(rng.randrange(40))])) for i in range(60)]
+    rows += [(3000 + p, " ".join((some(p) * 60)[: 22 + 3 * p])) for p in range(1, 18)] + [rows[-1], (None, rows[-2][1])]
+    docs = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA).repartition(4)
+    got = {(r.doc_id, r.rid): {k for a, b in r.spans for k in range(a, b)} for r in S.exact_passages(docs).collect()}
+    assert got == brute_passages(rows)
+    assert S.exact_passages(docs.limit(0)).count() == 0
+
+
+def test_short_lines_and_edited_lines_are_removed_whole(spark):
+    """Of lines of 15 to 50 words that repeat amid others, every word goes; lines with one word edited go as near copies."""
+    rng, rows, want = random.Random(9), [], {}
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    for n in (15, 20, 25, 30, 50):
+        for sep in ("\n", " "):
+            line, i = some(n), len(rows)
+            rows += [(i + k, sep.join(map(" ".join, (some(40), line, some(40))))) for k in range(2)]
+            want[i + 1] = f"40-{40 + n}"
+    line = some(60)
+    for at in (0, 30, 59):
+        rows.append((len(rows), "\n".join(map(" ".join, (some(40), line, some(40))))))
+        line = [*line[:at], "edited", *line[at + 1 :]]
+    got = {r.doc_id: r.spans for r in S.removals(spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)).collect()}
+    assert {i: got.get(i) for i in want} == want
+    for i in (21, 22):  # a near paragraph may reach a word beyond the line
+        a, b = map(int, got[i].split("-"))
+        assert a <= 40 and 100 <= b <= 105
