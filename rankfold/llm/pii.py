@@ -6,12 +6,13 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import carried, id_and_text, per_row, stored
+from rankfold.llm.common import carried, id_and_text, per_batch, per_row, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -23,6 +24,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile("[A-Za-z\x80-\U0010ffff]{2,}")
 _TERMS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
+#: bits of the sketch of told terms
+SKETCH = 1 << 24
 
 Span = tuple[int, int]
 
@@ -77,50 +80,51 @@ def low(text: str) -> str:
     return text.encode().lower().decode()
 
 
-def context(text: str, span: Span, taken: list[Span], near: int, reach: int) -> Iterator[tuple[str, int, int]]:
-    """The ``near`` terms on each side of a span, in its line, within ``reach`` characters and outside other entities."""
-    s, e = span
-    left = max(text.rfind("\n", 0, s) + 1, s - reach)
-    right = text.find("\n", e, e + reach)
-    right = min(len(text), e + reach) if right < 0 else right
-    whole = lambda m: (m.start() == 0 or not TERM.match(text[m.start() - 1] * 2)) and (m.end() == len(text) or not TERM.match(text[m.end()] * 2))
-    clear = lambda m: all(m.end() <= a or m.start() >= b for a, b in taken if a < right and b > left)
-    before = [m for m in TERM.finditer(text, left, s) if whole(m) and clear(m)][-near:]
-    after = [m for m in TERM.finditer(text, e, right) if whole(m) and clear(m)][:near]
-    for m in (*before, *after):
-        yield low(m[0]), m.start(), m.end()
+def tokens(text: str) -> set[bytes]:
+    """The distinct terms of a text, those in entities too, and single letters."""
+    return set(text.encode().translate(_TERMS).split())
 
 
-ROW = "n_email long, n_ip long, n_card long, n_phone long, base string, ents array<long>, pairs array<struct<c:long,t:long>>, occ array<struct<c:long,t:long,s:int,e:int>>"
+def clear_terms(text: str, spans: list[Span]) -> Iterator[tuple[bytes, int, int]]:
+    """(term, start, end): every term of a text that no entity overlaps."""
+    taken = sorted(spans)
+    at = past = 0
+    for m in TERM.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            past, at = max(past, taken[at][1]), at + 1
+        if past <= m.start():
+            yield m[0].encode().lower(), m.start(), m.end()
 
 
-def entity_row(text: str | None, near: int, reach: int) -> tuple:
+def terms_of(text: str, spans: list[Span]) -> set[bytes]:
+    if spans:
+        return {t for t, _, _ in clear_terms(text, spans)}
+    return {t for t in tokens(text) if len(t) > 4 or len(t.decode()) > 1}
+
+
+def _signed(term: bytes) -> int:
+    h = xxhash.xxh64_intdigest(term)
+    return h - (1 << 64) if h >> 63 else h
+
+
+ROW = "n_email long, n_ip long, n_card long, n_phone long, base string, ents array<long>, terms array<long>"
+
+
+def entity_row(text: str | None) -> tuple:
     text = text or ""
     found = base_spans(text)
     flat = [(k, s, e) for k in KINDS for s, e in found[k]]
-    occ = []
-    if flat:
-        taken = sorted({(s, e) for _, s, e in flat})
-        for k, s, e in flat:
-            c = _hash(f"{k}:{low(text[s:e])}")
-            window = [x for x in taken if x[1] > s - reach and x[0] < e + reach] if len(taken) < 200 else _around(taken, s - reach, e + reach)
-            occ += [(c, _hash(t), a, b) for t, a, b in context(text, (s, e), window, near, reach)]
     ents = sorted({_hash(f"{k}:{low(text[s:e])}") for k, s, e in flat})
-    pairs = [{"c": c, "t": t} for c, t in sorted({(c, t) for c, t, _, _ in occ})]
-    return (*(len(found[k]) for k in KINDS), listed(flat), ents, pairs, [dict(zip("ctse", o)) for o in occ])
+    terms = sorted(map(_signed, terms_of(text, [(s, e) for _, s, e in flat]))) if flat else []
+    return (*(len(found[k]) for k in KINDS), listed(flat), ents, terms)
 
 
-def _around(taken: list[Span], left: int, right: int) -> list[Span]:
-    from bisect import bisect_left
-
-    # spans of a kind are disjoint, so few of four kinds start before ``left`` and reach past it
-    at = max(0, bisect_left(taken, (left, 0)) - 8)
-    stop = bisect_left(taken, (right, 0))
-    return taken[at:stop]
+def _spans(text: str) -> list[Span]:
+    return [x for spans in base_spans(text).values() for x in spans]
 
 
 def term_documents(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """(t, n): in how many documents each term stands, summed up in each task before the shuffle."""
+    """(t, nt): in how many documents each term stands outside entities, summed up in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
@@ -131,7 +135,8 @@ def term_documents(rows: DataFrame, most: int = 500_000) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0):
-                for t in set((text.as_py() or "").encode().translate(_TERMS).split()):
+                text = text.as_py() or ""
+                for t in terms_of(text, _spans(text)):
                     counts[t] = counts.get(t, 0) + 1
                 if len(counts) >= most:
                     yield out()
@@ -142,16 +147,46 @@ def term_documents(rows: DataFrame, most: int = 500_000) -> DataFrame:
     return rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
 
 
-def find_pii(docs: DataFrame, near: int = 5, reach: int = 200, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
+def _occurrences(keyed: DataFrame, kind: str, told: DataFrame) -> DataFrame:
+    """(doc_id, k, t, s, e): every occurrence of a told term outside entities, and of the few that share a bit of its hash.
+
+    Tasks hold a sketch of the told terms of fixed size; what it lets through is joined with them.
+    """
+    bits = np.zeros(SKETCH, bool)
+    bits[told.select(F.pmod("t", F.lit(SKETCH)).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
+    held = keyed.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+
+    def make() -> Callable[..., Iterator[tuple]]:
+        sketch = held.value
+
+        def told_maybe(t: bytes) -> bool:
+            b = xxhash.xxh64_intdigest(t) % SKETCH
+            return bool(sketch[b >> 3] >> (b & 7) & 1)
+
+        def run(ids: list, ks: list, texts: list) -> Iterator[tuple]:
+            for doc_id, k, text in zip(ids, ks, texts):
+                hits = {t for t in tokens(text or "") if told_maybe(t)}
+                if hits:
+                    yield from ((doc_id, k, _signed(t), s, e) for t, s, e in clear_terms(text, _spans(text)) if t in hits)
+
+        return run
+
+    return per_batch(keyed, f"doc_id {kind}, k long, t long, s int, e int", make)
+
+
+def find_pii(docs: DataFrame, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """One row for each row of ``docs``: doc_id, k (hash of the text), n_email, n_ip, n_card, n_phone, base, terms.
 
     base lists the pattern spans as kind:start:end, terms those of the method, as generalise:... or remove:....
-    A protected entity c is the lower-cased text of a pattern span. A term t stands in its context if it is one
-    of the ``near`` next terms on a side, in the same line and within ``reach`` characters. Over all documents,
-    with D documents, PMI(c; t) = log2(D * docs(c, t) / (docs(c) * docs(t))) says how many of the
-    IC(c) = log2(D / docs(c)) bits of the entity the term gives away. In a context of c, a term is generalised
-    from ``generalise`` * IC(c) on, and removed from ``remove`` * IC(c) on, if both stand together in at least
-    ``support`` documents.
+    A protected entity c is the lower-cased text of a pattern span; a term t is two letters or more, outside all
+    entities. Both are counted over whole documents: with D documents, PMI(c; t) = log2(D * docs(c, t) /
+    (docs(c) * docs(t))) says how many of the IC(c) = log2(D / docs(c)) bits of the entity the term gives away.
+    A term is told to be generalised from ``generalise`` * IC(c) on, and removed from ``remove`` * IC(c) on, for
+    any entity that it stands together with in at least ``support`` documents; every occurrence of it is then
+    treated, in all documents, the stronger way.
+
+    As docs(c, t) is at most docs(c) and docs(t), only entities in ``support`` documents and terms in
+    ``support`` to D ** (1 - generalise) * docs(c) ** generalise of them can pass; only those are paired.
 
     A null text is empty and has no spans; each row counts as a document, repeated rows and null ids too, and
     rows that repeat id and text get equal results. An empty table gives an empty table.
@@ -161,23 +196,33 @@ def find_pii(docs: DataFrame, near: int = 5, reach: int = 200, support: int = 2,
     keyed = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), "text")
 
     def make() -> Callable[..., tuple]:
-        return lambda doc_id, k, text: (doc_id, k, *entity_row(text, near, reach))
-
-    base = stored(per_row(keyed, f"doc_id {kind}, k long, {ROW}", make), "pii-entities")
-    n_docs = base.count()
-    pairs = base.select(F.explode("pairs").alias("p")).groupBy("p.c", "p.t").agg(F.count("*").alias("nct")).filter(F.col("nct") >= support)
-    entities = base.select(F.explode("ents").alias("c")).groupBy("c").agg(F.count("*").alias("nc"))
-    told = pairs.join(entities, "c").join(term_documents(rows), "t")
-    ic = F.log2(F.lit(float(max(n_docs, 1))) / F.col("nc"))
-    pmi = F.log2(F.col("nct") * F.lit(float(max(n_docs, 1))) / (F.col("nc").cast("double") * F.col("nt")))
-    action = F.when(ic <= 0, None).when(pmi >= remove * ic, "remove").when(pmi >= generalise * ic, "generalise")
-    told = told.select("c", "t", action.alias("action")).filter("action is not null")
-    occ = base.filter(F.size("occ") > 0).select(F.col("doc_id").cast("string").alias("rid"), "k", F.explode("occ").alias("o")).select("rid", "k", "o.*")
-    spans = occ.join(told, ["c", "t"]).groupBy("rid", "k", "s", "e").agg(F.max("action").alias("action"))
+        return lambda doc_id, k, text: (doc_id, k, *entity_row(text))
+
+    base = per_row(keyed, f"doc_id {kind}, k long, {ROW}", make).withColumn("row", F.monotonically_increasing_id())
+    base = stored(base, "pii-entities")
+    n_docs = float(max(base.count(), 1))
+    held = base.select("row", F.explode("ents").alias("c"))
+    entities = stored(held.groupBy(F.col("c").alias("ec")).agg(F.count("*").alias("nc")).filter((F.col("nc") >= support) & (F.col("nc") < n_docs)), "pii-shared")
+    held = stored(held.join(entities, F.col("c") == F.col("ec")).select("row", "c", "nc"), "pii-held")
+    room = lambda nc: n_docs ** (1 - generalise) * F.pow(nc.cast("double"), F.lit(generalise)) * 1.000001
+    widest = held.groupBy(F.col("row").alias("wr")).agg(room(F.max("nc")).alias("room"))
+    most = held.agg(room(F.max("nc")).alias("m")).first()["m"] or 0.0
+    rare = stored(term_documents(rows).filter((F.col("nt") >= support) & (F.col("nt") <= most)), "pii-rare-terms")
+    terms = base.join(widest, F.col("row") == F.col("wr")).select(F.col("row").alias("tr"), "room", F.explode("terms").alias("x"))
+    terms = terms.join(rare, F.col("x") == F.col("t")).filter(F.col("nt") <= F.col("room")).select("tr", "t", "nt")
+    pairs = held.join(terms, (F.col("row") == F.col("tr")) & (F.col("nt") <= room(F.col("nc"))))
+    pairs = pairs.groupBy("c", "t", "nc", "nt").agg(F.count("*").alias("nct")).filter(F.col("nct") >= support)
+    ic = F.log2(F.lit(n_docs) / F.col("nc"))
+    pmi = F.log2(F.col("nct") * F.lit(n_docs) / (F.col("nc").cast("double") * F.col("nt")))
+    action = F.when(pmi >= remove * ic, "remove").when(pmi >= generalise * ic, "generalise")
+    told = pairs.select(F.col("t").alias("told"), action.alias("action")).filter("action is not null").groupBy("told").agg(F.max("action").alias("action"))
+    told = stored(told, "pii-told")
+    occ = _occurrences(keyed, kind, told.withColumnRenamed("told", "t")).withColumn("rid", F.col("doc_id").cast("string"))
+    spans = occ.join(told, F.col("t") == F.col("told")).groupBy("rid", "k", "s", "e").agg(F.max("action").alias("action"))
     spans = spans.groupBy("rid", "k").agg(F.array_sort(F.collect_list(F.struct("action", "s", "e"))).alias("spans"))
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.action, x.s.cast("string"), x.e.cast("string"))), ",")
     spans = spans.select(F.col("rid").alias("srid"), F.col("k").alias("sk"), text.alias("terms"))
-    out = base.drop("ents", "pairs", "occ").withColumn("rid", F.col("doc_id").cast("string"))
+    out = base.drop("ents", "terms", "row").withColumn("rid", F.col("doc_id").cast("string"))
     out = out.join(spans, F.col("rid").eqNullSafe(F.col("srid")) & (F.col("k") == F.col("sk")), "left")
     return out.select("doc_id", "k", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
