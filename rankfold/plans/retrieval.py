@@ -100,11 +100,12 @@ def farthest_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trilateration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterative retrieval for the first query, scored by similarity."""
-    first = np.array(query_set(spark, sf_dir).orderBy("q").first()["embedding"], np.float64)
-    q = F.array(*(F.lit(float(x)) for x in first))
-    start = [r["d"] for r in V.anchors(corpus(spark, sf_dir), 4).collect()]
-    return V.trilateration_search(corpus(spark, sf_dir), start, lambda rows: rows.select("d", ((1 + V.cosine(F.col("embedding"), q)) / 2).alias("score")))
+    """Iterative retrieval for each query of the stated set, scored by similarity."""
+    docs, qs = corpus(spark, sf_dir), query_set(spark, sf_dir).select("q", F.col("embedding").alias("qe"))
+    start = [r["d"] for r in V.anchors(docs, 4).collect()]
+    score = (1 + V.cosine(F.col("embedding"), F.col("qe"))) / 2
+    ids = [r["q"] for r in qs.select("q").orderBy("q").limit(V.MOST_QUERIES + 1).collect()]
+    return V.trilateration_searches(docs, ids, start, lambda rows: rows.join(F.broadcast(qs), "q").select("q", "d", score.alias("score")))
 
 
 _LISTS = """, ng AS (SELECT query_idx, doc_id, row_number() OVER (PARTITION BY query_idx ORDER BY dist_to_gt, doc_id::BIGINT) AS r FROM results WHERE is_gt = 0 QUALIFY r <= 20),
