@@ -34,6 +34,15 @@ def knn_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 10)
 
 
+@query("""SELECT q, d, s AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS d,
+round(greatest(-1, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE r <= 10""")
+def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all rows, itself too, for every row whose id is divisible by 50; queries in blocks of MOST_QUERIES ids."""
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("q"), "embedding")
+    return V.top_k_in_blocks(rows.select(F.col("vec_id").alias("d"), "embedding"), queries, 10, 50)
+
+
 @query(SCORED_SQL + " SELECT q, d, s, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM sim WHERE s >= 0.2) WHERE r <= 5")
 def threshold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = similarities(spark, sf_dir).filter("s >= 0.2").select("q", "d", "s")
