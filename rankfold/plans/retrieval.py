@@ -204,6 +204,12 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.md5(P.norm_text(F.col("text"))).alias("normal"))
 
 
+@query()
+def normalised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of every language; no SQL, for its lower differs on letters that are not ASCII."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.norm_text(F.col("text"))).alias("normal"))
+
+
 @query("SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...[truncated]' ELSE text END) AS cut, length(text) > 500 AS was_cut FROM documents")
 def truncated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.truncated(F.col("text"))).alias("cut"), (F.length("text") > 500).alias("was_cut"))

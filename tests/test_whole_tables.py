@@ -14,3 +14,17 @@ def test_knn_search_takes_all_queries_and_rows(spark, sf_dir):
     queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "embedding")
     docs = rows.select(F.col("vec_id").alias("d"), "embedding")
     assert sorted(V.top_k_in_blocks(docs, queries, 10, 50, most=3).collect()) == sorted(out)
+
+
+def brute_normal(t):
+    gap = " \t\n\x0b\x0c\r"
+    low = "".join(c for c in t.lower() if c not in P.PUNCTUATION)
+    for c in gap:
+        low = low.replace(c, " ")
+    return hashlib.md5(" ".join(x for x in low.split(" ") if x).encode()).hexdigest()
+
+
+def test_normalised_documents_equal_brute_force_in_every_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r.doc_id: r.normal for r in QUERIES["normalised_documents"](spark, sf_dir).collect()}
+    assert got == {r.doc_id: None if r.text is None else brute_normal(r.text) for r in docs} and len({r.lang for r in docs}) > 1
