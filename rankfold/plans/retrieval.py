@@ -58,6 +58,16 @@ def vector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("d") == F.col("q") + 50).select("q", "d", r6(V.cosine(F.col("a"), F.col("b"))).alias("cosine"), *(c.alias(n) for n, c in m.items()))
 
 
+@query(SCORED_SQL + """ SELECT q, d, round(list_cosine_similarity(qv.e, dv.e), 6) + 0.0 AS cosine, round(list_inner_product(qv.e, dv.e), 6) + 0.0 AS dot, round(list_distance(qv.e, dv.e), 6) AS l2,
+round(1 / (1 + list_distance(qv.e, dv.e)), 6) AS euclidean, round(1 - list_cosine_similarity(qv.e, dv.e), 6) AS cosine_distance, round(-list_inner_product(qv.e, dv.e), 6) + 0.0 AS ip FROM qv, dv""")
+def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of every query of the stated set and every corpus row; tasks hold the queries, the corpus is not shuffled."""
+    a = query_set(spark, sf_dir).select("q", F.col("embedding").alias("a"))
+    b = corpus(spark, sf_dir).select("d", F.col("embedding").alias("b"))
+    m = {n: r6(V.metric(k)(F.col("a"), F.col("b"))) for n, k in (("dot", "dot"), ("l2", "l2"), ("euclidean", "euclidean"), ("cosine_distance", "cosine"), ("ip", "ip"))}
+    return b.crossJoin(F.broadcast(a)).select("q", "d", r6(V.cosine(F.col("a"), F.col("b"))).alias("cosine"), *(c.alias(n) for n, c in m.items()))
+
+
 @query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")

@@ -28,3 +28,8 @@ def test_normalised_documents_equal_brute_force_in_every_language(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r.doc_id: r.normal for r in QUERIES["normalised_documents"](spark, sf_dir).collect()}
     assert got == {r.doc_id: None if r.text is None else brute_normal(r.text) for r in docs} and len({r.lang for r in docs}) > 1
+
+
+def test_pair_metrics_cover_all_pairs(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert QUERIES["pair_metrics"](spark, sf_dir).count() == 50 * (n - 50)
