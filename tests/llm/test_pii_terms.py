@@ -38,3 +38,11 @@ def test_terms_equal_brute_force_over_whole_documents(spark):
     got = {r.doc_id: r.terms for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert "remove:0:6" in got[100] and ":7:13" in got[200]  # a line above and far off; without the entity
+
+
+def test_a_long_span_is_remembered_in_texts_of_many_spans():
+    """The mail's local part holds twelve addresses; the words of its domain are no terms, however many spans there are."""
+    mail = ".".join(["1.2.3.4"] * 12) + "@inner.domain.org near"
+    many = "5.6.7.8 " * 300 + mail + " 5.6.7.8"
+    assert len(pii._spans(many)) > 300
+    assert [{t for t, _, _ in pii.clear_terms(x, pii._spans(x))} for x in (mail, many)] == [{b"near"}] * 2
