@@ -1,109 +1,66 @@
-"""Substring dedup: MinHash banding over content-defined paragraphs and lines, exact Jaccard, components; exact passages by word grams."""
+"""Substring dedup: MinHash banding over paragraphs, exact Jaccard, components; repeated passages of any place by word grams."""
 
 from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import reduce
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm.common import dropped, id_and_text, per_batch, pieces, stored
 from rankfold.llm.components import components
+from rankfold.llm.words import Sketch, Words, mixed, name_hash
 
-#: 4 bands of 2 rows: of pairs at Jaccard 0.8, 98.3 percent share a band; at 0.9, 99.87
-BANDS, ROWS, WORDS = 4, 2, 5
-#: a paragraph starts where a word pair's hash is below those of this many pairs on either side
-REACH = 6
+#: 6 bands of 2 rows: of pairs at Jaccard 0.8, 99.8 percent share a band; at 0.9, 99.995
+BANDS, ROWS, WORDS = 6, 2, 5
 #: passages are told by their grams of GRAM words; a gram is dealt by the least hash of its SEED-word shingles
 GRAM, SEED = 15, 8
-#: a band key on more than one in SHARE of all rows is dealt in parts
-SHARE = 1000
+#: spans fewer words apart are one passage, with what stands between
+APART = 5
+#: bits of the sketches that say which seeds and paragraphs repeat
+SKETCH = 1 << 26
+#: a band key of at most so many paragraphs is one list
+LISTED = 64
 _rng = np.random.default_rng(11)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-MIX = _rng.integers(1, 1 << 63, 3, dtype=np.uint64) | np.uint64(1)
 
 
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * MIX[0] + b * MIX[1]
-    x ^= x >> np.uint64(31)
-    x *= MIX[2]
-    return x ^ (x >> np.uint64(29))
-
-
-@dataclass
 class Paragraphs:
-    """The paragraphs of a text: words [starts[i], stops[i]), named by the hash of the words' hashes.
+    """The paragraphs of five words or more of a column of texts: words [start, stop) of text ``text``, number ``at`` in it.
 
-    The first ``cut`` are cut by content; the others are the text's lines of five words or more that are not
-    one of those already. Names and band keys of the two kinds differ, so a line never meets its own parts.
-
-    Borders depend on the words near them alone, so a passage that stands in two texts is cut alike in both
-    but for its ends, wherever lines break. Neighbouring borders are over REACH words apart, 2 * REACH + 1 on
-    average. A text of fewer than five words has no paragraphs; one without borders, such as a word repeated,
-    is one paragraph. ``hashes`` are those of the text's five-word shingles, mixed from the words' 64-bit hashes.
+    A paragraph is what stands between blank lines, or a line in a text without them. ``names`` are 128 bits of its
+    words' hashes; its shingles are the hashes of five words in a row.
     """
 
-    starts: np.ndarray
-    stops: np.ndarray
-    names: list[int]
-    hashes: np.ndarray
-    cut: int
+    def __init__(self, texts: pa.Array):
+        self.words = Words(texts)
+        text, at, a, b = self.words.paragraphs()
+        long = b - a >= WORDS
+        self.text, self.at, self.start, self.stop = text[long], at[long], a[long], b[long]
+        raw = memoryview(self.words.hashes.tobytes())
+        self.names = [xxhash.xxh3_128_digest(raw[8 * i : 8 * j]) for i, j in zip(self.start.tolist(), self.stop.tolist())]
+        self.hashes = self.words.shingles(WORDS)
 
     def shingles(self, i: int) -> np.ndarray:
-        return np.unique(self.hashes[self.starts[i] : self.stops[i] - WORDS + 1])
+        return np.unique(self.hashes[self.start[i] : self.stop[i] - WORDS + 1])
 
     def band_keys(self) -> np.ndarray:
         """One row for each band: the keys of the paragraphs' MinHash signatures."""
         padded, keys = np.append(self.hashes, np.uint64(0)), []
-        bounds = np.column_stack((self.starts, self.stops - WORDS + 1)).ravel()
+        bounds = np.column_stack((self.start, self.stop - WORDS + 1)).ravel()
         for band in range(BANDS):
-            key = np.where(np.arange(len(self.starts)) < self.cut, band, band + BANDS).astype(np.uint64)
+            key = np.full(len(self.start), band, np.uint64)
             for k in range(band * ROWS, (band + 1) * ROWS):
                 key = mixed(key, np.minimum.reduceat(padded * MULTIPLIERS[k] + SHIFTS[k], bounds)[::2])
             keys.append(key.view(np.int64))
         return np.array(keys)
 
 
-def borders(words: list[bytes], reach: int = REACH) -> np.ndarray:
-    """Where paragraphs start, besides the first: strict minima to the left, minima to the right."""
-    each = np.fromiter(map(crc32, words), np.uint64, len(words))
-    pairs = mixed(each[:-1], each[1:])
-    inner = len(pairs) - 2 * reach
-    if inner <= 0:
-        return np.array([], np.int64)
-    least = reduce(np.minimum, (pairs[k : len(pairs) - reach + 1 + k] for k in range(reach)))
-    own = pairs[reach : reach + inner]
-    return np.flatnonzero((own < least[:inner]) & (own <= least[reach + 1 : reach + 1 + inner])) + reach
-
-
-def paragraphs(text: str | None) -> Paragraphs | None:
-    lines = [line.split() for line in (text or "").encode().lower().split(b"\n")]
-    words = [w for line in lines for w in line]
-    if len(words) < WORDS:
-        return None
-    digest, n = xxhash.xxh64_intdigest, len(words) - WORDS + 1
-    each = np.fromiter(map(digest, words), np.uint64, len(words))
-    hashes = reduce(mixed, (each[k : n + k] for k in range(WORDS)))
-    cuts = borders(words)
-    starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(words)]))
-    cut, ends = len(starts), np.cumsum([len(line) for line in lines])
-    parts = set(zip(starts.tolist(), stops.tolist()))
-    whole = [(j - len(line), j) for line, j in zip(lines, ends.tolist()) if len(line) >= WORDS and (j - len(line), j) not in parts]
-    if whole:
-        starts, stops = (np.concatenate((a, b)) for a, b in zip((starts, stops), np.array(whole).T))
-    raw = each.tobytes()
-    names = [digest(raw[8 * i : 8 * j], 1 if k < cut else 2) - (1 << 63) for k, (i, j) in enumerate(zip(starts.tolist(), stops.tolist()))]
-    return Paragraphs(starts, stops, names, hashes, cut)
-
-
 def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what all pairs of a group at ``similarity`` or more connect.
 
@@ -131,82 +88,81 @@ def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple
     return links
 
 
+def _over(rows: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+    """Map the rows piece by piece, each as one batch of arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in (p for batch in batches for p in pieces(batch)):
+            if (out := make(piece)) is not None and out.num_rows:
+                yield out
+
+    return rows.mapInArrow(run, schema)
+
+
 def _found(rows: DataFrame, kind: str) -> DataFrame:
     """Every paragraph with its place, its name and its band keys."""
     bands = [f"b{k}" for k in range(BANDS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in (p for batch in batches for p in pieces(batch)):
-            own = [(i, t, ps) for i, t in enumerate(piece.column(1).to_pylist()) if (ps := paragraphs(t))]
-            if not own:
-                continue
-            counts = [len(ps.starts) for *_, ps in own]
-            each = {
-                "rid": np.repeat(np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for _, t, _ in own], np.int64), counts),
-                "at": np.concatenate([np.arange(n, dtype=np.int32) for n in counts]),
-                "start": np.concatenate([ps.starts for *_, ps in own]).astype(np.int32),
-                "words": np.concatenate([ps.stops - ps.starts for *_, ps in own]).astype(np.int32),
-                "p": np.concatenate([np.array(ps.names, np.int64) for *_, ps in own]),
-                **dict(zip(bands, np.concatenate([ps.band_keys() for *_, ps in own], 1))),
-            }
-            ids = piece.column(0).take(pa.array(np.repeat([i for i, *_ in own], counts)))
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, each.values())], names=["doc_id", *each])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, at int, start int, words int, p long, " + ", ".join(f"{b} long" for b in bands))
-
-
-def _repeated_keys(found: DataFrame) -> DataFrame:
-    """(key, p, n): band keys that stand on two rows or more, with the paragraphs that have them and how often.
-
-    The rows are dealt by key once, and counted where they arrive. Keys with more than one in SHARE of all
-    rows, at most SHARE of them, are told by a sketch of fixed size, and dealt in parts of that size.
-    """
-    keys = found.select("p", F.xxhash64("rid", "at").alias("place"), F.explode(F.array(*(f"b{k}" for k in range(BANDS)))).alias("key"))
-    top = keys.agg(F.count("*").alias("all"), F.expr(f"approx_top_k(key, {SHARE}, {16 * SHARE})").alias("top"))
-    top = top.select("all", F.explode("top").alias("t")).filter(F.col("t.count") * SHARE > F.col("all"))
-    hot = stored(top.select(F.col("t.item").alias("hk"), F.ceil(F.col("t.count") * SHARE / F.col("all")).alias("parts")), "hot-keys")
-    marked = keys.join(F.broadcast(hot), F.col("key") == F.col("hk"), "left")
-    dealt = marked.select("key", F.coalesce(F.pmod("place", "parts"), F.lit(-1).cast("long")).alias("part"), "p").repartition("key", "part")
-    counted = dealt.withColumn("rows", F.count("*").over(Window.partitionBy("key", "part"))).filter("rows > 1 or part >= 0")
-    return stored(counted.groupBy("key", "p").agg(F.count("*").alias("n")), "repeated-keys")
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+        ps = Paragraphs(piece.column(1))
+        if not ps.names:
+            return None
+        each = {
+            "doc_id": piece.column(0).take(pa.array(ps.text)),
+            "rid": pa.array(ps.words.rids[ps.text]),
+            "at": pa.array(ps.at.astype(np.int32)),
+            "start": pa.array((ps.start - ps.words.first[ps.text]).astype(np.int32)),
+            "words": pa.array((ps.stop - ps.start).astype(np.int32)),
+            "p": pa.array(ps.names, pa.binary()),
+            **{b: pa.array(k) for b, k in zip(bands, ps.band_keys())},
+        }
+        return pa.RecordBatch.from_arrays(list(each.values()), names=list(each))
+
+    return _over(rows, f"doc_id {kind}, rid long, at int, start int, words int, p binary, " + ", ".join(f"{b} long" for b in bands), make)
 
 
 def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, hashes) for the wanted paragraphs, each read from the texts of the one id named with it."""
-    wanted = stored(wanted.groupBy("doc_id").agg(F.collect_set("p").alias("ps")).select(F.col("doc_id").alias("wid"), "ps"), "wanted")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("wid"))).select("ps", "text")
+    """(s, hashes) for the wanted paragraphs ``p``, and the few that a sketch of them lets through."""
+    sketch = Sketch(wanted.select(name_hash(F.col("p")).alias("h")), SKETCH)
 
-    def make() -> Callable[..., Iterator[tuple]]:
-        def run(wanted: list, texts: list) -> Iterator[tuple]:
-            for names, text in zip(map(set, wanted), texts):
-                if ps := paragraphs(text):
-                    for i, p in enumerate(ps.names):
-                        if p in names:
-                            names.discard(p)
-                            yield p, ps.shingles(i).tobytes()
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
+        ps = Paragraphs(piece.column(1))
+        held = sketch.may_hold(np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in ps.names), np.uint64, len(ps.names)))
+        own = {ps.names[i]: i for i in np.flatnonzero(held).tolist()}
+        return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array([ps.shingles(i).tobytes() for i in own.values()], pa.binary())], names=["s", "hashes"])
 
-        return run
+    return stored(_over(rows, "s binary, hashes binary", make).dropDuplicates(["s"]), "shingle-sets")
 
-    return stored(per_batch(texts, "s long, hashes binary", make).dropDuplicates(["s"]), "shingle-sets")
 
+def _tasks(members: DataFrame, most: int) -> DataFrame:
+    """(task, p): what is to be compared with one another; members are (key, p, g), g of a key.
 
-def _links(members: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
-    """(a, b): links that connect the similar paragraphs of each band; members are (key, p, g), g of a key."""
+    A list of up to LISTED paragraphs that several bands give is taken once. Of more than ``most``, all pairs of
+    chunks of that size are tasks, so none is unbounded and no pair is lost.
+    """
+    lists = members.filter(F.col("g") <= LISTED).groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    lists = lists.groupBy(F.xxhash64("ps").alias("l1"), F.xxhash64(F.lit(1), "ps").alias("l2")).agg(F.min("key").alias("key"), F.first("ps").alias("ps"))
+    short = lists.select(F.xxhash64("key", F.lit(-1)).alias("task"), F.explode("ps").alias("p"))
     chunks = F.ceil(F.col("g") / most)
-    own = F.pmod("p", chunks)
-    tasks = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.struct(F.least(own, c).alias("lo"), F.greatest(own, c).alias("hi")))
-    dealt = members.select("p", "key", F.explode(tasks).alias("t")).select("p", F.xxhash64("key", "t.lo", "t.hi").alias("task"))
-    dealt = dealt.join(sets, F.col("p") == F.col("s")).select("task", "p", "hashes")
+    own = F.pmod(F.xxhash64("p"), chunks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda c: F.struct(F.least(own, c).alias("lo"), F.greatest(own, c).alias("hi")))
+    long = members.filter(F.col("g") > LISTED).select("p", "key", F.explode(pairs).alias("t")).select(F.xxhash64("key", "t.lo", "t.hi").alias("task"), "p")
+    return short.unionAll(long)
+
+
+def _links(members: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
+    """(a, b): links that connect the similar paragraphs of each band."""
+    dealt = _tasks(members, most).join(sets, F.col("p") == F.col("s")).select("task", "p", "hashes")
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[int, np.ndarray]] = []
+        group: list[tuple[bytes, np.ndarray]] = []
         now = None
 
         def out() -> pa.RecordBatch:
             a, b = zip(*e) if (e := forest(group, similarity)) else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             for task, p, hashes in zip(*(c.to_pylist() for c in batch.columns)):
@@ -218,28 +174,14 @@ def _links(members: DataFrame, sets: DataFrame, similarity: float, most: int) ->
         if group:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def runs(items: list[tuple[int, int]]) -> dict[int, int]:
-    """Of (at, words), sorted: the words in the run of consecutive paragraphs that each stands in."""
-    out: dict[int, int] = {}
-    run: list[int] = []
-    total = 0
-    for at, words in [*items, (-1, 0)]:
-        if run and at != run[-1] + 1:
-            out |= dict.fromkeys(run, total)
-            run, total = [], 0
-        run.append(at)
-        total += words
-    return out
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of [start, stop) spans; those that touch become one."""
+def merged(spans: list[tuple[int, int]], apart: int = 0) -> list[tuple[int, int]]:
+    """The union of [start, stop) spans; those that touch, or stand fewer than ``apart`` words apart, become one."""
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
+        if out and a <= out[-1][1] + max(0, apart - 1):
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
@@ -253,130 +195,163 @@ def lengths(spans: list[tuple[int, int]]) -> list[int]:
     return [b - a for x, _ in spans for a, b in [joined[bisect_right(heads, x) - 1]]]
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(seeds, starts, hashes) of a text's GRAM-word grams: gram i is words [i, i + GRAM) and has hashes[i].
+def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(firsts, sizes, seeds, hashes) of the runs of GRAM-word grams: run k is ``sizes[k]`` grams from word ``firsts[k]`` on.
 
-    A gram's seed is the least hash of its SEED-word shingles, so equal grams have equal seeds. Grams follow
-    one another in runs of one seed, about 4.5 long and 8 at most, and no hash stands twice in a run: run k
-    starts at starts[k].
+    A gram's seed is the least hash of its SEED-word shingles, so equal grams have equal seeds. Grams of a text
+    follow one another in runs of one seed, about 4.5 long and 8 at most, and no hash stands twice in a run.
+    hashes has those of all runs' grams, in order.
     """
-    words = (text or "").encode().lower().split()
-    if len(words) < GRAM:
-        return None
-    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    none = np.zeros(0, np.int64)
+    each, count = words.hashes, len(words.hashes) - GRAM + 1
+    if count <= 0:
+        return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for step in (1, 2, 4):
         each = mixed(each[:-step], each[step:])
-    hashes, least = mixed(each[: SEED - GRAM], each[GRAM - SEED :]), each
+    hashes, least = mixed(each[:count], each[GRAM - SEED :]), each
     for step in (1, 2, 4):
         least = np.minimum(least[:-step], least[step:])
-    new = least[1:] != least[:-1]
+    ends = np.repeat(words.first[1:], np.diff(words.first))[:count]
+    at = np.flatnonzero(np.arange(count) + GRAM <= ends)
+    hashes, least = hashes[at], least[at]
+    if not len(at):
+        return none, none, np.zeros(0, np.uint64), hashes
+    new = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     for lag in range(1, min(SEED, len(new)) + 1):
         new[lag - 1 :] |= hashes[lag:] == hashes[:-lag]
     starts = np.concatenate(([0], np.flatnonzero(new) + 1))
-    return least[starts], starts, hashes
+    return at[starts], np.diff(starts, append=len(at)), least[starts], hashes
 
 
-def _runs_of_grams(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc_id, rid, start, seed, grams): the runs of grams of each text, a gram as 32 bits of its hash."""
+def _seeds(rows: DataFrame) -> DataFrame:
+    """(seed): those that more than one run has."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in (p for batch in batches for p in pieces(batch)):
-            own = [(i, t, g) for i, t in enumerate(piece.column(1).to_pylist()) if (g := grams(t))]
-            if not own:
-                continue
-            counts = [len(seeds) for *_, (seeds, _, _) in own]
-            sizes = np.concatenate([np.diff(starts, append=len(hashes)) for *_, (_, starts, hashes) in own])
-            values = np.concatenate([hashes for *_, (_, _, hashes) in own]).astype(np.uint32).view(np.int32)
-            columns = [
-                piece.column(0).take(pa.array(np.repeat([i for i, *_ in own], counts))),
-                pa.array(np.repeat(np.array([xxhash.xxh64_intdigest(t) - (1 << 63) for _, t, _ in own], np.int64), counts)),
-                pa.array(np.concatenate([starts for *_, (_, starts, _) in own]).astype(np.int32)),
-                pa.array(np.concatenate([seeds for *_, (seeds, _, _) in own]).view(np.int64)),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "seed", "grams"])
-
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, start int, seed long, grams array<int>")
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
+        seeds, n = np.unique(grams(Words(piece.column(0)))[2], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n)], names=["seed", "n"])
 
+    return _over(rows.select("text"), "seed long, n long", make).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
 
-def exact_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans, keeps): the words of each text that repeat, word for word, a passage that stands before.
+
+def _runs_of_grams(rows: DataFrame, kind: str, seeds: Sketch) -> DataFrame:
+    """(doc_id, rid, start, seed, grams): the runs of grams of each text whose seed may be one of ``seeds``, a gram as 32 bits of its hash."""
+
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
+        words = Words(piece.column(1))
+        first, sizes, own, hashes = grams(words)
+        held = seeds.may_hold(own)
+        values = hashes[np.repeat(held, sizes)].astype(np.uint32).view(np.int32)
+        first, sizes, own = first[held], sizes[held], own[held]
+        text = np.searchsorted(words.first, first, "right") - 1
+        columns = [
+            piece.column(0).take(pa.array(text)),
+            pa.array(words.rids[text]),
+            pa.array((first - words.first[text]).astype(np.int32)),
+            pa.array(own.view(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "seed", "grams"])
+
+    return _over(rows, f"doc_id {kind}, rid long, start int, seed long, grams array<int>", make)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, spans, keeps, kept): the words of each text that repeat, word for word, a passage that stands before.
 
     A passage is GRAM words or more, amid any other words and wherever lines break. Every gram of a text whose
     like has a lesser place (doc_id, rid, start), null ids last, is in the spans to its last word; of grams that
-    overlap their own like, only the words behind it. keeps are the ids where the first ones stand.
+    overlap their own like, only the words behind it. keeps are the ids where the first ones stand; kept are the
+    spans of a text's grams that stand there first and again later, in this text or another.
 
-    Only runs whose seed stands on two rows are dealt on, and runs of the same grams are looked up once. Equal
-    grams are told by a 64-bit seed and 32 bits more.
+    The texts are read twice: for the seeds that more than one run has, and for the runs that a sketch of them, of
+    a fixed size, lets through. Runs of the same grams are looked up once. Equal grams are told by a 64-bit seed
+    and 32 bits more.
     """
     rows = id_and_text(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(_runs_of_grams(rows, kind), "gram-runs")
-    twice = stored(found.groupBy(F.col("seed").alias("twice")).agg(F.count("*").alias("n")).filter("n > 1").select("twice"), "repeated-seeds")
-    runs_ = stored(found.join(twice, F.col("seed") == F.col("twice"), "left_semi").withColumn("like", F.xxhash64("grams")), "repeated-runs")
-    dropped(found)
+    twice = stored(_seeds(rows), "repeated-seeds")
+    found = _runs_of_grams(rows, kind, Sketch(twice, SKETCH))
+    runs_ = found.join(twice.withColumnRenamed("seed", "twice"), F.col("seed") == F.col("twice"), "left_semi").withColumn("like", F.xxhash64("grams"))
+    runs_ = stored(runs_, "repeated-runs")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
-    kinds = stored(runs_.groupBy("seed", "like").agg(F.min(place).alias("p"), F.first("grams").alias("grams")), "kinds-of-runs")
-    each = kinds.select("seed", "like", "p", F.posexplode("grams").alias("at", "gram"))
+    kinds = stored(runs_.groupBy("seed", "like").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.first("grams").alias("grams")), "kinds-of-runs")
+    each = kinds.select("seed", "like", "p", "n", F.posexplode("grams").alias("at", "gram"))
     first = F.struct("p.last", "p.doc_id", "p.rid", (F.col("p.start") + F.col("at")).alias("start"))
-    firsts = stored(each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first")), "gram-firsts")
+    firsts = each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    firsts = stored(firsts.drop("rows"), "gram-firsts")
     known = each.join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g"))).groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"))
     known = stored(known.agg(F.collect_list(F.struct("at", "first")).alias("firsts")), "known-runs")
     met = runs_.join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
     own = lambda x: F.col("doc_id").eqNullSafe(x["first"]["doc_id"]) & (F.col("rid") == x["first"]["rid"])
-    met = met.withColumn("firsts", F.filter("firsts", lambda x: ~(own(x) & (F.col("start") + x["at"] == x["first"]["start"]))))
+    here = lambda x: own(x) & (F.col("start") + x["at"] == x["first"]["start"])
+    met = met.withColumn("here", F.transform(F.filter("firsts", here), lambda x: F.col("start") + x["at"])).withColumn("firsts", F.filter("firsts", lambda x: ~here(x)))
     low = lambda x: F.greatest(F.col("start") + x["at"], F.when(own(x), x["first"]["start"] + GRAM))
-    met = met.filter(F.size("firsts") > 0).select(
-        "doc_id", "rid", F.transform("firsts", low).alias("low"), F.transform("firsts", lambda x: F.col("start") + x["at"] + GRAM).alias("high"),
+    met = met.select(
+        "doc_id", "rid", "here", F.transform("firsts", low).alias("low"), F.transform("firsts", lambda x: F.col("start") + x["at"] + GRAM).alias("high"),
         F.array_distinct(F.transform("firsts", lambda x: x["first"]["doc_id"])).alias("keeps"),
     )
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    met = met.groupBy("doc_id", "rid").agg(flat("low"), flat("high"), F.array_distinct(F.flatten(F.collect_set("keeps"))).alias("keeps"))
+    met = met.groupBy("doc_id", "rid").agg(flat("here"), flat("low"), flat("high"), F.array_distinct(F.flatten(F.collect_set("keeps"))).alias("keeps"))
 
     def make() -> Callable[..., Iterator[tuple]]:
-        def run(ids: list, rids: list, lows: list, highs: list, keeps: list) -> Iterator[tuple]:
-            for doc_id, rid, low, high, keep in zip(ids, rids, lows, highs, keeps):
-                yield doc_id, rid, [{"start": a, "stop": b} for a, b in merged(list(zip(low, high)))], keep
+        spans = lambda xs: [{"start": a, "stop": b} for a, b in merged(xs)]
+
+        def run(ids: list, rids: list, heres: list, lows: list, highs: list, keeps: list) -> Iterator[tuple]:
+            for doc_id, rid, here, low, high, keep in zip(ids, rids, heres, lows, highs, keeps):
+                yield doc_id, rid, spans(list(zip(low, high))), keep, spans([(a, a + GRAM) for a in here])
 
         return run
 
-    return stored(per_batch(met, f"doc_id {kind}, rid long, spans array<struct<start:int,stop:int>>, keeps array<{kind}>", make), "exact-passages")
+    span = "array<struct<start:int,stop:int>>"
+    return stored(per_batch(met, f"doc_id {kind}, rid long, spans {span}, keeps array<{kind}>, kept {span}", make), "exact-passages")
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.8, most: int = 4000) -> DataFrame:
-    """(doc_id, rid, at, start, words, class, keep_doc, run, removed): one row for each repeated paragraph.
+def exact_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, spans, keeps) of ``passages``, of the texts that have spans."""
+    return passages(docs).filter(F.size("spans") > 0).drop("kept")
+
+
+def repeats(docs: DataFrame, similarity: float = 0.8, most: int = 4000) -> DataFrame:
+    """(doc_id, rid, items): of each text with repeated paragraphs, these as (at, start, words, class, keep_doc, other), in order.
+
+    Different paragraphs that share a band are linked if the exact Jaccard of their sets of five-word shingles is
+    ``similarity`` or more. Links make classes, and paragraphs of the same words are one. Of a class the paragraph
+    with the least (doc_id, rid, at) stays, null ids last; others are ``other``.
 
-    Paragraphs are cut by content, and lines are paragraphs too (see ``Paragraphs``): number ``at`` of a text is
-    ``words`` words from word ``start`` on; rid is the text's hash. Different paragraphs that share a band are linked if the exact
-    Jaccard of their sets of five-word shingles is ``similarity`` or more; a band of over ``most`` of them is
-    dealt to all pairs of chunks of that size, so no task holds an unbounded group and no pair is lost. Links
-    make classes, and paragraphs of the same words are one. Of a class the paragraph with the least
-    (doc_id, rid, at) stays, null ids last; others go if they stand in a run of repeated paragraphs of at
-    least ``min_words`` words. Null, empty and short texts have no paragraphs. Rows that repeat an id and its
-    text count as repeats but appear once, and that of the row that stays is kept. An empty table gives an
-    empty table.
+    Copies are counted before the bands, so the copies of a text weigh as one in a band, and hot lines don't meet.
     """
     rows = id_and_text(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = stored(_found(rows, kind), "paragraphs")
-    keys = _repeated_keys(found)
+    bands = [f"b{k}" for k in range(BANDS)]
+    names = stored(found.groupBy("p").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in bands)), "names")
+    keys = names.select(F.explode(F.array(*bands)).alias("key"), "p")
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
     members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
-    marks = keys.groupBy("p").agg((F.max("n") > 1).alias("copied")).join(members.select(F.col("p").alias("mp")).distinct(), F.col("p") == F.col("mp"), "left")
-    marks = stored(marks.select(F.col("p").alias("kp"), "copied", F.col("mp").isNotNull().alias("near")), "candidate-names")
-    places = found.drop(*(f"b{k}" for k in range(BANDS))).join(marks, F.col("p") == F.col("kp")).drop("kp")
-    places = stored(places, "candidate-places")
-    dropped(found)
-    wanted = places.filter("near").groupBy("p").agg(F.min("doc_id").alias("doc_id"))
-    links = _links(members, _shingle_sets(rows, wanted), similarity, most)
+    links = _links(members, _shingle_sets(rows, members.select("p").distinct()), similarity, most)
     classes = components(links).withColumnRenamed("node", "m")
-    hits = places.join(classes, F.col("p") == F.col("m"), "left").filter(F.col("m").isNotNull() | F.col("copied"))
-    hits = stored(hits.select("doc_id", "rid", "at", "start", "words", F.coalesce("root", "p").alias("class")), "repeats")
+    marks = names.select("p", "n").join(classes, F.col("p") == F.col("m"), "left").filter("n > 1 or m is not null")
+    marks = stored(marks.select(F.col("p").alias("kp"), F.coalesce("root", "p").alias("class")), "repeated-names")
+    hits = stored(found.drop(*bands).join(marks, F.col("p") == F.col("kp")).drop("p", "kp"), "repeats")
+    dropped(found)
+    dropped(names)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
     firsts = stored(hits.groupBy("class").agg(F.min(place).alias("keep")).select(F.col("class").alias("c"), "keep"), "class-firsts")
+    item = F.struct("at", "start", "words", F.col("class"), F.col("keep.doc_id").alias("keep_doc"), (place != F.col("keep")).alias("other"))
     marked = hits.join(firsts, F.col("class") == F.col("c"))
-    item = F.struct("at", "start", "words", "class", F.col("keep.doc_id").alias("keep_doc"), (place != F.col("keep")).alias("other"))
-    marked = marked.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(item)).alias("items"))
+    return marked.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set(item)).alias("items"))
+
+
+def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.8, most: int = 4000) -> DataFrame:
+    """(doc_id, rid, at, start, words, class, keep_doc, run, removed): one row for each repeated paragraph.
+
+    Number ``at`` of a text is ``words`` words from word ``start`` on; rid is the text's hash (see ``Paragraphs`` and
+    ``repeats``). Paragraphs that don't stay go if they stand in a run of repeated paragraphs of at least
+    ``min_words`` words. Null, empty and short texts have no paragraphs. Rows that repeat an id and its text count
+    as repeats but appear once, and that of the row that stays is kept. An empty table gives an empty table.
+    """
+    marked = repeats(docs, similarity, most)
+    kind = marked.schema["doc_id"].dataType.simpleString()
 
     def make() -> Callable[..., Iterator[tuple]]:
         def run(ids: list, rids: list, lists: list) -> Iterator[tuple]:
@@ -386,35 +361,56 @@ def substring_dedup(docs: DataFrame, min_words: int = 15, similarity: float = 0.
 
         return run
 
-    return per_batch(marked, f"doc_id {kind}, rid long, at int, start int, words int, class long, keep_doc {kind}, run int, removed boolean", make)
+    return per_batch(marked, f"doc_id {kind}, rid long, at int, start int, words int, class binary, keep_doc {kind}, run int, removed boolean", make)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, k, spans, keeps): repeated and removed paragraphs and lines; the words that go, in disjoint spans, and where they stay."""
-    span = F.struct("start", (F.col("start") + F.col("words")).alias("stop"))
-    exact = exact_passages(docs).select("doc_id", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), "spans", "keeps")
-    near = substring_dedup(docs).groupBy("doc_id").agg(
-        F.count_if(F.col("run") >= 15).alias("n"), F.count_if("removed").alias("k"),
-        F.collect_list(F.when(F.col("removed"), span)).alias("spans"), F.collect_set(F.when(F.col("removed"), F.col("keep_doc"))).alias("keeps"),
-    )
-    both = near.unionByName(exact).groupBy("doc_id").agg(
-        F.sum("n").alias("n"), F.sum("k").alias("k"), F.flatten(F.collect_list("spans")).alias("spans"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.filter("keeps", lambda x: x.isNotNull()))))).alias("keeps"),
+def removals(docs: DataFrame, min_words: int = 15) -> DataFrame:
+    """(doc_id, n, k, spans, keeps): repeated and removed passages; the words that go, in disjoint spans, and where they stay.
+
+    A passage is the union of repeated paragraphs and exact passages that touch or stand fewer than APART words
+    apart, with what stands between, of ``min_words`` words or more. n counts passages, first ones included; k
+    those that go, of the paragraphs and words that stay elsewhere. Rows with the same id are taken together.
+    """
+    span = "array<struct<start:int,stop:int>>"
+    both = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["words"]).alias("stop")))
+    near = repeats(docs).select(
+        "doc_id", "rid", both(F.filter("items", lambda x: x["other"])).alias("gone"), both(F.filter("items", lambda x: ~x["other"])).alias("stay"),
+        F.transform(F.filter("items", lambda x: x["other"]), lambda x: F.struct(x["start"].alias("start"), x["keep_doc"].alias("keep"))).alias("keeps"),
     )
+    exact = passages(docs).select("doc_id", "rid", F.col("spans").alias("gone"), F.col("kept").alias("stay"), F.transform("keeps", lambda x: F.struct(F.lit(None).cast("int").alias("start"), x.alias("keep"))).alias("keeps"))
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    texts = near.unionByName(exact).groupBy("doc_id", "rid").agg(flat("gone"), flat("stay"), flat("keeps"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def make() -> Callable[..., Iterator[tuple]]:
+        def run(ids: list, rids: list, gone: list, stay: list, keeps: list) -> Iterator[tuple]:
+            pairs = lambda xs: [(x["start"], x["stop"]) for x in xs]
+            for doc_id, g, s, ks in zip(ids, gone, stay, keeps):
+                out = [x for x in merged(pairs(g), APART) if x[1] - x[0] >= min_words]
+                every = sum(b - a >= min_words for a, b in merged(pairs([*g, *s]), APART))
+                heads = [a for a, _ in out]
+                within = lambda a: a is None or ((i := bisect_right(heads, a) - 1) >= 0 and a < out[i][1])
+                keep = sorted({k["keep"] for k in ks if k["keep"] is not None and within(k["start"])}) if out else []
+                if every:
+                    yield doc_id, every, len(out), [{"start": a, "stop": b} for a, b in out], keep
+
+        return run
+
+    one = per_batch(texts, f"doc_id {kind}, n long, k long, spans {span}, keeps array<{kind}>", make)
+    one = one.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), flat("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keeps"))
+
+    def make_text() -> Callable[..., Iterator[tuple]]:
         def run(ids: list, ns: list, ks: list, spans: list, keeps: list) -> Iterator[tuple]:
             for doc_id, n, k, x, keep in zip(ids, ns, ks, spans, keeps):
                 yield doc_id, n, k, ",".join(f"{a}-{b}" for a, b in merged([(y["start"], y["stop"]) for y in x])), keep
 
         return run
 
-    kind = both.schema["doc_id"].dataType.simpleString()
-    return per_batch(both, f"doc_id {kind}, n long, k long, spans string, keeps array<{kind}>", make)
+    return per_batch(one, f"doc_id {kind}, n long, k long, spans string, keeps array<{kind}>", make_text)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_repeated and n_removed paragraphs and lines, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
+    """Per document: doc_id, n_repeated and n_removed passages, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = removals(docs).withColumnRenamed("doc_id", "id")
     joined = docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("id")), "left")
