@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfold.llm.common import stored
+from rankfold.llm.common import dropped, stored
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -15,7 +15,7 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     else:
         near = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = near.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+    least = stored(least.select(F.col("a").alias("k"), F.least("a", "m").alias("m")), "least")  # read back, the join deals both sides itself and AQE can split a hub
     linked = near.join(least, F.col("a") == F.col("k"))
     if small:
         out = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
@@ -30,12 +30,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is a few joins over the edges, whose number never grows past the nodes after the first round,
     and is written to the shared folder; the rounds end when the edges no longer change, which a count and a
-    sum of hashes tell. A hub's rows are pre-aggregated, and its join is split by AQE.
+    sum of hashes tell. A hub's rows are pre-aggregated and stored, so AQE can split its join. Edges with a null
+    end are left out.
     """
     edges = stored(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "edges")
     mark = None
     while True:
-        edges = stored(_star(_star(edges, small=False), small=True), "edges")
+        last, edges = edges, stored(_star(_star(edges, small=False), small=True), "edges")
+        dropped(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b"), F.col("b")).distinct())

@@ -321,3 +321,12 @@ def test_pipeline(spark, sf_dir):
         if name != "mixing":
             assert docs.count() <= before.count() and docs.count() == docs.select("doc_id").distinct().count()
     assert p.run(spark, sf_dir).count() == docs.count() and os.path.exists(common.shared_dir(spark))
+
+
+def test_components_of_a_star_and_a_path(spark):
+    """One component of 200,000 nodes about a hub, one path, and edges with null ends, which are left out."""
+    hub = spark.range(1, 200_000).select(F.lit(7_000_000).cast("long").alias("a"), F.col("id").alias("b"))
+    path = spark.range(300_000, 300_100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    none = spark.createDataFrame([(None, 1), (5, None), (None, None)], "a long, b long")
+    got = components(hub.unionAll(path).unionAll(none)).groupBy("root").agg(F.count("*").alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(1, 200_000), (300_000, 101)]
