@@ -279,31 +279,46 @@ def passages(docs: DataFrame) -> DataFrame:
     first = F.struct("p.last", "p.doc_id", "p.rid", (F.col("p.start") + F.col("at")).alias("start"))
     firsts = each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
     firsts = stored(firsts.drop("rows"), "gram-firsts")
-    known = each.join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g"))).groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"))
-    known = stored(known.agg(F.collect_list(F.struct("at", "first")).alias("firsts")), "known-runs")
+    known = each.join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g")))
+    known = known.groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"), F.col("first.doc_id").alias("fdoc"), F.col("first.rid").alias("frid"))
+    known = stored(known.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.collect_list(F.struct("at", F.col("first.start").alias("start"))).alias("firsts")), "known-runs")
     met = runs_.join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
-    own = lambda x: F.col("doc_id").eqNullSafe(x["first"]["doc_id"]) & (F.col("rid") == x["first"]["rid"])
-    here = lambda x: own(x) & (F.col("start") + x["at"] == x["first"]["start"])
-    met = met.withColumn("here", F.transform(F.filter("firsts", here), lambda x: F.col("start") + x["at"])).withColumn("firsts", F.filter("firsts", lambda x: ~here(x)))
-    low = lambda x: F.greatest(F.col("start") + x["at"], F.when(own(x), x["first"]["start"] + GRAM))
-    met = met.select(
-        "doc_id", "rid", "here", F.transform("firsts", low).alias("low"), F.transform("firsts", lambda x: F.col("start") + x["at"] + GRAM).alias("high"),
-        F.array_distinct(F.transform("firsts", lambda x: x["first"]["doc_id"])).alias("keeps"),
+    # a run is shorter than a gram, so the grams of a run whose first ones stand in one text cover one span
+    span = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
+    own = F.col("doc_id").eqNullSafe(F.col("fdoc")) & (F.col("rid") == F.col("frid"))
+    here = lambda x: F.col("start") + x["at"] == x["start"]
+    again = F.transform(F.filter("firsts", lambda x: ~here(x)), lambda x: span(F.greatest(F.col("start") + x["at"], x["start"] + GRAM), F.col("start") + x["at"] + GRAM))
+    stay = F.transform(F.filter("firsts", here), lambda x: span(x["start"], x["start"] + GRAM))
+    met = met.groupBy("doc_id", "rid").agg(
+        F.collect_list(F.when(~own, span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + GRAM))).alias("gone"),
+        F.flatten(F.collect_list(F.when(own, again))).alias("again"), F.flatten(F.collect_list(F.when(own, stay))).alias("stay"),
+        F.collect_set(F.when(~own | (F.size(again) > 0), F.col("fdoc"))).alias("keeps"),
     )
-    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    met = met.groupBy("doc_id", "rid").agg(flat("here"), flat("low"), flat("high"), F.array_distinct(F.flatten(F.collect_set("keeps"))).alias("keeps"))
-
-    def make() -> Callable[..., Iterator[tuple]]:
-        spans = lambda xs: [{"start": a, "stop": b} for a, b in merged(xs)]
-
-        def run(ids: list, rids: list, heres: list, lows: list, highs: list, keeps: list) -> Iterator[tuple]:
-            for doc_id, rid, here, low, high, keep in zip(ids, rids, heres, lows, highs, keeps):
-                yield doc_id, rid, spans(list(zip(low, high))), keep, spans([(a, a + GRAM) for a in here])
+    met = met.select("doc_id", "rid", F.concat("gone", "again").alias("gone"), "keeps", "stay")
 
-        return run
-
-    span = "array<struct<start:int,stop:int>>"
-    return stored(per_batch(met, f"doc_id {kind}, rid long, spans {span}, keeps array<{kind}>, kept {span}", make), "exact-passages")
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [c if k not in (2, 4) else _merged(c) for k, c in enumerate(piece.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept"])
+
+    spans = "array<struct<start:int,stop:int>>"
+    return stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}", make), "exact-passages")
+
+
+def _merged(lists: pa.Array) -> pa.Array:
+    """As ``merged``, for the spans (start, stop), as start * 2 ** 32 + stop, of each list of a column."""
+    sizes = np.diff(np.asarray(lists.offsets))
+    flat = np.asarray(lists.flatten())
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    a, b = (flat >> 32) + (row << 32), (flat & ((1 << 32) - 1)) + (row << 32)  # rows one behind the other on one line
+    reach = np.maximum.accumulate(b)
+    new = np.append(True, (a[1:] > reach[:-1]) | (row[1:] != row[:-1])) if len(a) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    starts, stops = a[at] & ((1 << 32) - 1), reach[np.append(at[1:], len(a)) - 1] & ((1 << 32) - 1) if len(at) else at
+    ends = np.searchsorted(row[at], np.arange(len(sizes) + 1))
+    values = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))], names=["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
 def exact_passages(docs: DataFrame) -> DataFrame:
