@@ -67,6 +67,10 @@ def forest(group: list[tuple[int, np.ndarray]], similarity: float) -> list[tuple
     From one member on, each one reached is compared with all not reached yet, by one count over their
     hashes; those linked to it are reached. So a group of near copies costs a few counts and no list of pairs.
     """
+    if len(group) == 2:
+        (p, a), (q, b) = group
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return [(p, q)] if both >= similarity * (len(a) + len(b) - both) else []
     links, left = [], np.arange(1, len(group))
     sizes = np.array([len(h) for _, h in group])
     queue = [0]
