@@ -429,9 +429,13 @@ def removals(docs: DataFrame, min_words: int = 15) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_repeated and n_removed passages, removed words (start-stop, comma-joined), keep_ids (where they stay)."""
+    """Per document: doc_id, n_repeated and n_removed passages, removed words (start-stop, comma-joined), keep_ids (where they stay).
+
+    Passages of 50 words or more, as is common practice: shorter ones are found too, at the same cost, but those that
+    don't join to 50 words are stock phrases, and documents with no others are left alone.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = removals(docs).withColumnRenamed("doc_id", "id")
+    out = removals(docs, min_words=50).withColumnRenamed("doc_id", "id")
     joined = docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_repeated"), F.coalesce("k", F.lit(0)).alias("n_removed"),
