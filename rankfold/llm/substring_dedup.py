@@ -275,28 +275,33 @@ def passages(docs: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     twice = stored(_seeds(rows), "repeated-seeds")
     found = _runs_of_grams(rows, kind, Sketch(twice, SKETCH))
-    runs_ = found.join(twice.withColumnRenamed("seed", "twice"), F.col("seed") == F.col("twice"), "left_semi").withColumn("like", F.xxhash64("grams"))
-    runs_ = stored(runs_, "repeated-runs")
+    found = found.join(twice.withColumnRenamed("seed", "twice"), F.col("seed") == F.col("twice"), "left_semi")
+    found = stored(found, "repeated-runs")
+    dropped(twice)
+    runs_ = found.withColumn("like", F.xxhash64("grams"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
     kinds = stored(runs_.groupBy("seed", "like").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.first("grams").alias("grams")), "kinds-of-runs")
     each = kinds.select("seed", "like", "p", "n", F.posexplode("grams").alias("at", "gram"))
     first = F.struct("p.last", "p.doc_id", "p.rid", (F.col("p.start") + F.col("at")).alias("start"))
     firsts = each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
-    firsts = stored(firsts.drop("rows"), "gram-firsts")
-    known = each.join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g")))
-    known = known.groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"), F.col("first.doc_id").alias("fdoc"), F.col("first.rid").alias("frid"))
-    known = stored(known.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.collect_list(F.struct("at", F.col("first.start").alias("start"))).alias("firsts")), "known-runs")
-    met = runs_.join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
-    # a run is shorter than a gram, so the grams of a run whose first ones stand in one text cover one span
+    firsts = stored(firsts.select("s", "g", F.col("first.doc_id").alias("fdoc"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart")), "gram-firsts")
+    # the grams of a kind of run whose first ones stand in one text, one behind the other: their numbers are bits of a mask
+    known = each.select("seed", "like", "at", "gram").join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g")))
+    known = known.groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"), "fdoc", "frid", (F.col("fstart") - F.col("at")).alias("fstart"))
+    known = stored(known.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.bit_or(F.expr("shiftleft(1, at)")).alias("mask")), "known-runs")
+    dropped(kinds)
+    dropped(firsts)
+    met = runs_.select("doc_id", "rid", "start", "seed", "like").join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
+    # a run is shorter than a gram, so such grams cover one span, unless they overlap their own like
     span = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
     own = F.col("doc_id").eqNullSafe(F.col("fdoc")) & (F.col("rid") == F.col("frid"))
-    here = lambda x: F.col("start") + x["at"] == x["start"]
-    again = F.transform(F.filter("firsts", lambda x: ~here(x)), lambda x: span(F.greatest(F.col("start") + x["at"], x["start"] + GRAM), F.col("start") + x["at"] + GRAM))
-    stay = F.transform(F.filter("firsts", here), lambda x: span(x["start"], x["start"] + GRAM))
+    whole = span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + GRAM)
+    here = own & (F.col("start") == F.col("fstart"))
+    bits = F.filter(F.sequence("low", "high"), lambda k: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
+    again = F.transform(bits, lambda k: span(F.greatest(F.col("start"), F.col("fstart") + GRAM) + k, F.col("start") + GRAM + k))
     met = met.groupBy("doc_id", "rid").agg(
-        F.collect_list(F.when(~own, span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + GRAM))).alias("gone"),
-        F.flatten(F.collect_list(F.when(own, again))).alias("again"), F.flatten(F.collect_list(F.when(own, stay))).alias("stay"),
-        F.collect_set(F.when(~own | (F.size(again) > 0), F.col("fdoc"))).alias("keeps"),
+        F.collect_list(F.when(~own, whole)).alias("gone"), F.flatten(F.collect_list(F.when(own & ~here, again))).alias("again"),
+        F.collect_list(F.when(here, whole)).alias("stay"), F.collect_set(F.when(~here, F.col("fdoc"))).alias("keeps"),
     )
     met = met.select("doc_id", "rid", F.concat("gone", "again").alias("gone"), "keeps", "stay")
 
@@ -305,7 +310,10 @@ def passages(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept"])
 
     spans = "array<struct<start:int,stop:int>>"
-    return stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}", make), "exact-passages")
+    out = stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}", make), "exact-passages")
+    dropped(found)
+    dropped(known)
+    return out
 
 
 def _merged(lists: pa.Array) -> pa.Array:
@@ -347,13 +355,15 @@ def repeats(docs: DataFrame, similarity: float = 0.8, most: int = 4000) -> DataF
     keys = names.select(F.explode(F.array(*bands)).alias("key"), "p")
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
     members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
-    links = _links(members, _shingle_sets(rows, members.select("p").distinct()), similarity, most)
-    classes = components(links).withColumnRenamed("node", "m")
+    sets = _shingle_sets(rows, members.select("p").distinct())
+    classes = components(_links(members, sets, similarity, most)).withColumnRenamed("node", "m")
     marks = names.select("p", "n").join(classes, F.col("p") == F.col("m"), "left").filter("n > 1 or m is not null")
     marks = stored(marks.select(F.col("p").alias("kp"), F.coalesce("root", "p").alias("class")), "repeated-names")
+    for t in (shared, members, sets, names):
+        dropped(t)
     hits = stored(found.drop(*bands).join(marks, F.col("p") == F.col("kp")).drop("p", "kp"), "repeats")
     dropped(found)
-    dropped(names)
+    dropped(marks)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "at")
     firsts = stored(hits.groupBy("class").agg(F.min(place).alias("keep")).select(F.col("class").alias("c"), "keep"), "class-firsts")
     item = F.struct("at", "start", "words", F.col("class"), F.col("keep.doc_id").alias("keep_doc"), (place != F.col("keep")).alias("other"))
