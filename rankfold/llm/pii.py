@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.llm.common import carried, id_and_text, per_batch, per_row, stored
+from rankfold.llm.words import Sketch
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -23,8 +24,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TERM = re.compile("[A-Za-z\x80-\U0010ffff]{2,}")
+#: secrets by their public formats, or as the value that a telling name is given
+SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)"
+    r"|-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa][Pp][Ii][_-]?[Kk][Ee][Yy])[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?P<value>[^\s\"',;]{8,}+)"
+)
+#: one of these stands in every secret, case apart
+TELLING = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "eyj", "private key", "passw", "secret", "token", "api")
 _TERMS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
-#: bits of the sketch of told terms
+#: bits of the sketches of told terms and of copied texts
 SKETCH = 1 << 24
 
 Span = tuple[int, int]
@@ -67,6 +76,14 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     }
 
 
+def secrets(text: str) -> list[Span]:
+    """Keys, tokens and passwords; of a named value only the value. No two overlap."""
+    folded = low(text)
+    if not any(w in folded for w in TELLING):
+        return []
+    return [m.span("value") if m["value"] else m.span() for m in SECRET.finditer(text)]
+
+
 def listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -107,44 +124,54 @@ def _signed(term: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-ROW = "n_email long, n_ip long, n_card long, n_phone long, base string, ents array<long>, terms array<long>"
+ROW = "n_email long, n_ip long, n_card long, n_phone long, base string, n_secret long, secrets string, ents array<long>, terms array<long>"
 
 
 def entity_row(text: str | None) -> tuple:
     text = text or ""
     found = base_spans(text)
-    flat = [(k, s, e) for k in KINDS for s, e in found[k]]
-    ents = sorted({_hash(f"{k}:{low(text[s:e])}") for k, s, e in flat})
-    terms = sorted(map(_signed, terms_of(text, [(s, e) for _, s, e in flat]))) if flat else []
-    return (*(len(found[k]) for k in KINDS), listed(flat), ents, terms)
+    flat, more = [(k, s, e) for k in KINDS for s, e in found[k]], [("secret", s, e) for s, e in secrets(text)]
+    ents = sorted({_hash(f"{k}:{low(text[s:e])}") for k, s, e in flat + more})
+    terms = sorted(map(_signed, terms_of(text, [(s, e) for _, s, e in flat + more]))) if ents else []
+    return (*(len(found[k]) for k in KINDS), listed(flat), len(more), listed(more), ents, terms)
 
 
 def _spans(text: str) -> list[Span]:
-    return [x for spans in base_spans(text).values() for x in spans]
+    return [x for spans in base_spans(text).values() for x in spans] + secrets(text)
+
 
+def term_documents(keyed: DataFrame, most: int = 500_000) -> DataFrame:
+    """(t, nt): in how many distinct texts each term stands outside entities; ``keyed`` has text and k, its hash.
 
-def term_documents(rows: DataFrame, most: int = 500_000) -> DataFrame:
-    """(t, nt): in how many documents each term stands outside entities, summed up in each task before the shuffle."""
+    Counts are summed up in each task before the shuffle. Only texts with copies, told by a sketch of fixed size
+    that may hold a few others, send their terms one by one, with k, so that copies count once.
+    """
+    copies = Sketch(keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), SKETCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: dict[tuple, int] = {}
 
         def out() -> pa.RecordBatch:
-            t = [xxhash.xxh64_intdigest(x) for x in counts]
-            return pa.RecordBatch.from_arrays([pa.array(t, pa.uint64()).view(pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["t", "n"])
+            t = [xxhash.xxh64_intdigest(x) for x, _ in counts]
+            columns = [pa.array(t, pa.uint64()).view(pa.int64()), pa.array([k for _, k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["t", "k", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
+            ks = batch.column(1).to_numpy()
+            for text, k, copied in zip(batch.column(0), ks.tolist(), copies.may_hold(ks.view(np.uint64)).tolist()):
                 text = text.as_py() or ""
+                own = k if copied else None
                 for t in terms_of(text, _spans(text)):
-                    counts[t] = counts.get(t, 0) + 1
+                    key = (t, own)
+                    counts[key] = 1 if copied else counts.get(key, 0) + 1
                 if len(counts) >= most:
                     yield out()
                     counts = {}
         if counts:
             yield out()
 
-    return rows.select("text").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("nt"))
+    found = keyed.select("text", "k").mapInArrow(run, "t long, k long, n long").groupBy("t", "k").agg(F.sum("n").alias("n"))
+    return found.groupBy("t").agg(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1)).alias("nt"))
 
 
 def _occurrences(keyed: DataFrame, kind: str, told: DataFrame) -> DataFrame:
@@ -152,16 +179,14 @@ def _occurrences(keyed: DataFrame, kind: str, told: DataFrame) -> DataFrame:
 
     Tasks hold a sketch of the told terms of fixed size; what it lets through is joined with them.
     """
-    bits = np.zeros(SKETCH, bool)
-    bits[told.select(F.pmod("t", F.lit(SKETCH)).alias("b")).distinct().toPandas()["b"].to_numpy(np.int64)] = True
-    held = keyed.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    sketch = Sketch(told.select("t"), SKETCH)
 
     def make() -> Callable[..., Iterator[tuple]]:
-        sketch = held.value
+        table, mask = sketch.held.value, SKETCH - 1
 
         def told_maybe(t: bytes) -> bool:
-            b = xxhash.xxh64_intdigest(t) % SKETCH
-            return bool(sketch[b >> 3] >> (b & 7) & 1)
+            b = xxhash.xxh64_intdigest(t) & mask
+            return bool(table[b >> 3] >> (b & 7) & 1)
 
         def run(ids: list, ks: list, texts: list) -> Iterator[tuple]:
             for doc_id, k, text in zip(ids, ks, texts):
@@ -175,14 +200,15 @@ def _occurrences(keyed: DataFrame, kind: str, told: DataFrame) -> DataFrame:
 
 
 def find_pii(docs: DataFrame, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, k (hash of the text), n_email, n_ip, n_card, n_phone, base, terms.
+    """One row for each row of ``docs``: doc_id, k (hash of the text), n_email, n_ip, n_card, n_phone, base, n_secret, secrets, terms.
 
-    base lists the pattern spans as kind:start:end, terms those of the method, as generalise:... or remove:....
-    A protected entity c is the lower-cased text of a pattern span; a term t is two letters or more, outside all
-    entities. Both are counted over whole documents: with D documents, PMI(c; t) = log2(D * docs(c, t) /
+    base lists the pattern spans as kind:start:end, secrets those of keys and passwords, terms those of the
+    method, as generalise:... or remove:.... A protected entity c is the lower-cased text of a pattern span or a
+    secret; a term t is two letters or more, outside all entities. Both are counted over distinct whole texts, as
+    copies are no evidence: with D of them, PMI(c; t) = log2(D * docs(c, t) /
     (docs(c) * docs(t))) says how many of the IC(c) = log2(D / docs(c)) bits of the entity the term gives away.
     A term is told to be generalised from ``generalise`` * IC(c) on, and removed from ``remove`` * IC(c) on, for
-    any entity that it stands together with in at least ``support`` documents; every occurrence of it is then
+    any entity that it stands together with in at least ``support`` texts; every occurrence of it is then
     treated, in all documents, the stronger way.
 
     As docs(c, t) is at most docs(c) and docs(t), only entities in ``support`` documents and terms in
@@ -200,15 +226,16 @@ def find_pii(docs: DataFrame, support: int = 2, generalise: float = 0.75, remove
 
     base = per_row(keyed, f"doc_id {kind}, k long, {ROW}", make).withColumn("row", F.monotonically_increasing_id())
     base = stored(base, "pii-entities")
-    n_docs = float(max(base.count(), 1))
-    held = base.select("row", F.explode("ents").alias("c"))
+    n_docs = float(max(base.select("k").distinct().count(), 1))
+    own = base.filter(F.size("ents") > 0).dropDuplicates(["k"])
+    held = own.select("row", F.explode("ents").alias("c"))
     entities = stored(held.groupBy(F.col("c").alias("ec")).agg(F.count("*").alias("nc")).filter((F.col("nc") >= support) & (F.col("nc") < n_docs)), "pii-shared")
     held = stored(held.join(entities, F.col("c") == F.col("ec")).select("row", "c", "nc"), "pii-held")
     room = lambda nc: n_docs ** (1 - generalise) * F.pow(nc.cast("double"), F.lit(generalise)) * 1.000001
     widest = held.groupBy(F.col("row").alias("wr")).agg(room(F.max("nc")).alias("room"))
     most = held.agg(room(F.max("nc")).alias("m")).first()["m"] or 0.0
-    rare = stored(term_documents(rows).filter((F.col("nt") >= support) & (F.col("nt") <= most)), "pii-rare-terms")
-    terms = base.join(widest, F.col("row") == F.col("wr")).select(F.col("row").alias("tr"), "room", F.explode("terms").alias("x"))
+    rare = stored(term_documents(keyed).filter((F.col("nt") >= support) & (F.col("nt") <= most)), "pii-rare-terms")
+    terms = own.join(widest, F.col("row") == F.col("wr")).select(F.col("row").alias("tr"), "room", F.explode("terms").alias("x"))
     terms = terms.join(rare, F.col("x") == F.col("t")).filter(F.col("nt") <= F.col("room")).select("tr", "t", "nt")
     pairs = held.join(terms, (F.col("row") == F.col("tr")) & (F.col("nt") <= room(F.col("nc"))))
     pairs = pairs.groupBy("c", "t", "nc", "nt").agg(F.count("*").alias("nct")).filter(F.col("nct") >= support)
@@ -224,16 +251,23 @@ def find_pii(docs: DataFrame, support: int = 2, generalise: float = 0.75, remove
     spans = spans.select(F.col("rid").alias("srid"), F.col("k").alias("sk"), text.alias("terms"))
     out = base.drop("ents", "terms", "row").withColumn("rid", F.col("doc_id").cast("string"))
     out = out.join(spans, F.col("rid").eqNullSafe(F.col("srid")) & (F.col("k") == F.col("sk")), "left")
-    return out.select("doc_id", "k", "n_email", "n_ip", "n_card", "n_phone", "base", F.coalesce("terms", F.lit("")).alias("terms"))
+    return out.select("doc_id", "k", "n_email", "n_ip", "n_card", "n_phone", "base", "n_secret", "secrets", F.coalesce("terms", F.lit("")).alias("terms"))
+
+
+def general(term: str) -> str:
+    """What a term is generalised to: the kind of word that it is."""
+    if term[:1].isupper():
+        return "[ACRONYM]" if len(term) > 1 and term.isupper() else "[NAME]"
+    return "[TERM]"
 
 
 def masked(text: str, spans: str) -> str:
-    """Pattern spans become [KIND], generalised terms [TERM], removed terms nothing; of spans that overlap the first stands."""
+    """Pattern spans and secrets become [KIND], generalised terms [NAME], [ACRONYM] or [TERM], removed terms nothing; of spans that overlap the first stands."""
     parts = sorted((int(s), -int(e), k) for k, s, e in (x.split(":") for x in spans.split(",") if x))
     out, free = [], 0
     for s, e, k in parts:
         if s >= free:
-            out += [text[free:s], {"generalise": "[TERM]", "remove": ""}.get(k, f"[{k.upper()}]")]
+            out += [text[free:s], "" if k == "remove" else general(text[s:e]) if k == "generalise" else f"[{k.upper()}]"]
         free = max(free, -e)
     return "".join((*out, text[free:]))
 
@@ -242,7 +276,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with text sanitised; every other column and row as it was."""
     own = carried(docs)
     found = find_pii(docs, **options).distinct()
-    found = found.select(F.col("doc_id").alias("fid"), "k", F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "terms"))).alias("spans"))
+    found = found.select(F.col("doc_id").alias("fid"), "k", F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "secrets", "terms"))).alias("spans"))
     t = own.at("text")
     rows = own.df.withColumn("x", F.xxhash64(F.coalesce(t, F.lit(""))))
     rows = rows.join(found, F.col(own.at("doc_id")).eqNullSafe(F.col("fid")) & (F.col("x") == F.col("k")), "left").select(*own.df.columns, "spans")
@@ -261,8 +295,9 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    spans = F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "terms")))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    spans = F.concat_ws(",", *(F.when(F.col(c) != "", F.col(c)) for c in ("base", "secrets", "terms")))
+    private = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_secret")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), "n_secret", private.alias("n_private"))
 
 
 SQL: dict[str, str] = {}
