@@ -261,12 +261,20 @@ def test_pii(docs, empty):
     clean = pii.sanitise(docs)
     assert clean.columns == docs.columns and clean.count() == len(ROWS) and "[EMAIL]" in clean.filter("doc_id = 10").first().text
     assert pii.find_pii(empty).count() == 0 and pii.sanitise(empty).count() == 0
+    assert pii.masked("Kim LTD said so", "generalise:0:3,generalise:4:7,generalise:8:12,remove:13:15") == "[NAME] [ACRONYM] [TERM] "
+
+
+def test_secrets():
+    key = "AKIA" + "ABCD1234" * 2
+    texts = {f"use {key} now": [key], "password=hunter22, then": ["hunter22"], 'my token: "0123456789abcdef" x': ["0123456789abcdef"], "a secret plan": [], "X" + key: [], "token=short": [], "": []}
+    assert {t: [t[a:b] for a, b in pii.secrets(t)] for t in texts} == texts
+    assert len(pii.secrets(f"api_key = {'k' * 40}; " * 50_000)) == 50_000
 
 
 def test_terms_that_reveal_an_entity_are_found(spark):
-    rows = [(i, "Zoltan writes a@b.co here") for i in range(3)] + [(10 + i, f"the {w} writes here") for i, w in enumerate(["x", "y", "z"] * 10)]
+    rows = [(i, f"Zoltan writes a@b.co here {i}") for i in range(3)] + [(5, "copied with c@d.co"), (6, "copied with c@d.co")] + [(10 + i, f"the {w} writes here") for i, w in enumerate(["x", "y", "z"] * 10)]
     got = {r.doc_id: r.terms for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0] == "remove:0:6" and got[10] == "" and pii.masked(rows[0][1], "email:14:20,remove:0:6") == " writes [EMAIL] here"
+    assert got[0] == "remove:0:6" and got[10] == "" and got[5] == "" and pii.masked(rows[0][1], "email:14:20,remove:0:6") == " writes [EMAIL] here 0"
 
 
 def test_toxicity_held_out(spark, sf_dir):
@@ -289,6 +297,37 @@ def test_toxicity_held_out(spark, sf_dir):
     assert sum(right) / len(right) > 0.95 and all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_a_pair_whose_terms_tell_nothing_alone(spark):
+    """Either word stands in half of the toxic and half of the clean documents; both together in toxic ones alone."""
+    import random
+
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(1200):
+        toxic, first = i % 4 == 0 or i % 4 == 1, i % 4 in (0, 2)
+        own = (["aaa", "bbb"] if first else []) if toxic else (["aaa"] if first else ["bbb"])
+        rows.append((i, " ".join(own + [f"w{rng.randrange(400)}" for _ in range(12)])))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    machine = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    at = {t: int(np.flatnonzero(machine.columns == h)[0]) for t in ("aaa", "bbb") for h in toxicity.hashed_terms(t)}
+    assert abs(machine.w[list(at.values())]).max() < 0.2 and machine.v[at["aaa"]] @ machine.v[at["bbb"]] > 1
+    z = lambda *ws: machine.score({h for w in ws for h in toxicity.hashed_terms(w)})
+    assert z("aaa", "bbb") > max(z("aaa"), z("bbb"))
+    held = [(i, t) for i, t in rows if i % 4 in (0, 2, 3) and not __import__("zlib").crc32(str(i).encode()) % 5]
+    scores = [machine.score(toxicity.hashed_terms(t)) for _, t in held]
+    pos, neg = [s for (i, _), s in zip(held, scores) if i % 4 == 0], [s for (i, _), s in zip(held, scores) if i % 4]
+    assert np.mean([p > q for p in pos for q in neg]) > 0.9
+
+
+def test_the_machine_scores_as_its_definition():
+    rng = np.random.default_rng(3)
+    m = toxicity.FactorizationMachine(np.array([2, 5, 9, 11], np.int32), 0.3, rng.normal(size=4), rng.normal(size=(4, 3)))
+    for own in ({2, 5, 11}, {9}, {1, 3}, set(), {2, 5, 9, 11, 40}):
+        at = [k for k, c in enumerate(m.columns.tolist()) if c in own]
+        z = m.w0 + sum(m.w[k] for k in at) + sum(m.v[a] @ m.v[b] for i, a in enumerate(at) for b in at[i + 1 :])
+        assert abs(m.score(own) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_toxicity_edges(spark, docs, empty):
     labels = spark.createDataFrame([(i, 1, int(i % 2)) for i in range(15)] + [(3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = toxicity.score_toxicity(docs, toxicity.train(docs, labels))
