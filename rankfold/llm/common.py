@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -32,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _made.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="rankfold-"))
+    if sc.applicationId not in _made:
+        _made[sc.applicationId] = tempfile.mkdtemp(prefix="rankfold-")
+        atexit.register(shutil.rmtree, _made[sc.applicationId], ignore_errors=True)
+    return _made[sc.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

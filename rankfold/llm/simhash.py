@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -140,32 +140,35 @@ def blocks(bits: int, most: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def near(spark: SparkSession, fps: DataFrame, most: int, hot: int = 200_000, prefix: int = 8) -> DataFrame:
+def _rest(fp: Column, shift: int, width: int) -> Column:
+    """The bits outside a block, side by side."""
+    low = fp.bitwiseAND(F.lit((1 << shift) - 1))
+    high = F.shiftleft(F.shiftrightunsigned(fp, shift + width), shift) if shift + width < 64 else F.lit(0).cast("long")
+    return low.bitwiseOR(high)
+
+
+def near(spark: SparkSession, fps: DataFrame, most: int, hot: int = 200_000) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fps`` (fp) wherever two differ in at most ``most`` bits.
 
     Each fingerprint goes once for each of most + 1 blocks to the shard of the block's value; two within the
     budget meet in a shard at least, whose trie is joined with itself. A shard of over ``hot`` fingerprints is
-    split at the trie's own node pairs: its rows go to every pair of ``prefix``-bit nodes within the budget
-    that holds their node. A shard yields a link from each row to its component's least one: no pairs.
+    split the same way by blocks of the other bits: two that agree in the first block differ in those alone, so
+    they agree in one of most + 1 of them. That makes (most + 1) ** 2 copies of a row at most. A shard yields a
+    link from each row to its component's least one: no pairs.
     """
-    parts = [
-        fps.select(F.lit(k).alias("block"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value"), "fp")
-        for k, (shift, width) in enumerate(blocks(64, most))
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionAll(p)
+    part = lambda c, shift, width: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << width) - 1))
+    sub = lambda j, c: F.struct(F.lit(j).alias("j"), c.cast("long").alias("v"))
+    parts = []
+    for k, (shift, width) in enumerate(blocks(64, most)):
+        subs = F.array(*(sub(j, part(_rest(F.col("fp"), shift, width), *own)) for j, own in enumerate(blocks(64 - width, most))))
+        parts.append(fps.select(F.lit(k).alias("block"), part(F.col("fp"), shift, width).alias("value"), "fp", subs.alias("subs")))
+    rows = reduce(DataFrame.unionAll, parts)
     sizes = rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > hot)
     sizes = sizes.select(F.col("block").alias("hb"), F.col("value").alias("hv"))
     marked = rows.join(sizes, (F.col("block") == F.col("hb")) & (F.col("value") == F.col("hv")), "left")
-    # the node is made of bits outside the shard's block: the top ones, or for the top block the lowest ones
-    node = F.when(F.col("block") == most, F.col("fp").bitwiseAND(F.lit((1 << prefix) - 1))).otherwise(F.shiftrightunsigned("fp", 64 - prefix))
-    masks = [m for k in range(most + 1) for m in (sum(1 << b for b in c) for c in combinations(range(prefix), k))]
-    of = lambda p, q: F.struct(p.cast("long").alias("p"), q.cast("long").alias("q"))
-    pair = F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: of(F.least(node, node.bitwiseXOR(m)), F.greatest(node, node.bitwiseXOR(m))))
-    plain = F.array(of(F.lit(-1), F.lit(-1)))
-    sharded = marked.select(F.col("value"), "block", F.explode(F.when(F.col("hb").isNull(), plain).otherwise(pair)).alias("pq"), "fp")
-    shard = F.xxhash64("block", "value", "pq.p", "pq.q")
+    plain = F.array(sub(-1, F.lit(-1)))
+    sharded = marked.select("value", "block", F.explode(F.when(F.col("hb").isNull(), plain).otherwise(F.col("subs"))).alias("s"), "fp")
+    shard = F.xxhash64("block", "value", "s.j", "s.v")
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = sharded.select(shard.alias("shard"), "fp").repartition(parts_n, "shard").sortWithinPartitions("shard", F.col("fp").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
 
@@ -189,15 +192,19 @@ def near(spark: SparkSession, fps: DataFrame, most: int, hot: int = 200_000, pre
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def classes(spark: SparkSession, fps: DataFrame, most: int) -> DataFrame:
-    """``fps`` (doc_id, fp) with root, a fingerprint that stands for the component, and component_id, its least doc_id."""
-    fps = stored(fps, "fingerprints")
+def named_components(spark: SparkSession, fps: DataFrame, most: int) -> DataFrame:
+    """(fp, root, component_id) for each fingerprint of ``fps`` (doc_id, fp), which is read twice: root stands for the component, component_id is its least doc_id."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(near(spark, distinct.select("fp"), most)).withColumnRenamed("node", "fp")
     rooted = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.select("fp", "root").join(ids, "root"), "components")
-    return fps.join(named, "fp")
+    return stored(rooted.select("fp", "root").join(ids, "root"), "components")
+
+
+def classes(spark: SparkSession, fps: DataFrame, most: int) -> DataFrame:
+    """``fps`` (doc_id, fp) with the root and component_id of ``named_components``."""
+    fps = stored(fps, "fingerprints")
+    return fps.join(named_components(spark, fps, most), "fp")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
@@ -218,8 +225,7 @@ def simhash_dedup(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:
         ),
         "simhash-rows",
     )
-    found = classes(spark, base.select("doc_id", "fp"), most).select("doc_id", "fp", "root", "component_id")
-    first = base.join(found.select("fp", "root", "component_id").distinct(), "fp")
+    first = base.join(named_components(spark, base.select("doc_id", "fp"), most), "fp")
     first = first.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("root").agg(F.min(F.struct("doc_id", "k")).alias("one")).select(F.col("one.doc_id").alias("sid"), F.col("one.k").alias("sk"))
     joined = rows.join(first, F.col(own.at("doc_id")).eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk")), "left_semi")

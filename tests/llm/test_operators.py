@@ -152,13 +152,13 @@ def brute_components(fps, most):
     return root
 
 
-@pytest.mark.parametrize("hot, prefix", [(200_000, 8), (10, 4)])
-def test_trie_join_finds_the_components_of_all_pairs(spark, hot, prefix):
+@pytest.mark.parametrize("hot", [200_000, 10])
+def test_trie_join_finds_the_components_of_all_pairs(spark, hot):
     rng = np.random.default_rng(3)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = sorted({b ^ sum(1 << int(k) for k in rng.integers(0, 64, n)) for b in base for n in (0, 1, 2, 3, 4, 5, 6)} | {0, 15, (1 << 64) - 1})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.near(spark, spark.createDataFrame([(f,) for f in signed], "fp long"), 4, hot=hot, prefix=prefix)
+    edges = simhash.near(spark, spark.createDataFrame([(f,) for f in signed], "fp long"), 4, hot=hot)
     found = {r.node: r.root for r in components(edges).collect()}
     want = brute_components(fps, 4)
     mine = [found.get(f, f) for f in signed]
