@@ -60,18 +60,40 @@ def single_score(text: Column) -> Column:
     return F.coalesce(F.regexp_extract(text, r"\b(10|[1-9])\b", 1).try_cast("double") / 10.0, F.lit(0.0))
 
 
+_REPLY = (
+    "text string, choices array<struct<message:struct<content:string>>>, prompt_feedback struct<block_reason:string>, "
+    "candidates array<struct<content:struct<parts:array<struct<text:string>>>,finish_reason:string>>"
+)
+
+
+def _object(json: Column) -> Column:
+    return F.when(json.startswith("{"), json)
+
+
+def _body(json: Column) -> Column:
+    """The response's body if that is an object, else the response itself; null if that is none."""
+    return F.from_json(F.coalesce(_object(F.get_json_object(json, "$.response.body")), _object(F.get_json_object(json, "$.response"))), _REPLY)
+
+
+def reply_text(json: Column) -> Column:
+    """The reply's text in any of three shapes, of all candidates line by line; null without one."""
+    body = _body(json)
+    parts = F.flatten(F.filter(F.transform(body["candidates"], lambda c: c["content"]["parts"]), lambda p: p.isNotNull()))
+    texts = F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull())
+    return F.coalesce(body["text"], F.get(body["choices"], F.lit(0))["message"]["content"], F.when(F.size(texts) > 0, F.array_join(texts, "\n")))
+
+
 def response_text(json: Column) -> Column:
-    """The reply's text in any of three shapes."""
-    parts = F.from_json(F.get_json_object(json, "$.response.body.candidates[0].content.parts"), "array<struct<text:string>>")
-    return F.coalesce(
-        F.get_json_object(json, "$.response.body.text"), F.get_json_object(json, "$.response.body.choices[0].message.content"), F.array_join(F.transform(parts, lambda p: p.text), "\n"), F.lit("")
-    )
+    """``reply_text``, '' without one."""
+    return F.coalesce(reply_text(json), F.lit(""))
 
 
 def blocked(json: Column) -> Column:
-    reason = F.coalesce(F.get_json_object(json, "$.response.body.prompt_feedback.block_reason"), F.lit(""))
-    finish = F.upper(F.coalesce(F.get_json_object(json, "$.response.body.candidates[0].finish_reason"), F.lit("")))
-    return (reason != "") | finish.contains("SAFETY")
+    """No response, a stated reason of a block, or any candidate that ended for safety or by a block."""
+    body = _body(json)
+    reason = F.upper(F.coalesce(body["prompt_feedback"]["block_reason"], F.lit("")))
+    ended = F.exists(body["candidates"], lambda c: F.coalesce(F.upper(c["finish_reason"]).rlike("SAFETY|BLOCK"), F.lit(False)))
+    return body.isNull() | ~reason.isin("", "BLOCK_REASON_UNSPECIFIED") | F.coalesce(ended, F.lit(False))
 
 
 def truncated(c: Column, most: int = 500) -> Column:

@@ -53,3 +53,20 @@ def test_sources(spark, tmp_path):
     assert [r.question for r in read_questions(spark, str(tmp_path / "q.json"), 2).collect()] == ["a"]
     (tmp_path / "r.jsonl").write_text('{"key": "k1"}\n\n{"id": "k2"}\nbad\n')
     assert sorted(r.custom_id for r in read_replies(spark, str(tmp_path / "r.jsonl")).collect()) == ["k1", "k2"]
+
+
+def test_replies_of_every_shape(spark):
+    rows = [
+        ('{"response": {"body": {"text": "a"}}}', "a", False),
+        ('{"response": {"text": "b"}}', "b", False),
+        ('{"response": {"body": {"choices": [{"message": {"content": "c"}}, {"message": {"content": "x"}}]}}}', "c", False),
+        ('{"response": {"candidates": [{"content": {"parts": [{"text": "d"}, {"n": 1}]}}, {}, {"content": {"parts": [{"text": "e"}]}, "finish_reason": "STOP"}]}}', "d\ne", False),
+        ('{"response": {"candidates": [{"finish_reason": "STOP"}, {"finish_reason": "blocklist"}]}}', None, True),
+        ('{"response": {"prompt_feedback": {"block_reason": "BLOCK_REASON_UNSPECIFIED"}}}', None, False),
+        ('{"response": {"body": {"prompt_feedback": {"block_reason": "OTHER"}}}}', None, True),
+        ('{"custom_id": "q"}', None, True),
+        ("no json", None, True),
+    ]
+    df = spark.createDataFrame([(r[0],) for r in rows], "j string")
+    got = df.select(P.reply_text(F.col("j")), P.blocked(F.col("j"))).collect()
+    assert [tuple(r) for r in got] == [r[1:] for r in rows]

@@ -15,3 +15,23 @@ def test_each_query_is_searched_as_by_itself(spark, sf_dir):
         e = F.array(*(F.lit(float(x)) for x in queries[q]))
         alone = V.trilateration_search(docs, start, lambda rows: rows.select("d", ((1 + V.cosine(F.col("embedding"), e)) / 2).alias("score"))).collect()
         assert [(r.step, r.d, round(r.score, 9)) for r in out if r.q == q] == [(r.step, r.d, round(r.score, 9)) for r in alone]
+
+
+def test_the_point_equals_a_plain_loop():
+    import numpy as np
+
+    from rankfold.operators.vector import trilaterate
+
+    rng = np.random.default_rng(5)
+    points, scores = rng.normal(size=(5, 3)), rng.uniform(0.2, 0.6, 5)
+    x = [sum(points[i][k] / (1 - scores[i] + 1e-8) for i in range(5)) / sum(1 / (1 - s + 1e-8) for s in scores) for k in range(3)]
+    for _ in range(20):
+        slope = [0.0] * 3
+        for i in range(5):
+            far = sum((x[k] - points[i][k]) ** 2 for k in range(3)) ** 0.5
+            for k in range(3):
+                slope[k] += 2 / (1 - scores[i] + 1e-8) * (far - (1 - scores[i])) / (far + 1e-8) * (x[k] - points[i][k])
+        if sum(g * g for g in slope) ** 0.5 <= 1e-4:
+            break
+        x = [a - 0.1 * g for a, g in zip(x, slope)]
+    assert np.allclose(trilaterate(points, scores), x, rtol=1e-6)
