@@ -23,33 +23,39 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, d, s, same): all query-document pairs, in blocks."""
-    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
+    """(q, d, s, same): all query-document pairs, in blocks that carry the label; nothing is shuffled."""
+    queries = query_set(spark, sf_dir)
     keys, m = query_matrix(queries, "q", "embedding")
-    sims = block_cosine(docs, keys, m).select("q", "d", F.round("s1", 6).alias("s"))
+    sims = block_cosine(corpus(spark, sf_dir), keys, m, carry="label")
     labels = F.broadcast(queries.select("q", F.col("label").alias("ql")))  # N_QUERIES rows
-    return sims.join(labels, "q").join(docs.select("d", "label"), "d").select("q", "d", "s", (F.col("label") == F.col("ql")).alias("same"))
+    return sims.join(labels, "q").select("q", "d", F.round("s1", 6).alias("s"), (F.col("label") == F.col("ql")).alias("same"))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """results(query_idx, doc_id, llm_score, dist_to_gt, is_gt, rag_failed), one row for each pair; cached by folder."""
+    """results(query_idx, doc_id, llm_score, dist_to_gt, is_gt, rag_failed), one row for each pair; cached by folder.
+
+    Two passes over the corpus: the best row of each query, then both similarities of a pair from one block.
+    Only one row a task and query is shuffled.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _kept:
         return _kept[key]
-    sims = similarities(spark, sf_dir)
+    docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
     first = lambda c: F.max(F.when(c, F.struct("s", (-F.col("d")).alias("d")))).alias
-    best = sims.groupBy("q").agg(first(F.col("same"))("g"), first(F.lit(True))("t"))
-    best = best.select("q", (-F.col("g.d")).alias("g"), (-F.col("t.d")).alias("t"))
-    docs = corpus(spark, sf_dir)
-    truth = best.join(docs, F.col("g") == F.col("d")).select("q", "embedding")
-    keys, m = query_matrix(truth, "q", "embedding")
-    dist = block_cosine(docs, keys, m).select("q", "d", (F.round(1 - F.col("s1"), 6) + 0.0).alias("dist_to_gt"))
-    level = 1 + F.floor((20 + 4 * (F.col("q") % 4)) * F.greatest(F.lit(0.0), "s")) + F.when(F.col("same"), 3).otherwise(0)
-    out = sims.join(dist, ["q", "d"]).join(F.broadcast(best), "q").select(
+    found = similarities(spark, sf_dir).groupBy("q").agg(first(F.col("same"))("g"), first(F.lit(True))("t")).filter("g is not null")
+    best = [(r["q"], -r["g"]["d"], -r["t"]["d"]) for r in found.orderBy("q").collect()]  # N_QUERIES rows at most
+    by_query = F.broadcast(spark.createDataFrame(best, "q long, g long, t long").join(queries.select("q", F.col("label").alias("ql")), "q"))
+    asked = queries.join(F.broadcast(by_query.select("q")), "q")
+    truth = by_query.select("q", F.col("g").alias("d")).join(docs, "d")
+    keys, m = query_matrix(asked, "q", "embedding")
+    keys, m_truth = query_matrix(truth, "q", "embedding")
+    level = 1 + F.floor((20 + 4 * (F.col("q") % 4)) * F.greatest(F.lit(0.0), "s")) + F.when(F.col("label") == F.col("ql"), 3).otherwise(0)
+    pairs = block_cosine(docs, keys, m, m_truth, carry="label").join(by_query, "q").withColumn("s", F.round("s1", 6))
+    out = pairs.select(
         (F.col("q") + 1).alias("query_idx"),
         F.col("d").cast("string").alias("doc_id"),
         (F.greatest(F.lit(1), F.least(F.lit(10), level)).cast("double") / 10.0).alias("llm_score"),
-        "dist_to_gt",
+        (F.round(1 - F.col("s2"), 6) + 0.0).alias("dist_to_gt"),
         (F.col("d") == F.col("g")).cast("int").alias("is_gt"),
         (F.col("t") != F.col("g")).cast("int").alias("rag_failed"),
     )

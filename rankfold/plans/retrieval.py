@@ -10,7 +10,7 @@ from rankfold.functions import parsing as P
 from rankfold.operators import pool as O
 from rankfold.operators import vector as V
 from rankfold.operators.ranking import r6
-from rankfold.operators.scored import N_QUERIES, SCORED_SQL, corpus, query_set, raw, scored, similarities
+from rankfold.operators.scored import N_QUERIES, SCORED_SQL, corpus, query_set, raw, scored
 
 QUERIES, SQL = {}, {}
 
@@ -45,8 +45,8 @@ def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED_SQL + " SELECT q, d, s, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM sim WHERE s >= 0.2) WHERE r <= 5")
 def threshold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = similarities(spark, sf_dir).filter("s >= 0.2").select("q", "d", "s")
-    return O.first_ranked(rows, "q", [F.desc("s"), "d"], 5)
+    near = V.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 5)
+    return near.select("q", "d", F.col("similarity").alias("s"), F.col("rank").alias("r")).filter("s >= 0.2")
 
 
 @query(SCORED_SQL + """ SELECT q, d, round(list_cosine_similarity(qv.e, dv.e), 6) + 0.0 AS cosine, round(list_inner_product(qv.e, dv.e), 6) + 0.0 AS dot, round(list_distance(qv.e, dv.e), 6) AS l2,
@@ -137,8 +137,8 @@ gp AS (SELECT doc_id, row_number() OVER (ORDER BY f.pos, f.query_idx) AS pool_po
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_truth = O.first_ranked(scored(spark, sf_dir).filter("is_gt = 0"), "query_idx", ["dist_to_gt", F.col("doc_id").cast("long")], 20)
-    sims = similarities(spark, sf_dir).select((F.col("q") + 1).alias("query_idx"), F.col("d").cast("string").alias("doc_id"), "s")
-    return O.interleaved(by_truth, O.first_ranked(sims, "query_idx", [F.desc("s"), F.col("doc_id").cast("long")], 20))
+    near = V.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 20)
+    return O.interleaved(by_truth, near.select((F.col("q") + 1).alias("query_idx"), F.col("d").cast("string").alias("doc_id"), F.col("rank").alias("r")))
 
 
 @query(SCORED_SQL + _LISTS + "SELECT query_idx, doc_id, pos::INT AS pos FROM il")
