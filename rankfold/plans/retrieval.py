@@ -29,11 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(SCORED_SQL + " SELECT q, d, s AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM sim) WHERE r <= 10")
-def knn_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 10)
-
-
 @query("""SELECT q, d, s AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS d,
 round(greatest(-1, least(1, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)) WHERE r <= 10""")
 def knn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +44,6 @@ def threshold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("q", "d", F.col("similarity").alias("s"), F.col("rank").alias("r")).filter("s >= 0.2")
 
 
-@query(SCORED_SQL + """ SELECT q, d, round(list_cosine_similarity(qv.e, dv.e), 6) + 0.0 AS cosine, round(list_inner_product(qv.e, dv.e), 6) + 0.0 AS dot, round(list_distance(qv.e, dv.e), 6) AS l2,
-round(1 / (1 + list_distance(qv.e, dv.e)), 6) AS euclidean, round(1 - list_cosine_similarity(qv.e, dv.e), 6) AS cosine_distance, round(-list_inner_product(qv.e, dv.e), 6) + 0.0 AS ip FROM qv JOIN dv ON d = q + 50""")
-def vector_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = query_set(spark, sf_dir).select("q", F.col("embedding").alias("a"))
-    b = corpus(spark, sf_dir).select("d", F.col("embedding").alias("b"))
-    m = {n: r6(V.metric(k)(F.col("a"), F.col("b"))) for n, k in (("dot", "dot"), ("l2", "l2"), ("euclidean", "euclidean"), ("cosine_distance", "cosine"), ("ip", "ip"))}
-    return a.join(b, F.col("d") == F.col("q") + 50).select("q", "d", r6(V.cosine(F.col("a"), F.col("b"))).alias("cosine"), *(c.alias(n) for n, c in m.items()))
-
-
 @query(SCORED_SQL + """ SELECT q, d, round(list_cosine_similarity(qv.e, dv.e), 6) + 0.0 AS cosine, round(list_inner_product(qv.e, dv.e), 6) + 0.0 AS dot, round(list_distance(qv.e, dv.e), 6) AS l2,
 round(1 / (1 + list_distance(qv.e, dv.e)), 6) AS euclidean, round(1 - list_cosine_similarity(qv.e, dv.e), 6) AS cosine_distance, round(-list_inner_product(qv.e, dv.e), 6) + 0.0 AS ip FROM qv, dv""")
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,14 +195,9 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PUNCT = P.PUNCTUATION.replace("'", "''")
 
 
-@query(f"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{_PUNCT}', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal FROM documents WHERE lang = 'en'")
-def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.md5(P.norm_text(F.col("text"))).alias("normal"))
-
-
-@query()
+@query(f"SELECT doc_id, md5(trim(regexp_replace(translate(lower(text), '{_PUNCT}', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS normal FROM documents")
 def normalised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents of every language; no SQL, for its lower differs on letters that are not ASCII."""
+    """All documents of every language."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(P.norm_text(F.col("text"))).alias("normal"))
 
 
