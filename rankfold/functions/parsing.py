@@ -36,17 +36,17 @@ def _ints(json: Column) -> Column:
     return F.when(F.size(found) > 0, found)
 
 
-def fit(scores: Column, n: int, low: int = 0, high: int = 10, pad: int = 0) -> Column:
+def fit(scores: Column, n: Column | int, low: int = 0, high: int = 10, pad: int = 0) -> Column:
     """Clamped, padded or cut to n."""
     kept = F.transform(F.coalesce(scores, F.array().cast("array<int>")), lambda x: F.greatest(F.lit(low), F.least(F.lit(high), x)))
-    return F.slice(F.concat(kept, F.array_repeat(F.lit(pad), n)), 1, n)
+    return F.slice(F.concat(kept, F.array_repeat(F.lit(pad), n)), F.lit(1), F.lit(n))
 
 
-def parse_scores(text: Column, n: int) -> Column:
+def parse_scores(text: Column, n: Column | int) -> Column:
     """The scores of a reply: a JSON list; a list under SCORE_KEYS; the first [...]; or else numbers from 1 to 10 in the text."""
     t = F.trim(text)
     lists = [F.when(t.startswith("["), _ints(t)), *(_ints(F.get_json_object(t, f"$.{k}")) for k in SCORE_KEYS), _ints(F.regexp_extract(t, r"\[[\s\S]*?\]", 0))]
-    numbers = F.slice(F.transform(F.regexp_extract_all(t, F.lit(r"\b(10|[1-9])\b"), F.lit(1)), lambda x: x.cast("int")), 1, n)
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\b(10|[1-9])\b"), F.lit(1)), lambda x: x.cast("int"))
     return fit(F.coalesce(*lists, numbers), n)
 
 

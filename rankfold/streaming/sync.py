@@ -18,17 +18,28 @@ def score_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, folder: str) -> DataFrame:
-    """(custom_id, score) of replies, each custom_id once. The ids seen are the query's state."""
+    """(custom_id, score) of reply lines as they arrive, repeated ones too."""
     lines = spark.readStream.schema("value string").text(folder)
     parsed = lines.select(F.get_json_object("value", "$.custom_id").alias("custom_id"), single_score(response_text(F.col("value"))).alias("score"))
-    return parsed.filter("custom_id is not null").dropDuplicates(["custom_id"])
+    return parsed.filter("custom_id is not null")
 
 
 def merge_replies(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append each arrival's replies under its batch number; a batch that is run again overwrites itself."""
+    """Append each arrival's replies under its batch number, each custom_id once; of several in one arrival the largest score.
+
+    What earlier batches stored is the only memory, so the query holds no state that grows; a batch that is run
+    again overwrites itself.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        session = batch.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path
+        files = path(out).getFileSystem(session._jsc.hadoopConfiguration())
+        new = batch.groupBy("custom_id").agg(F.max("score").alias("score"))
+        if files.exists(path(out)):
+            stored = session.read.schema("custom_id string, score double, batch long").parquet(out).filter(F.col("batch") < number)
+            new = new.join(stored, "custom_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return replies(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
