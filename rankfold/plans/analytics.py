@@ -12,6 +12,8 @@ from rankfold.operators.ranking import r6
 from rankfold.operators.scored import SCORED_SQL, raw, scored
 
 QUERIES, SQL = {}, {}
+#: the same by name as functions of any fact table; those over raw facts, with missing scores, apart
+PLANS, RAW_PLANS = {}, {}
 
 
 def query(sql: str | None = None, fact=scored):
@@ -22,6 +24,7 @@ def query(sql: str | None = None, fact=scored):
             return f(fact(spark, sf_dir))
 
         QUERIES[f.__name__] = run
+        (RAW_PLANS if fact is raw else PLANS)[f.__name__] = f
         if sql:
             SQL[f.__name__] = SCORED_SQL + PQ + sql
         return f
@@ -140,6 +143,17 @@ def llm_recovery_at_k(s: DataFrame) -> DataFrame:
     return rows.groupBy("K").agg(hit.alias("recovered"), F.count("*").alias("total"), r6(hit * 100.0 / F.count("*")).alias("recovery_rate_pct"))
 
 
+@query(_CORR + """SELECT side, place::INT AS place, query_idx, round(spearman, 6) + 0.0 AS spearman FROM (
+SELECT 'lowest' AS side, row_number() OVER (ORDER BY spearman, query_idx) AS place, * FROM co WHERE spearman IS NOT NULL UNION ALL
+SELECT 'highest', row_number() OVER (ORDER BY spearman DESC, query_idx), * FROM co WHERE spearman IS NOT NULL) WHERE place <= 5""")
+def spearman_extremes(s: DataFrame) -> DataFrame:
+    """The five queries of least and of most correlation."""
+    c = R.correlations(s).filter("spearman is not null")
+    ends = (("lowest", F.col("spearman")), ("highest", F.desc("spearman")))
+    w = Window.orderBy
+    return union([c.select(F.lit(n).alias("side"), F.row_number().over(w(o, "query_idx")).alias("place"), "query_idx", (r6(F.col("spearman")) + 0.0).alias("spearman")).filter("place <= 5") for n, o in ends])
+
+
 @query("""SELECT CASE WHEN is_gt = 1 THEN 'GT' ELSE 'non-GT' END AS "group", count(*) AS count, round(avg(llm_score), 6) AS mean, round(quantile_cont(llm_score, 0.5), 6) AS median,
 round(stddev_samp(llm_score), 6) AS std, round(quantile_cont(llm_score, 0.25), 6) AS p25, round(quantile_cont(llm_score, 0.75), 6) AS p75, round(quantile_cont(llm_score, 0.9), 6) AS p90,
 round(quantile_cont(llm_score, 0.99), 6) AS p99 FROM results GROUP BY 1""")
@@ -363,3 +377,37 @@ def pooled_score_distance(s: DataFrame) -> DataFrame:
 @query("SELECT count(*) AS n_queries, round(avg(gt_rag::DOUBLE) * 100, 6) AS rag_fail_pct, round(avg((rank_min = 1)::INT::DOUBLE) * 100, 6) AS accuracy_at_1, round(avg(gt_dist), 6) AS mean_gt_dist, round(max(gt_dist), 6) AS max_gt_dist FROM pq")
 def report_kpis(s: DataFrame) -> DataFrame:
     return R.per_query(s).agg(F.count("*").alias("n_queries"), r6(F.avg("gt_rag_failed") * 100).alias("rag_fail_pct"), r6(F.avg((F.col("rank_min") == 1).cast("double")) * 100).alias("accuracy_at_1"), r6(F.avg("gt_dist")).alias("mean_gt_dist"), r6(F.max("gt_dist")).alias("max_gt_dist"))
+
+
+_flat = {"MRR": "avg(1.0::DOUBLE / rank_min)"} | {f"P@{k}": f"avg((rank_min <= {k})::INT::DOUBLE)" for k in (1, 3, 5, 10, 20, 50, 100)}
+
+
+@query(metrics_sql(_flat, "pq"))
+def mrr_and_precision_at_k(s: DataFrame) -> DataFrame:
+    """By the best place among ties."""
+    r = F.col("rank_min")
+    return metrics(R.per_query(s), MRR=F.avg(1 / r), **{f"P@{k}": F.avg((r <= k).cast("double")) for k in (1, 3, 5, 10, 20, 50, 100)})
+
+
+_tier = "CASE WHEN gt_score = 1.0 AND n_top_ngt > 0 THEN (gt_dist <= min_ngt_dist)::INT END"
+_bundle = {
+    "n_queries": "count(*)", "gt_in_top": "count(*) FILTER (n_above = 0)", "med_tied": "quantile_cont(n_tied, 0.5) FILTER (n_above = 0)", "rec_1": "avg((rank_min = 1)::INT) * 100",
+    "mrr_opt": "avg(1.0::DOUBLE / rank_min)", "mrr_corr": "avg(1.0::DOUBLE / rank_avg)", "wr_within": f"avg({_tier}) * 100", "wr_overall": f"sum({_tier}) * 100.0::DOUBLE / count(*)", "rag_fail_pct": "max(100)",
+}
+_at_top = {"thresh_precision": "max(tp::DOUBLE / kept) * 100", "thresh_recall": "max(tp::DOUBLE / p) * 100"}
+_auc = {"roc_auc": "sum(n_gt * ((n - p) - (kept - tp) + (n_docs - n_gt) / 2.0::DOUBLE) / (p * (n - p))::DOUBLE)"}
+
+
+@query(" UNION ALL ".join((metrics_sql(_bundle, "pq"), metrics_sql(_at_top, "cum WHERE llm_score = 1.0"), metrics_sql(_auc, "cum"))))
+def report_bundle(s: DataFrame) -> DataFrame:
+    """The report's twelve figures. All analysed queries count as failed ones, which is how a run picks them."""
+    above, r = F.col("n_above") == 0, F.col("rank_min")
+    won = F.when((F.col("n_top_gt") > 0) & (F.col("n_top_ngt") > 0), (F.col("gt_dist") <= F.col("min_ngt_dist")).cast("int"))
+    queries = metrics(
+        R.per_query(s), n_queries=F.count("*").cast("double"), gt_in_top=F.count_if(above).cast("double"), med_tied=F.percentile(F.when(above, F.col("n_tied")), F.lit(0.5)), rec_1=F.avg((r == 1).cast("int")) * 100,
+        mrr_opt=F.avg(1 / r), mrr_corr=F.avg(1 / F.col("rank_avg")), wr_within=F.avg(won) * 100, wr_overall=F.sum(won) * 100.0 / F.count("*"), rag_fail_pct=F.lit(100.0),
+    )
+    top = R.cumulative(s).filter("llm_score = 1.0")
+    kept = metrics(top, thresh_precision=F.max(F.col("tp") / F.col("kept")) * 100, thresh_recall=F.max(F.col("tp") / F.col("p")) * 100)
+    auc = roc_pr_summary(s).filter("metric = 'ROC_AUC'").select(F.lit("roc_auc").alias("metric"), "value")
+    return union([queries, kept, auc])

@@ -60,27 +60,52 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", r6(V.norm(e)).alias("norm"), r6(V.norm(V.unit(e))).alias("unit_norm"))
 
 
-_NOISE = "((q * 1009 + i * 9176 + run * 31) % 2001 - 1000) / 1000.0::DOUBLE"
+#: noise levels and runs of the noise experiment
+EPSILONS, RUNS = (0.0, 0.001, 0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.15, 0.25, 0.4, 0.6, 0.8, 1.0), 5
+#: two numbers from 0 to 1 of a query, place and run, for a normal one
+_U, _W = "((q * 1009 + i * 9176 + run * 31337 + 17) % 7919 + 0.5::DOUBLE) / 7919", "((q * 2003 + i * 7529 + run * 15485 + 5) % 6007 + 0.5::DOUBLE) / 6007"
 
 
-@query(SCORED_SQL + f""", nz AS (SELECT q, eps, run, list_transform(range(0, len(e)), lambda i: e[i + 1] + eps * {_NOISE}) AS e FROM qv, (VALUES (0.05::DOUBLE), (0.2::DOUBLE)) a(eps), (VALUES (0), (1)) b(run)),
+def _noise(keys: list, width: int, run: int) -> np.ndarray:
+    """Standard normal numbers from hashed ones, the same at each run of the query."""
+    q, i = np.array(keys, np.int64)[:, None], np.arange(width)
+    u, w = ((q * 1009 + i * 9176 + run * 31337 + 17) % 7919 + 0.5) / 7919, ((q * 2003 + i * 7529 + run * 15485 + 5) % 6007 + 0.5) / 6007
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * w)
+
+
+_NOISE = SCORED_SQL + f""", ep AS (SELECT unnest([{", ".join(f"{e}::DOUBLE" for e in EPSILONS)}]) AS eps), rn AS (SELECT unnest(range(0, {RUNS})) AS run),
+nz AS (SELECT q, eps, run, list_transform(range(0, len(e)), lambda i: e[i + 1] / sqrt(list_inner_product(e, e)) + eps * sqrt(-2 * ln({_U})) * cos(2 * pi() * {_W})) AS e FROM qv, ep, rn),
 t0 AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY s DESC, d) AS r FROM sim QUALIFY r <= 10),
-t1 AS (SELECT q, eps, run, d, row_number() OVER (PARTITION BY q, eps, run ORDER BY round(list_cosine_similarity(nz.e, dv.e), 6) DESC, d) AS r FROM nz, dv QUALIFY r <= 10)
-SELECT eps AS epsilon, round(avg(n), 6) AS mean_changed, round(avg(n) * 100 / 10, 6) AS mean_percent FROM (SELECT t1.q, eps, run, count(*) FILTER (t0.d <> t1.d) AS n FROM t1 JOIN t0 ON t0.q = t1.q AND t0.r = t1.r GROUP BY 1, 2, 3) GROUP BY eps""")
-def noise_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many of the ten nearest change their place as noise is added to the queries (hashed, not drawn)."""
+t1 AS (SELECT q, eps, run, d, row_number() OVER (PARTITION BY q, eps, run ORDER BY round(list_cosine_similarity(nz.e, dv.e), 6) DESC, d) AS r FROM nz, dv QUALIFY r <= 10),
+nc AS (SELECT t1.q, eps, run, count(*) FILTER (t0.d <> t1.d) AS n FROM t1 JOIN t0 ON t0.q = t1.q AND t0.r = t1.r GROUP BY 1, 2, 3)
+"""
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, epsilon, run, n): how many of the ten nearest change their place as noise is added to the unit query."""
     docs, qs = corpus(spark, sf_dir), query_set(spark, sf_dir)
     keys, m = V.query_matrix(qs, "q", "embedding")
-    sets = [(eps, run) for eps in (0.05, 0.2) for run in (0, 1)]
-    i = np.arange(m.shape[1])
-    noisy = np.concatenate([m + eps * (((np.array(keys)[:, None] * 1009 + i * 9176 + run * 31) % 2001 - 1000) / 1000.0) for eps, run in sets])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sets = [(eps, run) for eps in EPSILONS for run in range(RUNS)]
+    noisy = np.concatenate([unit + eps * _noise(keys, m.shape[1], run) for eps, run in sets])
     ids = [s * N_QUERIES + k for s in range(len(sets)) for k in keys]
     near = V.block_cosine(docs, ids, noisy, top=10).withColumn("similarity", F.round("s1", 6))
-    near = O.first_ranked(near, "q", [F.desc("similarity"), "d"], 10).withColumn("set", F.floor(F.col("q") / N_QUERIES)).withColumn("q", F.col("q") % N_QUERIES)
+    near = O.first_ranked(near, "q", [F.desc("similarity"), "d"], 10)
+    near = near.withColumn("set", F.floor(F.col("q") / N_QUERIES)).withColumn("q", F.col("q") % N_QUERIES)
     base = V.top_k(docs, qs, 10).select("q", F.col("d").alias("d0"), F.col("rank").alias("r"))
-    changed = near.join(base, ["q", "r"]).groupBy("q", "set").agg(F.sum((F.col("d") != F.col("d0")).cast("int")).alias("n"))
-    eps = F.when(F.col("set") < 2, 0.05).otherwise(0.2)
-    return changed.groupBy(eps.alias("epsilon")).agg(r6(F.avg("n")).alias("mean_changed"), r6(F.avg("n") * 100 / 10).alias("mean_percent"))
+    eps = F.get(F.array(*map(F.lit, EPSILONS)), F.floor(F.col("set") / RUNS).cast("int"))
+    changed = near.join(base, ["q", "r"]).groupBy("q", "set").agg(F.count_if(F.col("d") != F.col("d0")).alias("n"))
+    return changed.select("q", eps.alias("epsilon"), (F.col("set") % RUNS).alias("run"), "n")
+
+
+@query(_NOISE + "SELECT eps AS epsilon, round(avg(n), 6) AS mean_changed, round(avg(n / 10.0::DOUBLE), 6) AS mean_percent FROM nc GROUP BY eps")
+def noise_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).groupBy("epsilon").agg(r6(F.avg("n")).alias("mean_changed"), r6(F.avg(F.col("n") / 10)).alias("mean_percent"))
+
+
+@query(_NOISE + "SELECT q, eps AS epsilon, round(avg(n), 6) AS mean_changed, round(avg(n / 10.0::DOUBLE), 6) AS mean_percent FROM nc GROUP BY q, eps")
+def noise_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(spark, sf_dir).groupBy("q", "epsilon").agg(r6(F.avg("n")).alias("mean_changed"), r6(F.avg(F.col("n") / 10)).alias("mean_percent"))
 
 
 @query(SCORED_SQL + """, n5 AS (SELECT q, d, s FROM sim QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, d) <= 5),
