@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankfold.llm import bpe, exact_dedup, licenses, line_dedup, mixing, pii, prefix_trie, quality, simhash, substring_dedup, token_table, toxicity
+from rankfold.llm import alignment, bpe, exact_dedup, licenses, line_dedup, mixing, pii, prefix_trie, quality, simhash, substring_dedup, token_table, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_pii": pii.op10_pii,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_token_table": token_table.op12_token_table,
+    "op13_alignment": alignment.op13_alignment,
 }
-SQL = {**line_dedup.SQL, **exact_dedup.SQL, **mixing.SQL, **bpe.SQL, **licenses.SQL, **pii.SQL, **prefix_trie.SQL, **quality.SQL, **simhash.SQL, **substring_dedup.SQL, **token_table.SQL, **toxicity.SQL}
+SQL = {**alignment.SQL, **line_dedup.SQL, **exact_dedup.SQL, **mixing.SQL, **bpe.SQL, **licenses.SQL, **pii.SQL, **prefix_trie.SQL, **quality.SQL, **simhash.SQL, **substring_dedup.SQL, **token_table.SQL, **toxicity.SQL}
