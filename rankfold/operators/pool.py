@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfold.operators.ordered import places
+
 
 def first_ranked(rows: DataFrame, by: str, order: list, most: int, name: str = "r") -> DataFrame:
     """The first ``most`` rows of each group, numbered; Spark limits each task's groups before the shuffle."""
@@ -20,9 +22,13 @@ def interleaved(near_truth: DataFrame, near_query: DataFrame) -> DataFrame:
 
 
 def global_pool(lists: DataFrame) -> DataFrame:
-    """(doc_id, pool_pos): all queries' lists by place, then query; each document at its first. Bounded by queries times list length."""
-    first = lists.groupBy("doc_id").agg(F.min(F.struct("pos", "query_idx")).alias("f"))
-    return first.select("doc_id", F.row_number().over(Window.orderBy("f.pos", "f.query_idx")).cast("long").alias("pool_pos"))
+    """(doc_id, pool_pos): all queries' lists by place, then query; each document at its first.
+
+    Places are unique by (pos, query_idx), as each is one document's; the whole order is cut by ranges, so that
+    no task numbers all documents.
+    """
+    first = lists.groupBy("doc_id").agg(F.min(F.struct("pos", "query_idx")).alias("f")).select("doc_id", "f.pos", "f.query_idx")
+    return places(first, [], ["pos", "query_idx"], "pool_pos").select("doc_id", "pool_pos")
 
 
 def stage(pool_pos: Column, stride: int, n_queries: int) -> Column:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankfold.operators.ordered import level_quantile, quantiles, running
+
 QUERY = "query_idx"
 
 
@@ -52,20 +54,34 @@ def per_query(scored: DataFrame) -> DataFrame:
     })
 
 
+def dist_quantiles(rows: DataFrame, by: str, median: str = "median_dist") -> DataFrame:
+    """(by, n_docs, mean_dist, median_dist, p10_dist, p90_dist), a row a group, from exact quantiles without a group in one task."""
+    q = quantiles(rows, [by], "dist_to_gt", [0.5, 0.1, 0.9]).select(F.col(by).alias("g"), F.col("q")[0].alias(median), F.col("q")[1].alias("p10_dist"), F.col("q")[2].alias("p90_dist"))
+    means = rows.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum(F.col("is_gt").cast("long")).alias("n_gt"), F.avg("dist_to_gt").alias("mean_dist"))
+    return means.join(q, F.col(by).eqNullSafe(F.col("g")), "left").drop("g")
+
+
 def levels(scored: DataFrame) -> DataFrame:
     """One row for each score level."""
-    d = F.col("dist_to_gt")
-    return scored.filter("llm_score is not null").groupBy("llm_score").agg(
-        F.count("*").alias("n_docs"), F.sum(F.col("is_gt").cast("long")).alias("n_gt"), F.avg(d).alias("mean_dist"),
-        F.percentile(d, F.lit(0.5)).alias("median_dist"), F.percentile(d, F.lit(0.1)).alias("p10_dist"), F.percentile(d, F.lit(0.9)).alias("p90_dist"),
-    )
+    return dist_quantiles(scored.filter("llm_score is not null"), "llm_score")
+
+
+def level_statistics(rows: DataFrame, by: str, at: dict[str, float]) -> DataFrame:
+    """(by, count, mean, std and quantiles of llm_score), from one row a group and level."""
+    x, n = F.col("llm_score"), F.col("n")
+    of = Window.partitionBy(by)  # a row a level
+    cells = rows.groupBy(by, "llm_score").agg(F.count("*").alias("n"))
+    cells = cells.withColumn("all", F.sum("n").over(of)).withColumn("mean", F.sum(n * x).over(of) / F.col("all"))
+    std = F.sqrt(F.sum(n * (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.max("all") - 1, F.lit(0)))
+    return cells.groupBy(by).agg(F.max("all").alias("count"), F.max("mean").alias("mean"), std.alias("std"), *(level_quantile("llm_score", p, "n").alias(c) for c, p in at.items()))
 
 
 def cumulative(scored: DataFrame) -> DataFrame:
     """Levels from the highest down with running counts; the windows run over a row a level."""
     w = Window.orderBy(F.desc("llm_score")).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy()
-    return levels(scored).withColumns({"tp": F.sum("n_gt").over(w), "kept": F.sum("n_docs").over(w), "p": F.sum("n_gt").over(all_), "n": F.sum("n_docs").over(all_)})
+    counts = scored.filter("llm_score is not null").groupBy("llm_score").agg(F.count("*").alias("n_docs"), F.sum(F.col("is_gt").cast("long")).alias("n_gt"))
+    return counts.withColumns({"tp": F.sum("n_gt").over(w), "kept": F.sum("n_docs").over(w), "p": F.sum("n_gt").over(all_), "n": F.sum("n_docs").over(all_)})
 
 
 def correlation(x: str, y: str) -> Column:
@@ -74,41 +90,55 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), spread)
 
 
-def average_rank(c: str, *by: str, desc: bool = False) -> Column:
-    """Ties share the mean of their ranks."""
-    order = F.desc(c) if desc else F.asc(c)
-    return F.rank().over(Window.partitionBy(*by).orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+LEVELS = range(11)
+
 
+def distance_cells(scored: DataFrame) -> DataFrame:
+    """A row a query and distance, with the documents of each score level there (l0 to l10) and those nearer (before_l0 ...)."""
+    level = F.round(F.col("llm_score") * 10).cast("int")
+    rows = scored.filter("llm_score is not null and dist_to_gt is not null")
+    cells = rows.groupBy(QUERY, "dist_to_gt").agg(*(F.count_if(level == k).alias(f"l{k}") for k in LEVELS))
+    return running(cells, [QUERY], ["dist_to_gt"], [f"l{k}" for k in LEVELS])
 
-def kendall(scored: DataFrame, least: int = 5) -> DataFrame:
-    """(query_idx, kendall): tau-b of score and distance, from counts by (distance, level) and running sums a level.
 
-    For each distance, in order, the documents nearer are counted by level; a pair with both larger is
-    concordant. Ties drop out: of distance as the frame ends before it, of score as levels are strict.
+def rank_correlations(scored: DataFrame, least: int = 5) -> DataFrame:
+    """(query_idx, spearman, kendall) of score and distance, ties included; null under ``least`` documents or if a side is constant.
+
+    All from sums over ``distance_cells``, so that no query's documents are ranked in one task. A distance's
+    average rank is the number of nearer documents and half of those at it; a level's follows from the counts of
+    levels. Both means are (n + 1) / 2, and the spread of average ranks is that of 1 to n less what ties take.
+    For Kendall's tau-b a pair is concordant if both are larger: ties of distance drop out as nearer means
+    strictly nearer, ties of score as levels are compared strictly.
     """
-    cells = scored.groupBy(QUERY, "dist_to_gt", (F.round(F.col("llm_score") * 10).cast("int")).alias("lv")).agg(F.count("*").alias("c"))
-    by_dist = cells.groupBy(QUERY, "dist_to_gt").agg(*(F.sum(F.when(F.col("lv") == k, F.col("c")).otherwise(0)).alias(f"l{k}") for k in range(11)))
-    before = Window.partitionBy(QUERY).orderBy("dist_to_gt").rowsBetween(Window.unboundedPreceding, -1)
-    run = by_dist.select("*", *(F.coalesce(F.sum(f"l{k}").over(before), F.lit(0)).alias(f"b{k}") for k in range(11)))
-    net = sum((F.col(f"l{k}") * (sum((F.col(f"b{j}") for j in range(k)), F.lit(0)) - sum((F.col(f"b{j}") for j in range(k + 1, 11)), F.lit(0))) for k in range(11)), F.lit(0))
-    ties = lambda c: c * (c - 1) / 2
-    d = run.withColumn("net", net).withColumn("t", sum((F.col(f"l{k}") for k in range(11)), F.lit(0)))
-    sums = d.groupBy(QUERY).agg(F.sum("net").alias("net"), F.sum(ties(F.col("t"))).alias("td"), F.sum("t").alias("n"))
-    by_level = scored.groupBy(QUERY, "llm_score").agg(F.count("*").alias("c")).groupBy(QUERY).agg(F.sum(ties(F.col("c"))).alias("ts"))
-    pairs = ties(F.col("n"))
-    tau = F.try_divide(F.col("net").cast("double"), F.sqrt((pairs - F.col("td")) * (pairs - F.col("ts"))))
-    return sums.join(by_level, QUERY).select(QUERY, F.when(F.col("n") >= least, tau).alias("kendall"))
+    here, nearer = [F.col(f"l{k}") for k in LEVELS], [F.col(f"before_l{k}") for k in LEVELS]
+    all_of = lambda cs: sum(cs, F.lit(0))
+    ties = lambda c: c.cast("double") * (c - 1) / 2
+    cubes = lambda c: (F.pow(c.cast("double"), F.lit(3)) - c) / 12
+    at = all_of(here)
+    rank = all_of(nearer) + (at + 1) / 2
+    net = all_of([here[k] * (all_of(nearer[:k]) - all_of(nearer[k + 1 :])) for k in LEVELS])
+    sums = distance_cells(scored).groupBy(QUERY).agg(
+        F.sum(net.cast("double")).alias("net"), F.sum(ties(at)).alias("td"), F.sum(cubes(at)).alias("cd"), F.sum(at).alias("n"),
+        *(F.sum(c).alias(f"n{k}") for k, c in enumerate(here)), *(F.sum(c * rank).alias(f"r{k}") for k, c in enumerate(here)),
+    )
+    n, of = F.col("n"), [F.col(f"n{k}") for k in LEVELS]
+    mean = (n + 1) / 2
+    level_rank = [all_of(of[:k]) + (of[k] + 1) / 2 for k in LEVELS]
+    together = all_of([(level_rank[k] - mean) * (F.col(f"r{k}") - mean * of[k]) for k in LEVELS])
+    spread = (cubes(n) - F.col("cd")) * (cubes(n) - all_of([cubes(c) for c in of]))
+    free = (ties(n) - F.col("td")) * (ties(n) - all_of([ties(c) for c in of]))
+    big = lambda c: F.when(n >= least, c)
+    return sums.select(QUERY, big(F.try_divide(together, F.sqrt(spread))).alias("spearman"), big(F.try_divide(F.col("net"), F.sqrt(free))).alias("kendall"))
 
 
 def correlations(scored: DataFrame, least: int = 5) -> DataFrame:
     """(query_idx, n, pearson, spearman, point_biserial, kendall) of queries with a ground truth; null under ``least`` documents."""
-    rows = annotated(scored).withColumns({"rs": average_rank("llm_score", QUERY), "rd": average_rank("dist_to_gt", QUERY)})
+    rows = annotated(scored)
     big = lambda c: F.when(F.count("*") >= least, c)
     out = rows.groupBy(QUERY).agg(
-        F.count("*").alias("n"), big(correlation("llm_score", "dist_to_gt")).alias("pearson"), big(correlation("rs", "rd")).alias("spearman"),
-        big(correlation("is_gt", "llm_score")).alias("point_biserial"),
+        F.count("*").alias("n"), big(correlation("llm_score", "dist_to_gt")).alias("pearson"), big(correlation("is_gt", "llm_score")).alias("point_biserial"),
     )
-    return out.join(kendall(annotated(scored), least), QUERY)
+    return out.join(rank_correlations(rows, least), QUERY).select(QUERY, "n", "pearson", "spearman", "point_biserial", "kendall")
 
 
 METHODS = {"spearman": "negative", "pearson": "negative", "kendall": "negative", "point_biserial": "positive"}

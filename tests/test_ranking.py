@@ -1,6 +1,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 
 from rankfold.operators import ranking as R
@@ -45,7 +46,10 @@ def test_kendall_equals_all_pairs(spark):
     pairs = list(itertools.combinations(rows, 2))
     net = sum(sign(a[2] - b[2]) * sign(a[3] - b[3]) for a, b in pairs)
     free = [sum(a[k] != b[k] for a, b in pairs) for k in (2, 3)]
-    assert R.kendall(facts(spark, rows)).first().kendall == pytest.approx(net / math.sqrt(free[0] * free[1]))
+    got = R.rank_correlations(facts(spark, rows)).first()
+    assert got.kendall == pytest.approx(net / math.sqrt(free[0] * free[1]))
+    rank = lambda k: [sum(b[k] < a[k] for b in rows) + (sum(b[k] == a[k] for b in rows) + 1) / 2 for a in rows]
+    assert got.spearman == pytest.approx(np.corrcoef(rank(2), rank(3))[0, 1])
 
 
 def test_p_values():
