@@ -16,32 +16,59 @@ from pyspark.sql import functions as F
 from rankfold.llm.common import id_and_text, new_path, pieces
 
 Encoder = Callable[[list[str]], Iterator[bytes]]
-#: The words that no piece of the vocabulary reaches across: the tokenizer drops white space, and Unicode's
-#: normal forms don't compose across it. Only ASCII's, on which all libraries agree.
+#: white space to Python alone, which other libraries take for signs
+SIGNS = "\x1c\x1d\x1e\x1f"
 SOLID = re.compile(r"[^ \t-\r]+").findall
+#: stands between words that are encoded together
+MARK = "\x00"
+
+
+def words(text: str) -> list[str]:
+    """Words that no piece of the vocabulary reaches across: the tokenizer drops white space, and Unicode's normal forms don't compose across it."""
+    return SOLID(text) if any(c in text for c in SIGNS) else text.split()
 
 
 class CachedWords:
-    """Encodes texts word by word and remembers the words' ids, up to bounds; the ids equal those of whole texts."""
+    """Encodes texts word by word and remembers the words' ids, up to bounds; the ids equal those of whole texts.
+
+    New words are encoded many at a time, with a mark of one id between them. When MOST words are remembered they
+    grow old, and those of before that haven't been met again are forgotten: frequent words stay.
+    """
+
+    MOST, LONGEST, TOGETHER = 500_000, 64, 1000
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        ids = self._ids([MARK])[0]
+        self.mark = ids[0] if len(ids) == 1 else None
 
-    MOST, LONGEST = 400_000, 64
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __init__(self, encode: Callable[[list[str]], list]):
-        self.encode, self.seen = encode, {}
+    def _encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        apart = [w for w in new if self.mark is None or MARK in w]
+        yield from zip(apart, (i.tobytes() for i in self._ids(apart)))
+        new = [w for w in new if MARK not in w] if self.mark is not None else []
+        blocks = [new[k : k + self.TOGETHER] for k in range(0, len(new), self.TOGETHER)]
+        for block, ids in zip(blocks, self._ids([f" {MARK} ".join(b) for b in blocks])):
+            at = np.flatnonzero(ids == self.mark)
+            raw, starts, stops = ids.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
+            yield from zip(block, [raw[a:b] for a, b in zip(starts, stops)], strict=True)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [SOLID(t or "") for t in texts]
+        split = [words(t or "") for t in texts]
         if len(self.seen) > self.MOST:
-            self.seen.clear()
-        new = list(set().union(*split).difference(self.seen))
-        ids = {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(new, self.encode(new))} if new else {}
-        self.seen.update((w, i) for w, i in ids.items() if len(w) <= self.LONGEST)
-        long = {w: i for w, i in ids.items() if len(w) > self.LONGEST}
-        for words in split:
-            if long:
-                yield b"".join([self.seen[w] if w in self.seen else long[w] for w in words])
-            else:
-                yield b"".join(map(self.seen.__getitem__, words))
+            self.seen, self.old = {}, self.seen
+        new = set().union(*split).difference(self.seen)
+        known = new.intersection(self.old)
+        self.seen.update((w, self.old[w]) for w in known)
+        long = {}
+        for w, ids in self._encoded(list(new.difference(known))):
+            (self.seen if len(w) <= self.LONGEST else long)[w] = ids
+        for ws in split:
+            yield b"".join([self.seen[w] if w in self.seen else long[w] for w in ws] if long else map(self.seen.__getitem__, ws))
 
 
 #: of this Python worker, which serves many tasks
@@ -59,8 +86,7 @@ def word_encoder(spark: SparkSession, path: str) -> Callable[[], Encoder]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         if held.value not in _encoders:
             _encoders.clear()
-            tokenizer = Tokenizer.from_buffer(held.value)
-            _encoders[held.value] = CachedWords(lambda words: tokenizer.encode_batch_fast(words, add_special_tokens=False))
+            _encoders[held.value] = CachedWords(Tokenizer.from_buffer(held.value))
         return _encoders[held.value]
 
     return make

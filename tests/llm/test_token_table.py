@@ -25,7 +25,7 @@ def whole():
 
 def odd_texts():
     rng = random.Random(3)
-    alphabet = list("abcXYZ019 \t\n\r\x0b\x0c\x1c\x85\xa0'.,!<|>-é́̈ßΣσİ漢字　 😀️") + ["<|endoftext|>", "<|startoftext|>", "'s", "  "]
+    alphabet = list("abcXYZ019 \x00\t\n\r\x0b\x0c\x1c\x85\xa0'.,!<|>-é́̈ßΣσİ漢字　 😀️") + ["<|endoftext|>", "<|startoftext|>", "'s", "  "]
     return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(1500)]
 
 
