@@ -49,6 +49,8 @@ class Table:
 class Tokenizers:
     """A, a byte-level file of tokenizers on blank and text, and B, a sentencepiece model on the text, which adds the blank."""
 
+    TOGETHER = 1000
+
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
         from tokenizers import Tokenizer
@@ -78,13 +80,47 @@ class Tokenizers:
         found = UNIT(whole) if "▁" not in text else []
         return found if sum(map(len, found)) == len(whole) else [whole]
 
-    def encode_a(self, units: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-
-    def encode_b(self, units: list[str]) -> list[list[int]]:
-        """A unit's first blank is the one that B adds; a unit that starts with a line feed goes without it."""
-        ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        return [(i or [self.blank]) if u[0] == " " else i[1:] for u, i in zip(units, ids)]
+    def encode_a(self, text: str) -> list[int]:
+        """Of units, run together."""
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_b(self, text: str) -> list[int]:
+        """The first unit's first blank is the one that B adds; a unit that starts with a line feed goes without it."""
+        if text[0] != " ":
+            return self.b.encode(text, num_threads=1)[1:]
+        return self.b.encode(text[1:], num_threads=1) or [self.blank]
+
+    def encode_units(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, owners, given back) of A and of B: the ids of units and which unit they are of, in order.
+
+        Units run together are a text of their own that is cut at each of them, so TOGETHER of them are encoded at
+        once and parted by bytes. Those which end in white space or have B's sign, and runs that aren't given back
+        byte by byte, are encoded unit by unit.
+        """
+        alone = [k for k, u in enumerate(units) if "▁" in u or u[0] not in " \n" or u[-1].isspace()]
+        joint = np.setdiff1d(np.arange(len(units)), alone).tolist()
+        runs = [joint[k : k + self.TOGETHER] for k in range(0, len(joint), self.TOGETHER)] + [[k] for k in alone]
+        out = []
+        for encode, table in ((self.encode_a, self.table_a), (self.encode_b, self.table_b)):
+            ids, owners, given = [], [], np.zeros(len(units), bool)
+            todo = runs[::-1]
+            while todo:
+                run = todo.pop()
+                text = "".join([units[k] for k in run])
+                found, raw = np.array(encode(text), np.int64), [units[k].encode() for k in run]
+                stops, ends = np.cumsum([len(r) for r in raw]), np.cumsum(table.sizes[found])
+                same = len(ends) > 0 and ends[-1] == stops[-1] and np.array_equal(table.joined(found), np.frombuffer(b"".join(raw), np.uint8))
+                if same and np.isin(stops, ends).all():
+                    given[run] = True
+                elif len(run) > 1:
+                    todo += [[k] for k in reversed(run)]
+                    continue
+                ids.append(found)
+                owners.append(np.array(run)[np.minimum(np.searchsorted(stops, ends), len(run) - 1)])
+            ids, owners = np.concatenate(ids), np.concatenate(owners)
+            order = np.argsort(owners, kind="stable")
+            out.append((ids[order], owners[order], given))
+        return out
 
 
 def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -127,10 +163,14 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return unique, np.bincount(at, values, len(unique)).astype(np.int64)
 
 
+#: ids as text
+NUMBERS = list(map(str, range(1 << 16)))
+
+
 class Units:
     """What is known of units met before: counts, groups as text, and pairs with their links; forgotten beyond MOST bytes."""
 
-    MOST = 64_000_000
+    MOST = 160_000_000
 
     def __init__(self, tokenizers: Tokenizers):
         self.t = tokenizers
@@ -152,21 +192,12 @@ class Units:
         return [np.fromiter(map(self.at.__getitem__, units), np.int64, len(units)) for units in split]
 
     def learn(self, units: list[str]) -> None:
-        raw = [u.encode() for u in units]
-        ids, ends, owners, whole = [], [], [], np.ones(len(units), bool)
-        for table, lists in ((self.t.table_a, self.t.encode_a(units)), (self.t.table_b, self.t.encode_b(units))):
-            sizes = np.array([len(x) for x in lists], np.int64)
-            flat = np.concatenate([np.asarray(x, np.int64) for x in lists])
-            owner = np.repeat(np.arange(len(units)), sizes)
-            given = np.bincount(owner, table.sizes[flat], len(units)) == np.array([len(r) for r in raw])
-            fits = np.flatnonzero(given)
-            same = table.joined(flat[given[owner]]) == np.frombuffer(b"".join([raw[i] for i in fits]), np.uint8)
-            given[fits] = np.bincount(np.repeat(np.arange(len(fits)), [len(raw[i]) for i in fits]), ~same, len(fits)) == 0
-            whole &= given
-            ids.append(flat), owners.append(owner)
-        for k, table in enumerate((self.t.table_a, self.t.table_b)):
-            ids[k], owners[k] = ids[k][whole[owners[k]]], owners[k][whole[owners[k]]]
-            ends.append(np.cumsum(table.sizes[ids[k]]))
+        encoded = self.t.encode_units(units)
+        whole = encoded[0][2] & encoded[1][2]
+        ids, owners, ends = [], [], []
+        for (flat, owner, _), table in zip(encoded, (self.t.table_a, self.t.table_b)):
+            ids.append(flat[whole[owner]]), owners.append(owner[whole[owner]])
+            ends.append(np.cumsum(table.sizes[ids[-1]]))
         a_group, b_group, n = align(*ends)
         of = np.zeros(n, np.int64)  # the unit of a group
         of[a_group] = owners[0]
@@ -181,7 +212,7 @@ class Units:
         self.edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum(np.bincount(unit, minlength=len(units)))))
         self.pairs, self.links = np.concatenate((self.pairs, cells & 0xFFFFFFFF)), np.concatenate((self.links, links))
         self.at.update(zip(units, range(len(self.at), len(self.at) + len(units))))
-        texts = [list(map(str, i.tolist())) for i in ids]
+        texts = [[NUMBERS[k] for k in i.tolist()] for i in ids]
         cuts = [np.searchsorted(g, np.arange(n + 1)).tolist() for g in (a_group, b_group)]
         named = [f"{','.join(texts[0][a:b])}|{','.join(texts[1][c:d])}" for a, b, c, d in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:])]
         first = np.searchsorted(of, np.arange(len(units) + 1)).tolist()

@@ -80,10 +80,25 @@ def test_units_give_the_ids_of_whole_texts(plain):
     t = A.Tokenizers(*(open(f, "rb").read() for f in FILES))
     texts = [*odd_texts(), " ", "\n", "\n\n", "  ", "a ", "a\n", " a", "\na", "a \n b", "a\n \nb ", "\ta", "a\t b", "a \tb", "word " * 500, "漢字" * 300]
     for text in texts:
-        a, _, b, _ = plain.tokens(text)
+        a, _, b, raw_b = plain.tokens(text)
         units = t.units(text)
         assert "".join(units) == " " + text
-        assert sum(t.encode_a(units), []) == a and sum(t.encode_b(units), []) == b, repr(text)
+        (ids_a, of_a, given_a), (ids_b, of_b, given_b) = t.encode_units(units)
+        assert ids_a.tolist() == a and (not given_b.all() or ids_b.tolist() == b), repr(text)
+        assert given_a.all() and given_b.all() == (b"".join(raw_b) == (" " + text).encode())
+        for ids, of, table in ((ids_a, of_a, t.table_a), (ids_b, of_b, t.table_b)):
+            for k, u in enumerate(units):
+                assert not given_b.all() or table.joined(ids[of == k]).tobytes() == u.encode()
+
+
+def test_units_of_many_texts_together(plain):
+    t = A.Tokenizers(*(open(f, "rb").read() for f in FILES))
+    units = list(dict.fromkeys(u for text in odd_texts() for u in t.units(text)))
+    for together in (1, 7, 1000):
+        t.TOGETHER = together
+        got = [[ids.tolist() for ids in (i[(o == k) & g[o]] for k in range(len(units)))] for i, o, g in t.encode_units(units)]
+        once = got if together == 1 else once
+        assert got == once
 
 
 def test_odd_texts(spark, plain):
