@@ -56,17 +56,34 @@ def contexts(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
+#: fixed values: most characters of a document in a prompt
+MOST_IN_PROMPT = 4000
+
+
+def relevance_prompt(question: Column, documents: Column) -> Column:
+    """Asks for the relevance of each of an array of documents, from 1 to 10, as a JSON list; null documents are empty."""
+    n = F.size(documents).cast("string")
+    cut = lambda d: F.left(F.coalesce(d, F.lit("")), F.lit(MOST_IN_PROMPT))
+    items = F.transform(documents, lambda d, i: F.concat(F.lit("--- ITEM "), (i + 1).cast("string"), F.lit(" ---\n"), cut(d)))
+    return F.concat(
+        F.lit("Say how relevant each item is to the query, from 1 (not at all) over 2 (words in common), 4 (same field), 6 (same topic)\nand 8 (much of it) to 10 (it holds the answer). Reply with "),
+        n, F.lit(" whole numbers in the order of the items, as a JSON list and nothing else.\n\nQUERY:\n"), F.coalesce(question, F.lit("")), F.lit("\n\n"), F.array_join(items, "\n\n"), F.lit("\n"),
+    )
+
+
 def answer(output: Column, question: Column) -> Column:
     """The answer in a model's output to ``question``, by the first that there is:
 
     what follows the first "Answer:" up to the next, its quoted part if it starts with a quote, cut before
-    "Question:"; the first sentence after the question; the first quoted text that isn't in the question; the first
+    "Question:", and at its first quote if it ends in one and "Question" or "Q"; the first sentence after the question; the first quoted text that isn't in the question; the first
     100 characters without the question; "No answer generated". Null outputs and questions count as empty.
     """
     o, q = F.coalesce(output, F.lit("")), F.coalesce(question, F.lit(""))
     said = F.trim(F.element_at(F.split(o, "Answer:"), 2))
     quoted = F.when(said.rlike('(?s)^"[^"]*"'), F.regexp_extract(said, '^"([^"]*)"', 1)).otherwise(said)
-    labelled = F.when(o.contains("Answer:"), F.trim(F.split(quoted, "Question:")[0]))
+    cut = F.trim(F.split(quoted, "Question:")[0])
+    cut = F.when(cut.endswith('" Question') | cut.endswith('" Q'), F.split(cut, '"')[0]).otherwise(cut)  # the start of a next one
+    labelled = F.when(o.contains("Answer:"), F.trim(cut))
     at = F.instr(o, F.trim(q))
     rest = F.trim(F.concat(F.substring(o, F.lit(1), at - 1), F.substring(o, at + F.length(F.trim(q)), F.length(o))))
     sentence = F.when((at > 0) & (F.trim(F.split(rest, r"\.")[0]) != ""), F.trim(F.split(rest, r"\.")[0]))

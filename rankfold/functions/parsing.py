@@ -30,9 +30,18 @@ def clamp(c: Column, low: int = 1, high: int = 10) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c, F.lit(low))))
 
 
+def _whole(x: Column) -> Column:
+    """An element of a JSON list as a whole number, by its own type: numbers without their fraction, true as 1, texts of digits; else null."""
+    kind, text = F.schema_of_variant(x), F.trim(F.try_variant_get(x, "$", "string"))
+    digits = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(x, "$", "double").try_cast("int"))
+    return F.when(kind == "STRING", digits).when(kind == "BOOLEAN", (text == "true").cast("int")).otherwise(number)
+
+
 def _ints(json: Column) -> Column:
-    """Whole numbers of a JSON list; elements that aren't numbers are left out; null if it is no list or has none."""
-    found = F.filter(F.transform(F.from_json(json, "array<string>"), lambda x: x.try_cast("double").try_cast("int")), lambda x: x.isNotNull())
+    """Whole numbers of a JSON list; other elements are left out; null if it is no list or has none."""
+    listed = F.try_variant_get(F.try_parse_json(json), "$", "array<variant>")
+    found = F.filter(F.transform(listed, _whole), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found)
 
 
@@ -106,8 +115,10 @@ def word_overlap(question: Column, answer: Column) -> Column:
     return F.size(F.array_intersect(words(question), words(answer))) / F.greatest(F.size(words(question)), F.lit(1))
 
 
-def source_type(c: Column) -> Column:
-    return F.when(c.rlike(r"^\w+:\w+$"), "huggingface_dataset_with_config").when(c.rlike(r"^\w+$"), "huggingface_dataset").when(c.rlike(r"^https?://[^/]+/.*"), "url").otherwise("invalid")
+def source_type(c: Column, local: list[str] | None = None) -> Column:
+    """What a source names; ``local`` are the paths that are there, which the caller lists."""
+    here = c.isin(local) if local else F.lit(False)
+    return F.when(c.rlike(r"^\w+:\w+$"), "huggingface_dataset_with_config").when(c.rlike(r"^\w+$"), "huggingface_dataset").when(c.rlike(r"^https?://[^/]+/.*"), "url").when(~c.rlike("^https?://") & here, "local_path").otherwise("invalid")
 
 
 def allowed_url(c: Column, hosts: list[str]) -> Column:

@@ -41,3 +41,15 @@ def test_lookup_prefers_the_own_id_then_the_keys_in_order(spark):
     corpus = spark.createDataFrame([(1, {"PMID": "x"}), (2, {"pubid": " X"}), (3, {"doc_id": "1"}), (4, None)], "d long, meta map<string,string>")
     asked = spark.createDataFrame([(10, "x"), (11, "1"), (12, "none"), (13, None), (14, "")], "q long, id string")
     assert {tuple(r) for r in A.found_by_id(asked, corpus).collect()} == {(10, 2, "pubid"), (11, 1, "own id")}
+
+
+def test_relevance_prompt_caps_and_numbers_documents(spark):
+    rows = spark.createDataFrame([("q?", ["a" * 5000, None, "c"]), (None, [])], "q string, ds array<string>")
+    first, none = (r[0] for r in rows.select(A.relevance_prompt(F.col("q"), F.col("ds"))).collect())
+    assert "with 3 whole numbers" in first and "QUERY:\nq?\n" in first and "--- ITEM 2 ---\n\n" in first and first.count("a" * 4000) == 1 and "a" * 4001 not in first and first.endswith("--- ITEM 3 ---\nc\n")
+    assert "with 0 whole numbers" in none and "ITEM" not in none
+
+
+def test_an_answer_ends_where_the_next_question_starts(spark):
+    rows = spark.createDataFrame([('Answer: foo" Question',), ('Answer: foo bar" Q',), ("Answer: Question",)], "o string")
+    assert [r[0] for r in rows.select(A.answer(F.col("o"), F.lit("x"))).collect()] == ["foo", "foo bar", "Question"]

@@ -70,3 +70,15 @@ def test_replies_of_every_shape(spark):
     df = spark.createDataFrame([(r[0],) for r in rows], "j string")
     got = df.select(P.reply_text(F.col("j")), P.blocked(F.col("j"))).collect()
     assert [tuple(r) for r in got] == [r[1:] for r in rows]
+
+
+def test_elements_of_a_list_count_by_their_own_type(spark):
+    texts = ['["7.9", 5, 3]', "[true, 2]", '[" 7 ", 3.9, null, [1], {"a": 1}, 1e1]', '{"scores": [false, "x", 8]}', '["a"]', "[]", "[-3, 99, 4", "words [2, 3] more", '"[4]"']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.s for r in rows.select("i", P.parse_scores(F.col("t"), 3).alias("s")).orderBy("i").collect()]
+    assert got == [[5, 3, 0], [1, 2, 0], [7, 3, 10], [0, 8, 0], [0, 0, 0], [0, 0, 0], [3, 4, 0], [2, 3, 0], [4, 0, 0]]
+
+
+def test_local_paths_are_what_the_caller_lists(spark):
+    rows = spark.createDataFrame([("./docs",), ("./other",), ("https://a.b/c",), ("https://a.b",), ("name",), ("a:b",)], "s string")
+    assert [r[0] for r in rows.select(P.source_type(F.col("s"), ["./docs", "https://a.b"])).collect()] == ["local_path", "invalid", "url", "invalid", "huggingface_dataset", "huggingface_dataset_with_config"]
