@@ -31,44 +31,87 @@ def words(text: str) -> list[str]:
 class CachedWords:
     """Encodes texts word by word and remembers the words' ids, up to bounds; the ids equal those of whole texts.
 
-    New words are encoded many at a time, with a mark of one id between them. When MOST words are remembered they
-    grow old, and those of before that haven't been met again are forgotten: frequent words stay.
+    A new word that ends in a sign of STOPS behind a letter or digit is that sign and a core, which are pieces of
+    their own, and A-Z count as a-z, as the tokenizer lowers them. Cores are encoded many at a time. Words of
+    letters below U+0250 in lower case are what the tokenizer's normal form and its cuts leave alone, so they go to
+    its model without either, and each ends with the one id that ends a word. Others stand between marks of one
+    id. When MOST words are remembered they grow old, and those of before that aren't met again are forgotten:
+    frequent ones stay.
     """
 
-    MOST, LONGEST, TOGETHER = 500_000, 64, 1000
+    MOST, LONGEST, TOGETHER, STOPS = 500_000, 64, 1000, ".,;:!?"
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, make: Callable):
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.model = make(), make()
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.seen: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        ids = self._ids([MARK])[0]
+        ids = self._ids(self.tokenizer, [MARK])[0]
         self.mark = ids[0] if len(ids) == 1 else None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        apart = [w for w in new if self.mark is None or MARK in w]
-        yield from zip(apart, (i.tobytes() for i in self._ids(apart)))
-        new = [w for w in new if MARK not in w] if self.mark is not None else []
+    def _runs(self, tokenizer, new: list[str], between: str) -> Iterator[tuple[list[str], np.ndarray]]:
         blocks = [new[k : k + self.TOGETHER] for k in range(0, len(new), self.TOGETHER)]
-        for block, ids in zip(blocks, self._ids([f" {MARK} ".join(b) for b in blocks])):
+        yield from zip(blocks, self._ids(tokenizer, [between.join(b) for b in blocks]))
+
+    def _encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        letters, marked, alone = [], [], []
+        for w in new:
+            if w.isalpha() and (w.isascii() or max(w) < "\u0250" and "\u0130" not in w) and w == w.lower():
+                letters.append(w)
+            else:
+                (alone if self.mark is None or MARK in w else marked).append(w)
+        for block, ids in self._runs(self.model, letters, " "):
+            stops = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from zip(block, [raw[a:b] for a, b in zip([0, *stops], stops)], strict=True)
+        for block, ids in self._runs(self.tokenizer, marked, f" {MARK} "):
             at = np.flatnonzero(ids == self.mark)
             raw, starts, stops = ids.tobytes(), [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), 4 * len(ids)]
             yield from zip(block, [raw[a:b] for a, b in zip(starts, stops)], strict=True)
+        yield from zip(alone, (i.tobytes() for i in self._ids(self.tokenizer, alone)))
+
+    def _cores(self, new: set[str]) -> list[tuple[str, str, str]]:
+        """(word, core, sign or '') of each."""
+        out, stops = [], self.STOPS
+        for w in new:
+            core, tail = w, ""
+            if "<|" not in w:  # a special token's text goes by case
+                if w[-1] in stops and len(w) > 1 and (c := w[-2]).isalnum() and c < "\u0250" and c != "\u0130":
+                    core, tail = w[:-1], w[-1]
+                if core.isascii():
+                    core = core.lower()
+            out.append((w, core, tail))
+        return out
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [words(t or "") for t in texts]
         if len(self.seen) > self.MOST:
             self.seen, self.old = {}, self.seen
-        new = set().union(*split).difference(self.seen)
+        seen = self.seen
+        new = set().union(*split).difference(seen)
         known = new.intersection(self.old)
-        self.seen.update((w, self.old[w]) for w in known)
-        long = {}
-        for w, ids in self._encoded(list(new.difference(known))):
-            (self.seen if len(w) <= self.LONGEST else long)[w] = ids
+        seen.update((w, self.old[w]) for w in known)
+        cores = self._cores(new.difference(known))
+        parts = {c for _, c, _ in cores}.union(t for _, _, t in cores if t).difference(seen)
+        ids, longest = dict(self._encoded(list(parts))), self.LONGEST
+        long = {c: i for c, i in ids.items() if len(c) > longest}
+        seen.update(ids if not long else {c: i for c, i in ids.items() if c not in long})
+        for w, core, tail in cores:
+            if core is not w:
+                own = (long[core] if core in long else seen[core]) + (seen[tail] if tail else b"")
+                (seen if len(w) <= longest else long)[w] = own
         for ws in split:
-            yield b"".join([self.seen[w] if w in self.seen else long[w] for w in ws] if long else map(self.seen.__getitem__, ws))
+            yield b"".join([seen[w] if w in seen else long[w] for w in ws] if long else map(seen.__getitem__, ws))
 
 
 #: of this Python worker, which serves many tasks
@@ -86,7 +129,7 @@ def word_encoder(spark: SparkSession, path: str) -> Callable[[], Encoder]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         if held.value not in _encoders:
             _encoders.clear()
-            _encoders[held.value] = CachedWords(Tokenizer.from_buffer(held.value))
+            _encoders[held.value] = CachedWords(lambda: Tokenizer.from_buffer(held.value))
         return _encoders[held.value]
 
     return make
