@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankfold.plans import analytics, retrieval, runs
+from rankfold.plans import analytics, retrieval, runs, store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **retrieval.QUERIES, **runs.QUERIES}
-SQL: dict[str, str] = {**analytics.SQL, **retrieval.SQL, **runs.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**analytics.QUERIES, **retrieval.QUERIES, **runs.QUERIES, **store.QUERIES}
+SQL: dict[str, str] = {**analytics.SQL, **retrieval.SQL, **runs.SQL, **store.SQL}
