@@ -3,43 +3,51 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankfold.llm.common import id_and_text, new_path, pieces
+from rankfold.llm.words import Words
 
-Encoder = Callable[[list[str]], Iterator[bytes]]
-#: white space to Python alone, which other libraries take for signs
-SIGNS = "\x1c\x1d\x1e\x1f"
-SOLID = re.compile(r"[^ \t-\r]+").findall
+#: a column of texts to the ids of all of them, one text's after another's, and how many each text has
+Encoder = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 #: stands between words that are encoded together
 MARK = "\x00"
 
 
-def words(text: str) -> list[str]:
-    """Words that no piece of the vocabulary reaches across: the tokenizer drops white space, and Unicode's normal forms don't compose across it."""
-    return SOLID(text) if any(c in text for c in SIGNS) else text.split()
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... of each run, ``sizes[i]`` of them."""
+    stops = np.cumsum(sizes)
+    return np.arange(stops[-1] if len(sizes) else 0) + np.repeat(starts - stops + sizes, sizes)
 
 
 class CachedWords:
-    """Encodes texts word by word and remembers the words' ids, up to bounds; the ids equal those of whole texts.
+    """Encodes texts word by word and remembers words, up to a bound; the ids equal those of whole texts.
+
+    No piece of the vocabulary reaches across ASCII white space: the tokenizer drops it, and Unicode's normal forms
+    don't compose across it. The words of a column are found and named by hashes as arrays, and looked up in arrays
+    of what is known; each is then compared with the known word byte by byte, so that equal hashes can't mix words.
+    Texts with the start of a special token, which go by case, are encoded whole.
 
     A new word that ends in a sign of STOPS behind a letter or digit is that sign and a core, which are pieces of
     their own, and A-Z count as a-z, as the tokenizer lowers them. Cores are encoded many at a time. Words of
     letters below U+0250 in lower case are what the tokenizer's normal form and its cuts leave alone, so they go to
     its model without either, and each ends with the one id that ends a word. Others stand between marks of one
-    id. When MOST words are remembered they grow old, and those of before that aren't met again are forgotten:
-    frequent ones stay.
+    id. Beyond MOST words, those that were met last stay.
     """
 
-    MOST, LONGEST, TOGETHER, STOPS = 500_000, 64, 1000, ".,;:!?"
+    MOST, TOGETHER, STOPS = 600_000, 1000, ".,;:!?"
 
     def __init__(self, make: Callable):
         from tokenizers import pre_tokenizers
@@ -47,8 +55,7 @@ class CachedWords:
         self.tokenizer, self.model = make(), make()
         self.model.normalizer = None
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.seen: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.clear()
         ids = self._ids(self.tokenizer, [MARK])[0]
         self.mark = ids[0] if len(ids) == 1 else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
@@ -80,38 +87,83 @@ class CachedWords:
             yield from zip(block, [raw[a:b] for a, b in zip(starts, stops)], strict=True)
         yield from zip(alone, (i.tobytes() for i in self._ids(self.tokenizer, alone)))
 
-    def _cores(self, new: set[str]) -> list[tuple[str, str, str]]:
+    def _cores(self, new: list[str]) -> list[tuple[str, str, str]]:
         """(word, core, sign or '') of each."""
         out, stops = [], self.STOPS
         for w in new:
             core, tail = w, ""
-            if "<|" not in w:  # a special token's text goes by case
-                if w[-1] in stops and len(w) > 1 and (c := w[-2]).isalnum() and c < "\u0250" and c != "\u0130":
-                    core, tail = w[:-1], w[-1]
-                if core.isascii():
-                    core = core.lower()
-            out.append((w, core, tail))
+            if w[-1] in stops and len(w) > 1 and (c := w[-2]).isalnum() and c < "\u0250" and c != "\u0130":
+                core, tail = w[:-1], w[-1]
+            out.append((w, core.lower() if core.isascii() else core, tail))
         return out
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [words(t or "") for t in texts]
-        if len(self.seen) > self.MOST:
-            self.seen, self.old = {}, self.seen
-        seen = self.seen
-        new = set().union(*split).difference(seen)
-        known = new.intersection(self.old)
-        seen.update((w, self.old[w]) for w in known)
-        cores = self._cores(new.difference(known))
-        parts = {c for _, c, _ in cores}.union(t for _, _, t in cores if t).difference(seen)
-        ids, longest = dict(self._encoded(list(parts))), self.LONGEST
-        long = {c: i for c, i in ids.items() if len(c) > longest}
-        seen.update(ids if not long else {c: i for c, i in ids.items() if c not in long})
-        for w, core, tail in cores:
-            if core is not w:
-                own = (long[core] if core in long else seen[core]) + (seen[tail] if tail else b"")
-                (seen if len(w) <= longest else long)[w] = own
-        for ws in split:
-            yield b"".join([seen[w] if w in seen else long[w] for w in ws] if long else map(seen.__getitem__, ws))
+    def clear(self) -> None:
+        self.cores: dict[str, bytes] = {}
+        #: of known words, in order of hash: where their bytes and ids start, how many they are, and when they were met
+        self.hashes, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.sizes = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+        self.flat = [np.zeros(0, np.uint8), np.zeros(0, np.uint32)]
+        self.time = 0
+
+    def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        """Adds words of new hashes, which are in order."""
+        new = [r.decode() for r in raw]
+        cores = self._cores(new)
+        if len(self.cores) > self.MOST:
+            self.cores.clear()
+        parts = {c for _, c, _ in cores}.union(t for _, _, t in cores if t).difference(self.cores)
+        self.cores.update(self._encoded(list(parts)))
+        ids = [self.cores[c] + self.cores[t] if t else self.cores[c] for _, c, t in cores]
+        place = np.searchsorted(self.hashes, hashes)
+        sizes = np.array([(len(r), len(i) // 4) for r, i in zip(raw, ids)], np.int64).reshape(-1, 2)
+        at = np.cumsum(sizes, axis=0) - sizes + [len(f) for f in self.flat]
+        self.hashes, self.met = np.insert(self.hashes, place, hashes), np.insert(self.met, place, self.time)
+        self.at, self.sizes = np.insert(self.at, place, at, axis=0), np.insert(self.sizes, place, sizes, axis=0)
+        self.flat = [np.concatenate((self.flat[0], LOWER[np.frombuffer(b"".join(raw), np.uint8)])), np.concatenate((self.flat[1], np.frombuffer(b"".join(ids), "<u4")))]
+
+    def _forget(self) -> None:
+        kept = self.met >= np.median(self.met)
+        kept &= self.met > self.met.min()
+        self.hashes, self.met, old, self.sizes = self.hashes[kept], self.met[kept], self.at[kept], self.sizes[kept]
+        self.flat = [f[spread(old[:, k], self.sizes[:, k])] for k, f in enumerate(self.flat)]
+        self.at = np.cumsum(self.sizes, axis=0) - self.sizes
+
+    def _joined(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        w, self.time = Words(texts), self.time + 1
+        if len(self.hashes) > self.MOST:
+            self._forget()
+        hashes, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = self.hashes[place] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if new.any():
+            data = memoryview(w.data)
+            self._learn(hashes[new], [bytes(data[a:b]) for a, b in zip(w.starts[first[new]].tolist(), w.stops[first[new]].tolist())])
+            place = np.searchsorted(self.hashes, hashes)
+        self.met[place] = self.time
+        word, long = place[back], w.stops - w.starts
+        same = np.array_equal(self.sizes[word, 0], long)
+        same = same and np.array_equal(self.flat[0][spread(self.at[word, 0], long)], LOWER[w.data[spread(w.starts, long)]])
+        if not same:  # two words of one hash
+            self.clear()
+            return self._whole(texts.to_pylist())
+        ids = self.flat[1][spread(self.at[word, 1], self.sizes[word, 1])]
+        ends = np.concatenate(([0], np.cumsum(self.sizes[word, 1])))
+        return ids, np.diff(ends[np.append(w.first[: len(texts)], len(word))])
+
+    def _whole(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(self.tokenizer, [t or "" for t in texts])
+        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        if not pc.any(special).as_py():
+            return self._joined(texts)
+        ids, sizes = self._joined(pc.if_else(special, "", texts))
+        each = np.split(ids, np.cumsum(sizes)[:-1])
+        for k in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            each[k] = self._whole([texts[k].as_py()])[0]
+        return np.concatenate(each), np.array([len(i) for i in each], np.int64)
 
 
 #: of this Python worker, which serves many tasks
@@ -161,20 +213,20 @@ def write_token_table(
     rows = id_and_text(docs)
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = ROWS.format(rows.schema["doc_id"].dataType.simpleString())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in pieces(batch):
-                ids = [x + end for x in encode(piece.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                stops = start + np.cumsum(sizes)
-                edges = np.concatenate((np.zeros(1, np.int32), (stops - start).astype(np.int32)))
-                lists = pa.ListArray.from_arrays(edges, np.frombuffer(b"".join(ids), "<i4"))
-                columns = [pa.array(np.full(len(ids), part, np.int32)), piece.column(0), pa.array(stops - sizes), pa.array(sizes.astype(np.int32)), lists]
+                ids, sizes = encode(piece.column(1))
+                sizes = sizes + 1
+                stops = np.cumsum(sizes)
+                ended = np.full(stops[-1], end_id, np.int32)
+                ended[np.delete(np.arange(stops[-1]), stops - 1)] = ids
+                lists = pa.ListArray.from_arrays(np.concatenate(([0], stops)).astype(np.int32), ended)
+                columns = [pa.array(np.full(len(sizes), part, np.int32)), piece.column(0), pa.array(start + stops - sizes), pa.array(sizes.astype(np.int32)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "start", "n_tokens", "tokens"])
-                start = int(stops[-1])
+                start += int(stops[-1])
 
     placed = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, schema)
     kind = {"parquet.writer.version": "v2", "parquet.enable.dictionary#tokens.list.element": "false"} if encoding == "delta" else {"parquet.dictionary.page.size": 1 << 20}

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -32,8 +33,27 @@ def odd_texts():
 def test_words_apart_give_the_ids_of_whole_texts(spark, whole):
     encode = T.word_encoder(spark, FILE)()
     texts = odd_texts()
-    for _ in range(2):  # the second time from memory
-        assert [np.frombuffer(x, "<u4").tolist() + [1] for x in encode(texts)] == [whole(t) for t in texts]
+    want = [whole(t)[:-1] for t in texts]
+    for at_once in (1500, 100, 7):  # at last from memory, of which half goes each time
+        encode.MOST = 600_000 if at_once > 100 else 300
+        for k in range(0, len(texts), at_once):
+            ids, sizes = encode(pa.array([None, *texts[k : k + at_once]]))
+            assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [[], *want[k : k + at_once]]
+
+
+def test_words_of_one_hash_are_told_apart(spark, whole, monkeypatch):
+    class Same(T.Words):
+        def __init__(self, texts):
+            super().__init__(texts)
+            self.hashes = self.hashes % np.uint64(3)
+
+    monkeypatch.setattr(T, "Words", Same)
+    encode = T.word_encoder(spark, FILE)()
+    encode.clear()
+    texts = odd_texts()[:50]
+    ids, sizes = encode(pa.array(texts))
+    assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [whole(t)[:-1] for t in texts]
+    encode.clear()
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
