@@ -203,7 +203,8 @@ def top_lists(scored: DataFrame, most: int) -> DataFrame:
 
 
 def jaccard(scored: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50, 100)) -> DataFrame:
-    """(query_idx, K, jaccard) of the K nearest and the K best scored documents."""
+    """(query_idx, K, jaccard, intersection) of the K nearest and the K best scored documents."""
     lists = top_lists(scored, max(ks)).withColumn("K", F.explode(F.array(*map(F.lit, ks))))
     a, b = F.coalesce(F.col("rd") <= F.col("K"), F.lit(False)), F.coalesce(F.col("rs") <= F.col("K"), F.lit(False))
-    return lists.groupBy(QUERY, "K").agg((F.sum((a & b).cast("int")) / F.sum((a | b).cast("int"))).alias("jaccard"))
+    both = F.sum((a & b).cast("long"))
+    return lists.groupBy(QUERY, "K").agg((both / F.sum((a | b).cast("int"))).alias("jaccard"), both.alias("intersection"))

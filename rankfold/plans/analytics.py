@@ -208,9 +208,9 @@ b AS (SELECT r.*, CASE {" ".join(f"WHEN dist_to_gt <= e{k} THEN {k - 1}" for k i
 SELECT dist_bin, round(avg(llm_score), 6) AS mean, round(quantile_cont(llm_score, 0.5), 6) AS median, round(stddev_samp(llm_score), 6) AS std, count(*) AS count FROM b GROUP BY dist_bin""")
 def distance_quantile_analysis(s: DataFrame) -> DataFrame:
     """Scores by distance decile: edges by linear interpolation, bins closed on the right, the first on both sides; equal edges make one bin."""
-    edges = quantiles(s, [], "dist_to_gt", [k / 10 for k in range(11)]).select(F.col("q").alias("e"))
+    edges = quantiles(s, [], "dist_to_gt", [k / 10 for k in range(11)]).select(F.array_distinct("q").alias("e"))
     rows = s.crossJoin(F.broadcast(edges))  # one row
-    which = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(10)), lambda k: F.col("dist_to_gt") <= F.col("e")[k])) - 1
+    which = F.greatest(F.lit(0), F.array_size(F.filter("e", lambda x: x < F.col("dist_to_gt"))) - 1)
     out = R.level_statistics(rows.select("llm_score", "e", which.alias("dist_bin")), "dist_bin", {"median": 0.5})
     return out.select("dist_bin", *(r6(F.col(c)).alias(c) for c in ("mean", "median", "std")), "count")
 

@@ -76,6 +76,12 @@ def put_once(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file, over one that is there."""
+    remove(spark, path)
+    put_once(spark, path, text)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
