@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rankfold.llm.common import carried, stored, words_of
 
-ROW = ["source", "size", "id"]
+#: how documents stand in a source
+ORDER = ["source", "size", "id", "tie"]
 
 
 def n_words(text: Column) -> Column:
@@ -47,7 +48,7 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(F.left(F.md5(name), F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0, parts: int | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0, parts: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """How often the mix takes each document; adds size, source_size, target and copies to the columns.
 
     Size is the number of words, 0 for a null text. A document's expected copies are its source's target over
@@ -55,35 +56,36 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     expected copies are summed up from one random offset, and a document is taken once for each whole number
     that the sum passes at it. Copies are thus the expected number rounded down or up, never above ``most``,
     and the words taken miss the target by less than the largest document's size. A null source is a source,
-    the last by name; null ids are allowed; rows with the same id, source and size stand at one place and
-    share its decision. A source without words has target 0, and its documents are not taken. An empty table
-    gives an empty table.
+    the last by name; null ids are allowed and stand first. Every row is a document of its own with a place of its
+    own, rows that repeat an id or a whole row too; rows of one id and size stand by a hash of their text. A source
+    without words has target 0, and its documents are not taken. An empty table gives an empty table. ``keep``
+    names the columns to go along (all by default); columns of the added ones' names are replaced.
 
     Ranks come from a range partitioning by (source, size, id), which cuts a large source anywhere, and one
-    count for each (part, source); no source is ever in one task. Only ids and sizes are shuffled for it.
+    count for each (part, source); no source is ever in one task. Rows are stored where they stand, so that the
+    counts and the decisions are of the same places, and nothing is joined by a document's key.
     """
     own = carried(docs)
-    rows = own.df.withColumn("size", n_words(F.col(own.at("text"))))
-    rows = rows.withColumn("id", F.col(own.at("doc_id"))).withColumn("source", F.col(own.at("source")).cast("string"))
-    sized = stored(rows.select(*ROW), "mix-sizes")
-    sources = stored(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
+    sized = own.df.select(
+        *(own.at(n) for n in (docs.columns if keep is None else keep)), n_words(F.col(own.at("text"))).alias("size"), F.col(own.at("doc_id")).alias("id"),
+        F.col(own.at("source")).cast("string").alias("source"), F.xxhash64(own.at("text")).alias("tie"),
+    )
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = sized.distinct().repartitionByRange(parts, *ROW).sortWithinPartitions(*ROW)
-    placed = stored(placed.withColumn("place", F.monotonically_increasing_id()), "mix-places")
-    placed = placed.withColumn("part", F.shiftright("place", 33))
+    placed = sized.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("place", F.monotonically_increasing_id())
+    placed = stored(placed, "mix-places").withColumn("part", F.shiftright("place", 33))
+    sources = stored(source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
     runs = placed.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("part", F.col("source").alias("s"), "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    runs = runs.join(sources, F.col("s").eqNullSafe(sources.source)).drop("source")
-    placed = placed.withColumnRenamed("part", "p").join(runs, (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("s")))
+    runs = runs.join(sources, F.col("s").eqNullSafe(sources.source)).drop("source").withColumnRenamed("part", "p")
+    rows = placed.join(runs, (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("s")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     rank = F.col("ahead") + F.col("place") - F.col("first")
     start = offset(F.col("source"), seed)
     passed = F.floor((rank + 1) * each + start) - F.floor(rank * each + start)
-    taken = placed.select(*(F.col(c).alias(f"k_{c}") for c in ROW), "source_size", "target", passed.alias("copies"))
-    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in ROW]
-    joined = rows.join(taken, same[0] & same[1] & same[2])
-    return own.back(joined, **{c: F.col(c) for c in ("size", "source_size", "target", "copies")})
+    ours = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": passed}
+    theirs = [F.col(own.at(n)).alias(n) for n in (docs.columns if keep is None else keep) if n.lower() not in ours]
+    return rows.select(*theirs, *(c.alias(n) for n, c in ours.items()))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -95,7 +97,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix_sources(docs)
+    out = mix_sources(docs, keep=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
@@ -117,7 +119,7 @@ t AS (SELECT f.source, f.source_size, CASE WHEN f.is_full THEN f.room::DOUBLE
       FROM f LEFT JOIN x ON true),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.u,
              CASE WHEN t.source_size > 0 THEN t.target / t.source_size::DOUBLE ELSE 0.0::DOUBLE END AS each,
-             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k
+             row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) AS k
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        ((floor(k::DOUBLE * each + u) - floor((k - 1)::DOUBLE * each + u))::BIGINT * size)::BIGINT AS taken FROM p

@@ -178,7 +178,7 @@ def test_simhash_dedup(spark, docs, empty):
 
 
 def test_mixing(docs, empty):
-    out = mixing.mix_sources(docs.drop("size"), parts=5).collect()
+    out = mixing.mix_sources(docs, parts=5).collect()
     by = {}
     for r in out:
         by.setdefault(r.source, []).append(r)
@@ -187,7 +187,7 @@ def test_mixing(docs, empty):
     for rows in by.values():
         assert sum(r.size for r in rows) == rows[0].source_size and rows[0].target <= 3 * rows[0].source_size
         assert abs(sum(r.copies * r.size for r in rows) - rows[0].target) <= 2 * max(r.size for r in rows) and all(0 <= r.copies <= 3 for r in rows)
-    again = mixing.mix_sources(docs.drop("size").repartition(7), parts=3).collect()
+    again = mixing.mix_sources(docs.repartition(7), parts=3).collect()
     key = lambda r: repr((r.doc_id, r.text, r.source, r.copies))
     assert sorted(map(key, out)) == sorted(map(key, again))
     assert mixing.mix_sources(empty).count() == 0
@@ -195,6 +195,24 @@ def test_mixing(docs, empty):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
 
 
+def test_mixing_takes_every_repeated_row_by_itself(spark, tmp_path):
+    import duckdb
+
+    ten = "one two three four five six seven eight nine ten"
+    rows = [(None, ten, "a")] * 500 + [(7, ten, "b")] * 90 + [(i, "w " * (i % 9), "b") for i in range(40)] + [(None, None, None), (None, "x y", None)] * 20 + [(i, "z " * 3000, "c") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.mix_sources(docs, keep=["doc_id", "source"]).collect()
+    for name in ("a", "b", "c", None):
+        own = [r for r in out if r.source == name]
+        assert len(own) == sum(r[2] == name for r in rows)
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
+    got = mixing.op8_mixing(spark, str(tmp_path)).collect()
+    sql = duckdb.sql(mixing.SQL["op8_mixing"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    plain = lambda rows: sorted((tuple(None if v is None else round(float(v), 6) for v in r) for r in rows), key=repr)
+    assert plain(got) == plain(sql)
+
+
 def test_targets_share_the_excess_again(spark):
     sizes = {"a": 10, "b": 500, "c": 490, "d": 0, None: 100}
     left, total, targets = dict(sizes), sum(sizes.values()), {}
