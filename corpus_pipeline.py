@@ -1,9 +1,8 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again as the next one's input.
 
 All stages take the columns of documents and leave other columns out, whatever their names. An empty table gives an
-empty table. Null texts count as empty ones and null ids and sources are values of their own; toxicity, line_dedup
-and bpe treat repeated rows one by one, simhash leaves one row of equal ones, and mixing decides alike for rows of
-one id, source and size.
+empty table. Null texts count as empty ones and null ids and sources are values of their own; toxicity, line_dedup,
+mixing and bpe treat repeated rows one by one, simhash leaves one row of equal ones.
 """
 
 from __future__ import annotations
