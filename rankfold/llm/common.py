@@ -128,13 +128,13 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
     return c.df.select(*(F.col(c.at(n)).alias(n) for n in ("doc_id", "text", *more)))
 
 
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most 256 rows and, but for a single longer row, 4 MB."""
+def pieces(batch: pa.RecordBatch, most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` rows and, but for a single longer row, 4 MB."""
     start = held = 0
     sizes = [pc.fill_null(pc.binary_length(c), 0).to_pylist() for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
     for i in range(batch.num_rows):
         own = sum(s[i] for s in sizes)
-        if i > start and (i - start >= 256 or held + own > 4_000_000):
+        if i > start and (i - start >= most or held + own > 4_000_000):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += own

@@ -217,7 +217,7 @@ def write_token_table(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, 1024):
                 ids, sizes = encode(piece.column(1))
                 sizes = sizes + 1
                 stops = np.cumsum(sizes)
