@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold.operators.vector import block_cosine, query_matrix
+from rankfold.storing import stored
 
 N_QUERIES = 50
 _kept: dict[tuple[str, str], DataFrame] = {}
@@ -32,7 +33,7 @@ def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """results(query_idx, doc_id, llm_score, dist_to_gt, is_gt, rag_failed), one row for each pair; cached by folder.
+    """results(query_idx, doc_id, llm_score, dist_to_gt, is_gt, rag_failed), one row for each pair; written once a folder and session.
 
     Two passes over the corpus: the best row of each query, then both similarities of a pair from one block.
     Only one row a task and query is shuffled.
@@ -59,7 +60,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("d") == F.col("g")).cast("int").alias("is_gt"),
         (F.col("t") != F.col("g")).cast("int").alias("rag_failed"),
     )
-    _kept[key] = out.cache()
+    _kept[key] = stored(out, "facts")
     return _kept[key]
 
 

@@ -256,7 +256,7 @@ def _verdict_sql(m: str) -> str:
 WHEN b.{m} > a.{m} THEN 'Optimized' ELSE 'Original' END"""
 
 
-@query(SCORED_SQL + f""", m AS (SELECT q, d, list_cosine_similarity(qv.e, dv.e) AS c, list_inner_product(qv.e, dv.e) AS i, 1 / (1 + list_distance(qv.e, dv.e)) AS u FROM qv, dv),
+@query(SCORED_SQL + f""", m AS (SELECT q, d, list_cosine_similarity(qv.e, dv.e) AS c, list_inner_product(qv.e, dv.e) AS i, 1 / (1 + list_distance(qv.e, dv.e)) AS u FROM qv JOIN dv ON dv.d IN (50 + qv.q, 51 + qv.q)),
 v AS (SELECT a.q + 1 AS query_idx, {_verdict_sql("c")} AS cosine, {_verdict_sql("i")} AS dot, {_verdict_sql("u")} AS euclidean FROM m a JOIN m b ON a.q = b.q AND b.d = a.d + 1 WHERE a.d = 50 + a.q),
 n AS (SELECT *, (cosine = 'Original')::INT + (dot = 'Original')::INT + (euclidean = 'Original')::INT AS r, (cosine = 'Optimized')::INT + (dot = 'Optimized')::INT + (euclidean = 'Optimized')::INT AS o,
 (cosine = 'Tie')::INT + (dot = 'Tie')::INT + (euclidean = 'Tie')::INT AS t FROM v)
