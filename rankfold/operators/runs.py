@@ -86,6 +86,35 @@ def pipeline_summary(meta: DataFrame, requests: DataFrame) -> DataFrame:
     return told.crossJoin(requests.agg(F.countDistinct("custom_id").alias("n_requests")))  # two single rows
 
 
+def chunk_states(queries: DataFrame, requests: DataFrame, skipped: DataFrame, meta: DataFrame, size: int = 25) -> DataFrame:
+    """(chunk, n_queries, recorded, has_job, submitted) of queries (query_idx) from 1 on, in chunks of ``size``.
+
+    A chunk is recorded if each of its queries has a request or was skipped, and submitted if it has a job too,
+    under chunk_0001_job_id and so on in ``meta`` (key, value).
+    """
+    number = (F.floor((F.col("query_idx") - 1) / size) + 1).cast("long")
+    known = requests.select("query_idx").unionByName(skipped.select("query_idx")).distinct().withColumn("known", F.lit(True))
+    rows = queries.select("query_idx").distinct().join(known, "query_idx", "left")
+    chunks = rows.groupBy(number.alias("chunk")).agg(F.count("*").alias("n_queries"), (F.count("known") == F.count("*")).alias("recorded"))
+    jobs = meta.select("key").distinct().withColumn("has_job", F.lit(True))
+    out = chunks.withColumn("key", F.format_string("chunk_%04d_job_id", "chunk")).join(jobs, "key", "left")
+    has = F.coalesce("has_job", F.lit(False))
+    return out.select("chunk", "n_queries", "recorded", has.alias("has_job"), (F.col("recorded") & has).alias("submitted"))
+
+
+def staged_progress(results: DataFrame, pool_size: int, n_queries: int, stages: int) -> DataFrame:
+    """One row: stages_done, stages, expected_pairs, stored, scored, blocked, pct_scored of a staged run's (llm_score, stage).
+
+    A run expects every query with the pool and all truths: (pool + queries) * queries pairs at most, fewer if
+    truths stand in the pool.
+    """
+    expected = (pool_size + n_queries) * n_queries
+    s = F.col("llm_score")
+    row = results.agg(F.coalesce(F.max("stage"), F.lit(0)).cast("long").alias("stages_done"), F.count("*").alias("stored"), F.count(s).alias("scored"), F.count_if(s == 0).alias("blocked"))
+    pct = F.round(F.col("scored") * 100.0 / F.lit(expected), 6) if expected else F.lit(0.0)
+    return row.select("stages_done", F.lit(stages).cast("long").alias("stages"), F.lit(expected).cast("long").alias("expected_pairs"), "stored", "scored", "blocked", pct.alias("pct_scored"))
+
+
 def job_states(jobs: DataFrame) -> DataFrame:
     """One row of counts of (state): a state counts where its name stands anywhere in the text."""
     names = ("SUCCEEDED", "RUNNING", "PENDING", "FAILED")

@@ -17,9 +17,9 @@ from rankfold.operators import runs as R
 from rankfold.operators import scoring, sync
 from rankfold.operators import vector as V
 from rankfold.operators.ranking import r6
-from rankfold.operators.scored import N_QUERIES, SCORED_SQL, scored
+from rankfold.operators.scored import N_QUERIES, SCORED_SQL, corpus, query_set, raw, scored
 from rankfold.operators.store import VectorStore
-from rankfold.plans.retrieval import _LISTS, _lists, table
+from rankfold.plans.retrieval import _LISTS, _lists, _requests, table, trilateration
 from rankfold.plans.runs import _SYNC, _replies
 from rankfold.streaming import facts
 
@@ -174,3 +174,31 @@ def streamed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts.lay_out_stages(spark, manifest, f"{folder}/stages")
     facts.stream_stages(spark, manifest, f"{folder}/stages", f"{folder}/scores", score, f"{folder}/checkpoint").awaitTermination()
     return R.scored_stages(spark, f"{folder}/scores").groupBy("stage", "query_idx").agg(F.count("*").alias("n"), r6(F.sum("llm_score")).alias("total"))
+
+
+@query(SCORED_SQL + """, c AS (SELECT (query_idx - 1) // 10 + 1 AS chunk, count(*) AS n_queries, bool_and(query_idx % 7 <> 0 OR query_idx % 21 = 0) AS recorded FROM truth GROUP BY 1)
+SELECT chunk::BIGINT AS chunk, n_queries, recorded, chunk % 2 = 1 AS has_job, recorded AND chunk % 2 = 1 AS submitted FROM c""")
+def chunk_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of ten queries: every seventh query has no request, every 21st was skipped, every other chunk has a job."""
+    q = scored(spark, sf_dir).filter("is_gt = 1").select("query_idx")
+    requests = _requests(spark, sf_dir).filter("query_idx % 7 <> 0")
+    jobs = q.select((F.floor((F.col("query_idx") - 1) / 10) + 1).alias("c")).distinct().filter("c % 2 = 1")
+    meta = jobs.select(F.format_string("chunk_%04d_job_id", "c").alias("key"), F.lit("j").alias("value"))
+    return R.chunk_states(q, requests, q.filter("query_idx % 21 = 0"), meta, 10)
+
+
+@query(SCORED_SQL + """, r AS (SELECT *, doc_id::BIGINT % 3 + 1 AS stage FROM raw), n AS (SELECT count(*) AS q FROM truth), p AS (SELECT count(DISTINCT doc_id) AS docs FROM raw)
+SELECT max(stage)::BIGINT AS stages_done, 3::BIGINT AS stages, any_value((p.docs + n.q) * n.q)::BIGINT AS expected_pairs, count(*) AS stored, count(llm_score) AS scored, count(*) FILTER (llm_score = 0) AS blocked,
+round(count(llm_score) * 100.0::DOUBLE / any_value((p.docs + n.q) * n.q), 6) AS pct_scored FROM r, n, p""")
+def staged_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far a run is whose documents were scored in three stages by their ids."""
+    facts_ = raw(spark, sf_dir)
+    counts = facts_.agg(F.countDistinct("doc_id").alias("docs"), F.countDistinct("query_idx").alias("q")).first()
+    return R.staged_progress(facts_.withColumn("stage", F.col("doc_id").cast("long") % 3 + 1), counts["docs"], counts["q"], 3)
+
+
+@query()
+def retrieval_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often plain search and trilateration find the truth of a query of the stated set first."""
+    truths = scored(spark, sf_dir).filter("is_gt = 1").select((F.col("query_idx") - 1).alias("q"), F.col("doc_id").cast("long").alias("d"))
+    return V.retrieval_accuracy(truths, V.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 1), trilateration(spark, sf_dir))

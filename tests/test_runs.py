@@ -61,3 +61,14 @@ def test_bookkeeping(spark):
     done = {"main_loop_completed": "true"}
     assert [R.phase({}, False, 0, 0, 0), R.phase({}, False, 1, 5, 0, running=1), R.phase({}, False, 1, 5, 0), R.phase(done, False, 1, 5, 4), R.phase(done, False, 1, 5, 5)] == ["retrieval", "active", "waiting", "sync", "complete"]
     assert [R.phase({"fatal_llm_error": "x"}, True, 0, 0, 0), R.phase({}, True, 0, 1, 0), R.phase(done, True, 0, 1, 0), R.phase(done, True, 0, 1, 1)] == ["fatal", "live", "live_sync", "complete"]
+
+
+def test_chunks_and_progress(spark):
+    q = spark.createDataFrame([(i,) for i in range(1, 8)], "query_idx long")
+    requests = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (4, "d"), (7, "e")], "query_idx long, custom_id string")
+    meta = spark.createDataFrame([("chunk_0001_job_id", "j"), ("chunk_0003_job_id", "j"), ("chunk_0003_error", "e")], "key string, value string")
+    got = R.chunk_states(q, requests, spark.createDataFrame([(3,)], "query_idx long"), meta, 3).orderBy("chunk").collect()
+    assert [tuple(r) for r in got] == [(1, 3, True, True, True), (2, 3, False, False, False), (3, 1, True, True, True)]
+    results = spark.createDataFrame([(0.5, 1), (None, 2), (0.0, 2)], "llm_score double, stage int")
+    assert tuple(R.staged_progress(results, 4, 2, 3).first()) == (2, 3, 12, 3, 2, 1, round(2 * 100 / 12, 6))
+    assert tuple(R.staged_progress(results.limit(0), 0, 0, 0).first()) == (0, 0, 0, 0, 0, 0, 0.0)

@@ -35,3 +35,11 @@ def test_the_point_equals_a_plain_loop():
             break
         x = [a - 0.1 * g for a, g in zip(x, slope)]
     assert np.allclose(trilaterate(points, scores), x, rtol=1e-6)
+
+
+def test_accuracy_of_plain_search_and_trilateration(spark):
+    truths = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "q long, d long")
+    naive = spark.createDataFrame([(1, 5, 1), (1, 9, 2), (2, 9, 1), (2, 6, 2)], "q long, d long, rank int")
+    searched = spark.createDataFrame([(1, 0, 9, 0.5), (1, 1, 5, 0.5), (2, 0, 9, 0.1), (2, 1, 6, 0.7), (3, 0, 7, 0.2)], "q long, step int, d long, score double")
+    got = {r.method: tuple(r)[1:] for r in V.retrieval_accuracy(truths, naive, searched).collect()}
+    assert got == {"naive": (3, 1, round(100 / 3, 6)), "trilateration": (3, 2, round(200 / 3, 6))}
