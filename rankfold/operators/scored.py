@@ -23,28 +23,22 @@ def query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("q"), "embedding", "label")
 
 
-def similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, d, s, same): all query-document pairs, in blocks that carry the label; nothing is shuffled."""
-    queries = query_set(spark, sf_dir)
-    keys, m = query_matrix(queries, "q", "embedding")
-    sims = block_cosine(corpus(spark, sf_dir), keys, m, carry="label")
-    labels = F.broadcast(queries.select("q", F.col("label").alias("ql")))  # N_QUERIES rows
-    return sims.join(labels, "q").select("q", "d", F.round("s1", 6).alias("s"), (F.col("label") == F.col("ql")).alias("same"))
-
-
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """results(query_idx, doc_id, llm_score, dist_to_gt, is_gt, rag_failed), one row for each pair; written once a folder and session.
 
-    Two passes over the corpus: the best row of each query, then both similarities of a pair from one block.
-    Only one row a task and query is shuffled.
+    Three passes over the corpus: the best row of each query, the best one of its label, then both similarities of
+    a pair from one block. Two rows a task and query are shuffled, and no pair.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _kept:
         return _kept[key]
     docs, queries = corpus(spark, sf_dir), query_set(spark, sf_dir)
-    first = lambda c: F.max(F.when(c, F.struct("s", (-F.col("d")).alias("d")))).alias
-    found = similarities(spark, sf_dir).groupBy("q").agg(first(F.col("same"))("g"), first(F.lit(True))("t")).filter("g is not null")
-    best = [(r["q"], -r["g"]["d"], -r["t"]["d"]) for r in found.orderBy("q").collect()]  # N_QUERIES rows at most
+    labels = [r["label"] for r in queries.orderBy("q").collect()]  # N_QUERIES rows
+    keys, m = query_matrix(queries, "q", "embedding")
+    first = F.max(F.struct(F.round("s1", 6).alias("s"), (-F.col("d")).alias("d")))
+    found = [block_cosine(docs, keys, m, top=1, alike=a).groupBy("q").agg(first.alias("x")).orderBy("q").collect() for a in (("label", labels), None)]
+    truths, nearest = ({r["q"]: -r["x"]["d"] for r in rows} for rows in found)
+    best = [(q, g, nearest[q]) for q, g in truths.items()]  # N_QUERIES rows at most
     by_query = F.broadcast(spark.createDataFrame(best, "q long, g long, t long").join(queries.select("q", F.col("label").alias("ql")), "q"))
     asked = queries.join(F.broadcast(by_query.select("q")), "q")
     truth = by_query.select("q", F.col("g").alias("d")).join(docs, "d")
