@@ -62,30 +62,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     names the columns to go along (all by default); columns of the added ones' names are replaced.
 
     Ranks come from a range partitioning by (source, size, id), which cuts a large source anywhere, and one
-    count for each (part, source); no source is ever in one task. Rows are stored where they stand, so that the
-    counts and the decisions are of the same places, and nothing is joined by a document's key.
+    count for each (part, source); no source is ever in one task. Rows are stored with a number of their own, so
+    that only numbers and sizes stand in that order (texts would stand by length, the longest together), and
+    decisions come back to the rows by number, which no two rows share.
     """
     own = carried(docs)
-    sized = own.df.select(
-        *(own.at(n) for n in (docs.columns if keep is None else keep)), n_words(F.col(own.at("text"))).alias("size"), F.col(own.at("doc_id")).alias("id"),
+    kept = docs.columns if keep is None else keep
+    rows = own.df.select(
+        *(own.at(n) for n in kept), n_words(F.col(own.at("text"))).alias("size"), F.col(own.at("doc_id")).alias("id"),
         F.col(own.at("source")).cast("string").alias("source"), F.xxhash64(own.at("text")).alias("tie"),
     )
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = sized.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).withColumn("place", F.monotonically_increasing_id())
-    placed = stored(placed, "mix-places").withColumn("part", F.shiftright("place", 33))
-    sources = stored(source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
+    placed = rows.select("row", *ORDER).repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER, "row").withColumn("place", F.monotonically_increasing_id())
+    placed = stored(placed.select("row", "source", "place"), "mix-places").withColumn("part", F.shiftright("place", 33))
+    sources = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
     runs = placed.groupBy("part", "source").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("part", F.col("source").alias("s"), "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     runs = runs.join(sources, F.col("s").eqNullSafe(sources.source)).drop("source").withColumnRenamed("part", "p")
-    rows = placed.join(runs, (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("s")))
+    decided = placed.join(runs, (F.col("p") == F.col("part")) & F.col("source").eqNullSafe(F.col("s")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
     rank = F.col("ahead") + F.col("place") - F.col("first")
-    start = offset(F.col("source"), seed)
+    start = offset(F.col("s"), seed)
     passed = F.floor((rank + 1) * each + start) - F.floor(rank * each + start)
-    ours = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": passed}
-    theirs = [F.col(own.at(n)).alias(n) for n in (docs.columns if keep is None else keep) if n.lower() not in ours]
-    return rows.select(*theirs, *(c.alias(n) for n, c in ours.items()))
+    decided = decided.select("row", "source_size", "target", passed.alias("copies"))
+    ours = ("size", "source_size", "target", "copies")
+    theirs = [F.col(own.at(n)).alias(n) for n in kept if n.lower() not in ours]
+    return rows.join(decided, "row").select(*theirs, *ours)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
