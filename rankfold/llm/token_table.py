@@ -47,7 +47,7 @@ class CachedWords:
     id. Beyond MOST words, those that were met last stay.
     """
 
-    MOST, TOGETHER, STOPS = 600_000, 1000, ".,;:!?"
+    MOST, TOGETHER, STOPS = 500_000, 1000, ".,;:!?"
 
     def __init__(self, make: Callable):
         from tokenizers import pre_tokenizers
@@ -109,7 +109,7 @@ class CachedWords:
         """Adds words of new hashes, which are in order."""
         new = [r.decode() for r in raw]
         cores = self._cores(new)
-        if len(self.cores) > self.MOST:
+        if len(self.cores) > self.MOST // 4:
             self.cores.clear()
         parts = {c for _, c, _ in cores}.union(t for _, _, t in cores if t).difference(self.cores)
         self.cores.update(self._encoded(list(parts)))
@@ -217,7 +217,7 @@ def write_token_table(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, start = encoder(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in pieces(batch, 1024):
+            for piece in pieces(batch, 512):
                 ids, sizes = encode(piece.column(1))
                 sizes = sizes + 1
                 stops = np.cumsum(sizes)
