@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +21,10 @@ BANDS, ROWS, WORDS = 6, 2, 5
 GRAM, SEED = 15, 8
 #: spans fewer words apart are one passage, with what stands between
 APART = 5
+#: edits part a passage: so many words at most may stand between two spans that keep their distance to one first text
+BRIDGE = 2 * GRAM
+#: the least passage of the query that no edit has parted
+QUERY_WORDS = 50
 #: bits of the sketches that say which seeds and paragraphs repeat
 SKETCH = 1 << 26
 #: a band key of at most so many paragraphs is one list
@@ -260,12 +264,14 @@ def _runs_of_grams(rows: DataFrame, kind: str, seeds: Sketch) -> DataFrame:
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, spans, keeps, kept): the words of each text that repeat, word for word, a passage that stands before.
+    """(doc_id, rid, spans, keeps, kept, bridges): the words of each text that repeat, word for word, a passage that stands before.
 
     A passage is GRAM words or more, amid any other words and wherever lines break. Every gram of a text whose
     like has a lesser place (doc_id, rid, start), null ids last, is in the spans to its last word; of grams that
     overlap their own like, only the words behind it. keeps are the ids where the first ones stand; kept are the
-    spans of a text's grams that stand there first and again later, in this text or another.
+    spans of a text's grams that stand there first and again later, in this text or another. bridges are the words
+    between two spans that repeat one other text, if they are BRIDGE or fewer and the distance to that text changes
+    by as many at most: what an edit has left of a copied passage.
 
     The texts are read twice: for the seeds that more than one run has, and for the runs that a sketch of them, of
     a fixed size, lets through. Runs of the same grams are looked up once. Equal grams are told by a 64-bit seed
@@ -299,28 +305,40 @@ def passages(docs: DataFrame) -> DataFrame:
     here = own & (F.col("start") == F.col("fstart"))
     bits = F.filter(F.sequence("low", "high"), lambda k: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
     again = F.transform(bits, lambda k: span(F.greatest(F.col("start"), F.col("fstart") + GRAM) + k, F.col("start") + GRAM + k))
+    line = span(F.xxhash64("fdoc", "frid"), (F.col("fstart") - F.col("start")).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
     met = met.groupBy("doc_id", "rid").agg(
-        F.collect_list(F.when(~own, whole)).alias("gone"), F.flatten(F.collect_list(F.when(own & ~here, again))).alias("again"),
+        F.collect_list(F.when(~own, whole)).alias("gone"), F.collect_list(F.when(~own, line)).alias("lines"), F.flatten(F.collect_list(F.when(own & ~here, again))).alias("again"),
         F.collect_list(F.when(here, whole)).alias("stay"), F.collect_set(F.when(~here, F.col("fdoc"))).alias("keeps"),
     )
-    met = met.select("doc_id", "rid", F.concat("gone", "again").alias("gone"), "keeps", "stay")
+    met = met.select("doc_id", "rid", "gone", "again", "lines", "keeps", "stay")
 
     def make(piece: pa.RecordBatch) -> pa.RecordBatch:
-        columns = [c if k not in (2, 4) else _merged(c) for k, c in enumerate(piece.columns)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept"])
+        doc_id, rid, gone, again, lines, keeps, stay = piece.columns
+        columns = [doc_id, rid, _merged(gone, again), keeps, _merged(stay), _bridges(gone, lines)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept", "bridges"])
 
     spans = "array<struct<start:int,stop:int>>"
-    out = stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}", make), "exact-passages")
+    out = stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}, bridges {spans}", make), "exact-passages")
     dropped(found)
     dropped(known)
     return out
 
 
-def _merged(lists: pa.Array) -> pa.Array:
-    """As ``merged``, for the spans (start, stop), as start * 2 ** 32 + stop, of each list of a column."""
-    sizes = np.diff(np.asarray(lists.offsets))
-    flat = np.asarray(lists.flatten())
-    row = np.repeat(np.arange(len(sizes)), sizes)
+def _flat(*lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of columns of lists, and the row of each."""
+    rows = [np.repeat(np.arange(len(x)), np.diff(np.asarray(x.offsets))) for x in lists]
+    return np.concatenate([np.asarray(x.flatten()) for x in lists]), np.concatenate(rows)
+
+
+def _spans(n: int, row: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """n lists of (start, stop), from the spans of all in order of their rows."""
+    values = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))], names=["start", "stop"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _merged(*lists: pa.Array) -> pa.Array:
+    """As ``merged``, for the spans (start, stop), as start * 2 ** 32 + stop, of each row's lists."""
+    flat, row = _flat(*lists)
     order = np.lexsort((flat, row))
     row, flat = row[order], flat[order]
     a, b = (flat >> 32) + (row << 32), (flat & ((1 << 32) - 1)) + (row << 32)  # rows one behind the other on one line
@@ -328,14 +346,25 @@ def _merged(lists: pa.Array) -> pa.Array:
     new = np.append(True, (a[1:] > reach[:-1]) | (row[1:] != row[:-1])) if len(a) else np.zeros(0, bool)
     at = np.flatnonzero(new)
     starts, stops = a[at] & ((1 << 32) - 1), reach[np.append(at[1:], len(a)) - 1] & ((1 << 32) - 1) if len(at) else at
-    ends = np.searchsorted(row[at], np.arange(len(sizes) + 1))
-    values = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32)), pa.array(stops.astype(np.int32))], names=["start", "stop"])
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
+    return _spans(len(lists[0]), row[at], starts, stops)
+
+
+def _bridges(spans: pa.Array, lines: pa.Array) -> pa.Array:
+    """The words between neighbouring spans of one other text, by ``lines``: 32 bits of its name, 32 of the distance to it."""
+    flat, row = _flat(spans)
+    line, _ = _flat(lines)
+    text, far = line >> 32, line.astype(np.int32).astype(np.int64)
+    order = np.lexsort((flat, text, row))
+    row, text, far, start, stop = row[order], text[order], far[order], flat[order] >> 32, flat[order] & ((1 << 32) - 1)
+    between = start[1:] - stop[:-1]
+    near = (row[1:] == row[:-1]) & (text[1:] == text[:-1]) & (between > 0) & (between <= BRIDGE) & (np.abs(far[1:] - far[:-1]) <= BRIDGE)
+    at = np.flatnonzero(near)
+    return _spans(len(spans), row[at], stop[at], start[at + 1])
 
 
 def exact_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, spans, keeps) of ``passages``, of the texts that have spans."""
-    return passages(docs).filter(F.size("spans") > 0).drop("kept")
+    return passages(docs).filter(F.size("spans") > 0).drop("kept", "bridges")
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8, most: int = 4000) -> DataFrame:
@@ -398,25 +427,29 @@ def removals(docs: DataFrame, min_words: int = 15) -> DataFrame:
 
     A passage is the union of repeated paragraphs and exact passages that touch or stand fewer than APART words
     apart, with what stands between, of ``min_words`` words or more. n counts passages, first ones included; k
-    those that go, of the paragraphs and words that stay elsewhere. Rows with the same id are taken together.
+    those that go, of the paragraphs and words that stay elsewhere. Spans that an edit has parted are one passage
+    with the words of the edit (see ``passages``); of such a passage the pieces need not have ``min_words``, as two
+    runs of GRAM words at one distance to another text tell a copy. Rows with the same id are taken together.
     """
     span = "array<struct<start:int,stop:int>>"
     both = lambda c: F.transform(c, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["words"]).alias("stop")))
     near = repeats(docs).select(
         "doc_id", "rid", both(F.filter("items", lambda x: x["other"])).alias("gone"), both(F.filter("items", lambda x: ~x["other"])).alias("stay"),
-        F.transform(F.filter("items", lambda x: x["other"]), lambda x: F.struct(x["start"].alias("start"), x["keep_doc"].alias("keep"))).alias("keeps"),
+        F.transform(F.filter("items", lambda x: x["other"]), lambda x: F.struct(x["start"].alias("start"), x["keep_doc"].alias("keep"))).alias("keeps"), F.array().cast(span).alias("bridges"),
     )
-    exact = passages(docs).select("doc_id", "rid", F.col("spans").alias("gone"), F.col("kept").alias("stay"), F.transform("keeps", lambda x: F.struct(F.lit(None).cast("int").alias("start"), x.alias("keep"))).alias("keeps"))
+    exact = passages(docs).select("doc_id", "rid", F.col("spans").alias("gone"), F.col("kept").alias("stay"), F.transform("keeps", lambda x: F.struct(F.lit(None).cast("int").alias("start"), x.alias("keep"))).alias("keeps"), "bridges")
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    texts = near.unionByName(exact).groupBy("doc_id", "rid").agg(flat("gone"), flat("stay"), flat("keeps"))
+    texts = near.unionByName(exact).groupBy("doc_id", "rid").agg(flat("gone"), flat("stay"), flat("keeps"), flat("bridges"))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def make() -> Callable[..., Iterator[tuple]]:
-        def run(ids: list, rids: list, gone: list, stay: list, keeps: list) -> Iterator[tuple]:
+        def run(ids: list, rids: list, gone: list, stay: list, keeps: list, bridges: list) -> Iterator[tuple]:
             pairs = lambda xs: [(x["start"], x["stop"]) for x in xs]
-            for doc_id, g, s, ks in zip(ids, gone, stay, keeps):
-                out = [x for x in merged(pairs(g), APART) if x[1] - x[0] >= min_words]
-                every = sum(b - a >= min_words for a, b in merged(pairs([*g, *s]), APART))
+            for doc_id, g, s, ks, over in zip(ids, gone, stay, keeps, bridges):
+                edits = sorted(x["start"] for x in over)
+                whole = lambda x: x[1] - x[0] >= min_words or (k := bisect_left(edits, x[0])) < len(edits) and edits[k] < x[1]
+                out = [x for x in merged(pairs([*g, *over]), APART) if whole(x)]
+                every = sum(map(whole, merged(pairs([*g, *over, *s]), APART)))
                 heads = [a for a, _ in out]
                 within = lambda a: a is None or ((i := bisect_right(heads, a) - 1) >= 0 and a < out[i][1])
                 keep = sorted({k["keep"] for k in ks if k["keep"] is not None and within(k["start"])}) if out else []
@@ -441,11 +474,12 @@ def removals(docs: DataFrame, min_words: int = 15) -> DataFrame:
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_repeated and n_removed passages, removed words (start-stop, comma-joined), keep_ids (where they stay).
 
-    Passages of 50 words or more, as is common practice: shorter ones are found too, at the same cost, but those that
-    don't join to 50 words are stock phrases, and documents with no others are left alone.
+    Passages of 50 words or more, as is common practice, and copies that edits have parted, however short the pieces.
+    Other shorter ones are found too, at the same cost, but they are stock phrases, and documents with no others are
+    left alone.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = removals(docs, min_words=50).withColumnRenamed("doc_id", "id")
+    out = removals(docs, min_words=QUERY_WORDS).withColumnRenamed("doc_id", "id")
     joined = docs.select("doc_id").join(out, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     return joined.select(
         "doc_id", F.coalesce("n", F.lit(0)).alias("n_repeated"), F.coalesce("k", F.lit(0)).alias("n_removed"),
