@@ -100,9 +100,9 @@ def context_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_idx, doc_id, question, text, r): each first turn with its five nearest documents."""
-    docs = with_vectors(_documents(spark, sf_dir), hashed_words())
-    asked = with_vectors(_questions(spark, sf_dir).filter("question is not null"), hashed_words(), text="question")
-    near = V.top_k(docs.select("d", "embedding"), asked.select("q", "embedding"), 5).join(asked.select("q", "question"), "q").join(docs.select("d", "text"), "d")
+    docs, asked = _documents(spark, sf_dir), _questions(spark, sf_dir).filter("question is not null")
+    vectors = storing.stored(with_vectors(asked, hashed_words(), text="question").select("q", "embedding"), "asked")
+    near = storing.stored(V.top_k(with_vectors(docs, hashed_words()).select("d", "embedding"), vectors, 5), "near").join(asked, "q").join(docs, "d")
     return near.select(F.col("q").alias("query_idx"), F.col("d").cast("string").alias("doc_id"), "question", "text", F.col("rank").alias("r"))
 
 
