@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfold import storing
@@ -52,11 +53,12 @@ class VectorStore:
             new = rows.filter("d is not null")
             if self.exists():
                 new = new.join(self.rows().select("d"), "d", "left_anti")
-            first = F.min_by(F.struct(*new.columns), F.xxhash64(*(c for c, t in new.dtypes if not t.startswith("map")))).alias("r")
-            new = new.groupBy("d").agg(first).select("r.*")
-            n = max(1, -(-rows.count() // size))
-            dealt = new.withColumn("batch", F.pmod(F.xxhash64("d"), F.lit(n)).cast("int"))
-            dealt.repartition(n, "batch").write.mode("overwrite").partitionBy("batch").parquet(staged)
+            columns, n, parts = new.columns, max(1, -(-rows.count() // size)), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            first = F.min_by(F.struct(*columns), F.xxhash64(*(c for c, t in new.dtypes if not t.startswith("map")))).alias("r")
+            place = F.pmod(F.xxhash64("d"), F.lit(16 * n * parts))  # a batch has many places, so that all tasks write and read each one
+            dealt = new.withColumn("batch", F.pmod(place, F.lit(n)).cast("int")).withColumn("place", F.floor(place / n))
+            dealt = dealt.repartition(parts, "place").groupBy("place", "batch", "d").agg(first).select("batch", "r.*")
+            dealt.write.mode("overwrite").partitionBy("batch").parquet(staged)
             storing.put_once(self.spark, plan_path, json.dumps({"batches": n, "schema": new.schema.json()}))
             text = storing.read_text(self.spark, plan_path)
         plan, load = json.loads(text), Load([], [], {})
@@ -126,8 +128,12 @@ class VectorStore:
         rows = self.rows(batches).filter("embedding is not null").select("d", V.unit(F.col("embedding")).cast("array<float>").alias("embedding"))
         n = rows.count()
         cells = max(1, min(cells or round(n**0.5), self.MOST_CELLS))
-        taken = rows.orderBy(F.xxhash64(F.lit(seed), "d"), "d").limit(sample).filter(V.norm(F.col("embedding")) > 0)
-        taken = storing.stored(taken.select(array_to_vector("embedding").alias("features")), "index-sample")
+        taken, by = rows, F.xxhash64(F.lit(seed), "d")
+        if n > sample:  # where the hash is cut is found by hashes alone, so vectors stay where they are
+            last = rows.select(by.alias("h")).orderBy("h").limit(sample).agg(F.max("h").alias("h")).first()["h"]
+            taken = rows.filter(by <= last)
+        taken = taken.filter(V.norm(F.col("embedding")) > 0).select(array_to_vector("embedding").alias("features"))
+        taken = storing.stored(taken.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions"))), "index-sample")
         centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(taken).clusterCenters()) if taken.count() else np.zeros((1, 1))
         centres = V.unit_rows(centres)
         version = f"{self.folder}/index/{len(storing.names(self.spark, f'{self.folder}/index')):06d}"
@@ -153,7 +159,7 @@ class VectorStore:
         truth = storing.stored(V.top_k(rows, asked, k).select("q", "d"), "index-truth")
         probes, total = 1, truth.count()
         while 2 * probes <= len(centres):
-            found = self._probe(tell, asked, k, probes).join(truth, ["q", "d"], "left_semi").count()
+            found = self._probe(tell, *V.query_matrix(asked, "q", "embedding"), k, probes).join(truth, ["q", "d"], "left_semi").count()
             if found >= recall * total:
                 tell |= {"probes": probes, "recall": found / max(1, total)}
                 break
@@ -187,8 +193,7 @@ class VectorStore:
         pairs, sizes = self._plan(index, V.query_matrix(queries, "q", "embedding")[1], probes or index["probes"])
         return int(sizes[pairs[:, 0]].sum())
 
-    def _probe(self, index: dict, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        keys, m = V.query_matrix(queries, "q", "embedding")
+    def _probe(self, index: dict, keys: list, m: np.ndarray, k: int, probes: int) -> DataFrame:
         pairs, _ = self._plan(index, m, probes)
         cells, starts = np.unique(pairs[:, 0], return_index=True)
         of_cell = dict(zip(cells.tolist(), np.split(pairs[:, 1], starts[1:])))
@@ -196,16 +201,15 @@ class VectorStore:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ks, queries_, probing = held.value
-            best = V.Nearest(len(ks), k)
+            best, small = V.Nearest(len(ks), k), queries_.astype(np.float32)
             for batch in batches:
                 cell, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else []
                 for a, b in zip(at, [*at[1:], len(cell)]):  # rows of a cell stand together
                     if (of := probing.get(int(cell[a]))) is not None:
-                        e = V.batch_vectors(batch.slice(a, b - a), 2, queries_.shape[1])
-                        for start in range(0, len(of), max(1, V.MOST_PRODUCTS // len(e))):
-                            part = of[start : start + max(1, V.MOST_PRODUCTS // len(e))]
-                            best.add(part, d[a:b], [np.round(np.clip(queries_[part] @ e.T, -1, 1), 12)])
+                        ids, e = V.without_copies(d[a:b], V.batch_vectors(batch.slice(a, b - a), 2, queries_.shape[1]), k)
+                        for start in range(0, len(of), max(1, V.MOST_PRODUCTS // max(1, len(e)))):
+                            best.offer(of[start : start + max(1, V.MOST_PRODUCTS // max(1, len(e)))], [queries_], small, ids, e)
             if len(best.q):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ks[best.q], best.d, *best.s)], names=["q", "d", "s1"])
 
@@ -218,15 +222,15 @@ class VectorStore:
         """(q, d, similarity, rank): the nearest rows of the cells that each query probes, and of batches after the index.
 
         ``probes`` is by default what the index found to give its recall. Without an index, or where it found that
-        no less than all cells will do, the search is exact.
+        no less than all cells will do, the search is exact. Any number of queries, in blocks as in ``top_k``.
         """
         index = self.index()
         if index is None or (probes or index["probes"]) >= index["cells"]:
             return self.search(queries, k)
-        near = self._probe(index, queries, k, probes or index["probes"])
-        if later := [b for b in self.batches() if b not in set(index["batches"])]:
-            keys, m = V.query_matrix(queries, "q", "embedding")
-            near = near.unionByName(V.block_cosine(self.rows(later).select("d", "embedding"), keys, m, top=k))
-        near = near.withColumn("similarity", F.round("s1", 6))
-        w = Window.partitionBy("q").orderBy(F.desc("similarity"), "d")
-        return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "d", "similarity", "rank")
+        later = [b for b in self.batches() if b not in set(index["batches"])]
+        near = []
+        for keys, m in [V.query_matrix(queries, "q", "embedding")] if V.few(queries) else V.query_blocks(queries):
+            near.append(self._probe(index, keys, m, k, probes or index["probes"]))
+            if later:
+                near.append(V.block_cosine(self.rows(later).select("d", "embedding"), keys, m, top=k))
+        return V.first(reduce(DataFrame.unionByName, near), k)

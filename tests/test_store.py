@@ -107,3 +107,25 @@ def test_models(spark):
     assert {r.d: r.embedding is None for r in with_vectors(rows, hashed_words()).collect()} == {1: False, 2: True}
     with pytest.raises(Exception, match="the model gave"):
         with_vectors(rows, lambda: lambda texts: np.zeros((0, 3))).collect()
+
+
+def test_a_batch_is_dealt_to_many_tasks(spark, tmp_path, docs):
+    store, seen = VectorStore(spark, str(tmp_path / "s")), []
+
+    def held(rows):
+        seen.append(len(rows.inputFiles()))
+        return embed(rows)
+
+    store.add(docs, "a", held, size=100)
+    assert len(seen) == 2 and min(seen) > 1 and len({r.d for r in store.rows().collect()}) == store.rows().count() == docs.count()
+
+
+@pytest.mark.parametrize("probes", [3, 30])
+def test_more_queries_than_a_task_holds(spark, tmp_path, monkeypatch, probes):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("d"), F.lit("t").alias("text"), "embedding")
+    store, queries = VectorStore(spark, str(tmp_path / "s")), rows.filter("d % 5 = 0").select(F.col("d").alias("q"), "embedding")
+    store.add(rows, "a")
+    store.build_index(cells=30, sample=100, tries=5)
+    want = sorted(store.search_index(queries, 4, probes).collect())
+    monkeypatch.setattr(V, "MOST_QUERIES", 7)
+    assert queries.count() > 7 and sorted(store.search_index(queries, 4, probes).collect()) == want
