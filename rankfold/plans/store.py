@@ -132,17 +132,19 @@ def relevance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SCORED_SQL + _SYNC + " SELECT query_idx, count(*) AS n, count(llm_score) AS scored, round(sum(llm_score), 6) AS total FROM af GROUP BY 1")
 def streamed_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of nine shapes that arrive in two files, put into versions of the results by a stream."""
+    """Replies of nine shapes that arrive in two parts, put into versions of the results by a stream."""
     open_ = (F.col("query_idx") % 5 != 0) & ((F.col("query_idx") * 31 + F.col("doc_id").cast("long")) % 50 < 25)
     results = scored(spark, sf_dir).withColumn("llm_score", F.when(~open_, F.col("llm_score")))
     rows = O.batches(results, 20).groupBy("query_idx", "batch").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))  # 20 at most
     requests = rows.withColumn("custom_id", F.format_string("q%d_b%08d", "query_idx", "batch")).withColumn("status", F.lit(sync.SUBMITTED))
+    requests = storing.stored(requests, "requests")
     folder = new_folder(spark, "sync")
     versions = facts.fact_versions(spark, f"{folder}/facts", 8)
     versions.create(results=results, requests=requests.drop("batch"))
     lines = storing.stored(_replies(requests), "replies")
-    for k in (0, 1):  # a request's replies arrive together and in order
-        part = lines.filter(F.floor(F.col("seq") / 10) % 2 == k).repartitionByRange(1, "seq").sortWithinPartitions("seq")
+    for k in (0, 1):  # a request's replies arrive together and in order, requests in many files
+        request = F.floor(F.col("seq") / 10)
+        part = lines.filter(request % 2 == k).withColumn("request", request).repartitionByRange("request").sortWithinPartitions("seq")
         part.select("value").write.mode("append").text(f"{folder}/in")
         facts.sync_replies(spark, f"{folder}/in", versions, f"{folder}/checkpoint").awaitTermination()
     return versions.read("results").groupBy("query_idx").agg(F.count("*").alias("n"), F.count("llm_score").alias("scored"), r6(F.sum("llm_score")).alias("total"))

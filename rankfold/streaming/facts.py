@@ -23,6 +23,9 @@ class Versions:
     so a reader has one version whole, a version that was cut short isn't there, and version n is made once.
     """
 
+    #: most files of a part in a write: a few large parts are written by many tasks
+    FILES = 8
+
     def __init__(self, spark: SparkSession, folder: str, keys: dict[str, list[str]], parts: int = 64):
         self.spark, self.folder, self.keys, self.parts = spark, folder.rstrip("/"), keys, parts
 
@@ -45,7 +48,8 @@ class Versions:
         tell = {"schemas": dict(before["schemas"]), "parts": {t: dict(p) for t, p in before["parts"].items()}}
         for name, rows in tables.items():
             out = f"{self.folder}/data/{name}/v{version}"
-            rows.withColumn("part", self._part(name)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(out)
+            dealt = rows.withColumn("part", self._part(name)).repartition("part", F.pmod(F.xxhash64(F.lit(1), *self.keys[name]), F.lit(self.FILES)))
+            dealt.write.mode("overwrite").partitionBy("part").parquet(out)
             there = {int(n[5:]) for n in storing.names(self.spark, out) if n.startswith("part=")}
             tell["schemas"][name] = rows.schema.json()
             of = tell["parts"].setdefault(name, {})

@@ -173,3 +173,15 @@ def test_stages_as_a_stream_go_on_after_a_stop_and_equal_the_loop(spark, tmp_pat
     assert len(calls) == 1 + 1 + 2  # the first stage wasn't done again
     T.stream_stages(spark, *args, dying, str(tmp_path / "cp")).awaitTermination(120)
     assert len(calls) == 4
+
+
+def test_a_part_is_written_by_many_tasks(spark, tmp_path):
+    versions = T.fact_versions(spark, str(tmp_path / "v"), 1)
+    rows = spark.range(300).selectExpr("id % 3 AS query_idx", "CAST(id AS STRING) AS doc_id", "0.1D AS llm_score")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        versions.create(results=rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = versions.read("results")
+    assert len(got.inputFiles()) > 1 and sorted(got.collect()) == sorted(rows.collect())
