@@ -98,11 +98,11 @@ def context_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("q", "n", F.md5("context").alias("context"))
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_idx, doc_id, question, text, r): each first turn with its five nearest documents."""
+def _near(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
+    """(query_idx, doc_id, question, text, r): each first turn with its five nearest documents, of which ``text`` is taken."""
     docs, asked = _documents(spark, sf_dir), _questions(spark, sf_dir).filter("question is not null")
     vectors = storing.stored(with_vectors(asked, hashed_words(), text="question").select("q", "embedding"), "asked")
-    near = storing.stored(V.top_k(with_vectors(docs, hashed_words()).select("d", "embedding"), vectors, 5), "near").join(asked, "q").join(docs, "d")
+    near = storing.stored(V.top_k(with_vectors(docs, hashed_words()).select("d", "embedding"), vectors, 5), "near").join(asked, "q").join(docs.withColumn("text", F.expr(text)), "d")
     return near.select(F.col("q").alias("query_idx"), F.col("d").cast("string").alias("doc_id"), "question", "text", F.col("rank").alias("r"))
 
 
@@ -125,7 +125,8 @@ _PROMPT = """'Say how relevant each item is to the query, from 1 (not at all) ov
 SELECT q AS query_idx, md5({_PROMPT}) AS prompt, length({_PROMPT}) AS n_chars FROM o JOIN conversations c ON c.conv_id = q AND c.turn = 0 JOIN documents ON doc_id = d GROUP BY q""")
 def relevance_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request that asks for the relevance of each first turn's five nearest documents."""
-    rows = _near(spark, sf_dir).groupBy("query_idx", "question").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("t"))  # five at most
+    shown = f"left(text, {A.MOST_IN_PROMPT})"  # no more of a text is shuffled
+    rows = _near(spark, sf_dir, shown).groupBy("query_idx", "question").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("t"))  # five at most
     prompt = A.relevance_prompt(F.col("question"), F.col("t.text"))
     return rows.select("query_idx", F.md5(prompt).alias("prompt"), F.length(prompt).cast("long").alias("n_chars"))
 
