@@ -41,6 +41,20 @@ def test_words_apart_give_the_ids_of_whole_texts(spark, whole):
             assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [[], *want[k : k + at_once]]
 
 
+def test_letters_and_signs_behind_are_parted_as_arrays(spark, whole, monkeypatch):
+    alone, seen = T.CachedWords._encoded, []
+    monkeypatch.setattr(T.CachedWords, "_encoded", lambda self, new: (seen.extend(new), alone(self, new))[1])
+    encode = T.word_encoder(spark, FILE)()
+    encode.clear()
+    plain = [f"wört{a}{b}{c}{s}" for a in "aßÿ" for b in "Zxé" for c in "bàQ" for s in ("", ".", "!!", "$$$", '."-_@~', "%%%%%%%%")]
+    other = ["word'", "don't", "x" + "." * 9, "Éa", "a×", "a÷.", "a\u00b7", "\u00e9\u0301.", "ñ2", "2.", "...", "a.b", "ŧa.", "a.\u0301", "a<", "µ."]
+    texts = [" ".join(plain), " \n".join(other), "", *plain, *other]
+    ids, sizes = encode(pa.array(texts))
+    assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [whole(t)[:-1] for t in texts]
+    assert not {w.lower() for w in plain} & {w.lower() for w in seen} and len(seen) <= len(other) + 10
+    encode.clear()
+
+
 def test_words_of_one_hash_are_told_apart(spark, whole, monkeypatch):
     class Same(T.Words):
         def __init__(self, texts):
