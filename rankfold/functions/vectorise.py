@@ -17,21 +17,34 @@ Vectoriser = Callable[[], Callable[[list[str]], np.ndarray]]
 _words = re.compile(r"[^ \t\n\x0b\f\r]+").findall
 
 
+class Places(dict):
+    """Twice the place of each word that was asked for, and one more if its sign is minus; both as its MD5 says."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def __missing__(self, w: str) -> int:
+        h = hashlib.md5(w.encode()).digest()
+        at = self[w] = 2 * (int.from_bytes(h[:2]) % self.width) + (h[2] & 1)
+        return at
+
+
+#: by width, of this Python worker, which serves many tasks
+_places: dict[int, Places] = {}
+
+
 class HashedWords:
     """Counts of lower-cased words, each at the place and with the sign that its MD5 says; unit length, or zero without words."""
 
     MOST = 500_000
 
     def __init__(self, width: int = 64):
-        self.width, self.at = width, {}
+        self.width, self.at = width, _places.setdefault(width, Places(width))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         split = [_words(t.lower()) for t in texts]
         if len(self.at) > self.MOST:
             self.at.clear()
-        for w in set().union(*split).difference(self.at):
-            h = hashlib.md5(w.encode()).digest()
-            self.at[w] = 2 * (int.from_bytes(h[:2]) % self.width) + (h[2] & 1)
         out = np.zeros((len(texts), self.width))
         for row, ws in zip(out, split):
             if ws:

@@ -1,5 +1,7 @@
 """The vector store: loads that fail and go on, look-ups, and the index's recall over every row of the stated set."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,17 @@ def test_more_queries_than_a_task_holds(spark, tmp_path, monkeypatch, probes):
     want = sorted(store.search_index(queries, 4, probes).collect())
     monkeypatch.setattr(V, "MOST_QUERIES", 7)
     assert queries.count() > 7 and sorted(store.search_index(queries, 4, probes).collect()) == want
+
+
+def test_places_of_words_outlast_a_model():
+    texts = ["A b\x0bc", "", "b b É", " ".join(f"w{i}" for i in range(300))]
+    first, want = HashedWords(16)(texts), np.zeros((4, 16))
+    for row, text in zip(want, texts):
+        for w in text.lower().split():
+            h = hashlib.md5(w.encode()).digest()
+            row[int.from_bytes(h[:2]) % 16] += 1 - 2 * (h[2] & 1)
+    want /= np.maximum(1e-9, np.linalg.norm(want, axis=1, keepdims=True))
+    again = HashedWords(16)
+    assert np.allclose(first, want) and {"a", "b", "c", "é", "w299"} <= set(again.at) and not HashedWords(17).at
+    again.MOST = 10
+    assert np.array_equal(again(texts), first) and np.array_equal(again(texts[:3]), first[:3]) and len(again.at) == 4
