@@ -27,6 +27,10 @@ BRIDGE = 2 * GRAM
 QUERY_WORDS = 50
 #: bits of the sketches that say which seeds and paragraphs repeat
 SKETCH = 1 << 26
+#: in a mask of a run's grams, SEED at most: their first ones stand in the run's own text
+OWN = 1 << SEED
+#: hashes that a task deals out at once
+DEALT = 1 << 20
 #: a band key of at most so many paragraphs is one list
 LISTED = 64
 _rng = np.random.default_rng(11)
@@ -129,6 +133,74 @@ def _found(rows: DataFrame, kind: str) -> DataFrame:
     return _over(rows, f"doc_id {kind}, rid long, at int, start int, words int, p binary, " + ", ".join(f"{b} long" for b in bands), make)
 
 
+def repeated_hashes(rows: DataFrame, make: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """(h): the hashes, of all that ``make`` gives for the pieces of rows, that stand there more than once, as longs.
+
+    They are dealt by buckets of hashes, of which a task holds one at a time. A row of the shuffle has a bucket's
+    share of up to DEALT hashes, so Spark moves and sorts few rows; of a hash that stands there often go two.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * parts
+
+    def dealt(hashes: np.ndarray) -> pa.RecordBatch:
+        h, n = np.unique(hashes, return_counts=True)
+        h = np.concatenate((h, h[n > 1]))
+        bucket = (h % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h = bucket[order], h[order]
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        edges = (8 * np.append(heads, len(h))).astype(np.int32)
+        lists = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(edges), pa.py_buffer(h)])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[heads]), lists], names=["bucket", "hashes"])
+
+    def whole(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate(held)
+        return (dealt(hashes[k : k + 2 * DEALT]) for k in range(0, len(hashes), 2 * DEALT))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for piece in (p for batch in batches for p in pieces(batch)):
+            held += [h] if len(h := make(piece)) else []
+            if sum(map(len, held)) >= DEALT:
+                yield from whole(held)
+                held = []
+        if held:
+            yield from whole(held)
+
+    def several(lists: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.sort(np.concatenate(lists))
+        same = h[1:] == h[:-1]
+        return pa.RecordBatch.from_arrays([pa.array(h[1:][same & ~np.append(False, same[:-1])].view(np.int64))], names=["h"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, hashes in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now and held:
+                    yield several(held)
+                    held = []
+                now = bucket
+                held.append(np.frombuffer(hashes.as_buffer(), np.uint64))
+        if held:
+            yield several(held)
+
+    return rows.mapInArrow(deal, "bucket int, hashes binary").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long")
+
+
+def _shared_keys(names: DataFrame) -> DataFrame:
+    """(key, p): the band keys that names (p and its keys) share, and the few that a sketch of them lets through."""
+    rows = lambda batch: np.array([np.asarray(c) for c in batch.columns[-BANDS:]]).view(np.uint64)
+    sketch = Sketch(repeated_hashes(names, lambda piece: rows(piece).ravel()), SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = rows(batch)
+            band, at = np.nonzero(sketch.may_hold(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[band, at].view(np.int64)), batch.column(0).take(pa.array(at))], names=["key", "p"])
+
+    return names.mapInArrow(run, "key long, p binary")
+
+
 def _shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(s, hashes) for the wanted paragraphs ``p``, and the few that a sketch of them lets through."""
     sketch = Sketch(wanted.select(name_hash(F.col("p")).alias("h")), SKETCH)
@@ -228,39 +300,47 @@ def grams(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     for lag in range(1, min(SEED, len(new)) + 1):
         new[lag - 1 :] |= hashes[lag:] == hashes[:-lag]
     starts = np.concatenate(([0], np.flatnonzero(new) + 1))
-    return at[starts], np.diff(starts, append=len(at)), least[starts], hashes
+    sizes = np.diff(starts, append=len(at))
+    if sizes.max() > SEED:  # where a shingle returns before it ends
+        starts = np.flatnonzero((np.arange(len(at)) - np.repeat(starts, sizes)) % SEED == 0)
+        sizes = np.diff(starts, append=len(at))
+    return at[starts], sizes, least[starts], hashes
 
 
 def _seeds(rows: DataFrame) -> DataFrame:
     """(seed): those that more than one run has."""
-
-    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
-        seeds, n = np.unique(grams(Words(piece.column(0)))[2], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(n)], names=["seed", "n"])
-
-    return _over(rows.select("text"), "seed long, n long", make).groupBy("seed").agg(F.sum("n").alias("n")).filter("n > 1").select("seed")
+    return repeated_hashes(rows.select("text"), lambda piece: grams(Words(piece.column(0)))[2]).withColumnRenamed("h", "seed")
 
 
 def _runs_of_grams(rows: DataFrame, kind: str, seeds: Sketch) -> DataFrame:
-    """(doc_id, rid, start, seed, grams): the runs of grams of each text whose seed may be one of ``seeds``, a gram as 32 bits of its hash."""
+    """(doc_id, rid, start, seed, like, grams): the runs of grams of each text whose seed may be one of ``seeds``.
 
-    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
+    A gram is 32 bits of its hash; ``like`` is a hash of all grams of the run, in order.
+    """
+
+    def make(piece: pa.RecordBatch) -> pa.RecordBatch | None:
         words = Words(piece.column(1))
         first, sizes, own, hashes = grams(words)
         held = seeds.may_hold(own)
-        values = hashes[np.repeat(held, sizes)].astype(np.uint32).view(np.int32)
+        if not held.any():
+            return None
+        hashes = hashes[np.repeat(held, sizes)]
         first, sizes, own = first[held], sizes[held], own[held]
+        heads = np.cumsum(sizes) - sizes
+        like = np.add.reduceat(hashes * MULTIPLIERS[np.arange(len(hashes)) - np.repeat(heads, sizes)], heads)
+        values = hashes.astype(np.uint32).view(np.int32)
         text = np.searchsorted(words.first, first, "right") - 1
         columns = [
             piece.column(0).take(pa.array(text)),
             pa.array(words.rids[text]),
             pa.array((first - words.first[text]).astype(np.int32)),
             pa.array(own.view(np.int64)),
-            pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values)),
+            pa.array(like.view(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)).astype(np.int32)), pa.array(values)),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "seed", "grams"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "start", "seed", "like", "grams"])
 
-    return _over(rows, f"doc_id {kind}, rid long, start int, seed long, grams array<int>", make)
+    return _over(rows, f"doc_id {kind}, rid long, start int, seed long, like long, grams array<int>", make)
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -284,46 +364,85 @@ def passages(docs: DataFrame) -> DataFrame:
     found = found.join(twice.withColumnRenamed("seed", "twice"), F.col("seed") == F.col("twice"), "left_semi")
     found = stored(found, "repeated-runs")
     dropped(twice)
-    runs_ = found.withColumn("like", F.xxhash64("grams"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "start")
-    kinds = stored(runs_.groupBy("seed", "like").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.first("grams").alias("grams")), "kinds-of-runs")
-    each = kinds.select("seed", "like", "p", "n", F.posexplode("grams").alias("at", "gram"))
+    kinds = stored(found.groupBy("seed", "like").agg(F.min(place).alias("p"), F.count("*").alias("n"), F.first("grams").alias("grams")), "kinds-of-runs")
+    # most seeds have one kind of run, whose grams have their first ones in its first run; grams that kinds may share are looked up one by one
+    mixed_ = kinds.groupBy(F.col("seed").alias("s")).agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    kinds_ = stored(kinds.join(mixed_, F.col("seed") == F.col("s"), "left").filter("kinds > 1 or n > 1").drop("s"), "kinds-of-repeated-runs")
+    dropped(kinds)
+    size = F.size("grams")
+    alone = kinds_.filter("kinds is null").select(
+        F.col("seed").alias("ks"), F.col("like").alias("kl"), F.col("p.doc_id").alias("fdoc"), F.col("p.rid").alias("frid"), F.col("p.start").alias("fstart"),
+        (F.call_function("shiftleft", F.lit(1), size) - 1).alias("mask"),
+    )
+    each = kinds_.filter("kinds > 1").select("seed", "like", "p", "n", F.posexplode("grams").alias("at", "gram"))
     first = F.struct("p.last", "p.doc_id", "p.rid", (F.col("p.start") + F.col("at")).alias("start"))
     firsts = each.groupBy(F.col("seed").alias("s"), F.col("gram").alias("g")).agg(F.min(first).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
     firsts = stored(firsts.select("s", "g", F.col("first.doc_id").alias("fdoc"), F.col("first.rid").alias("frid"), F.col("first.start").alias("fstart")), "gram-firsts")
     # the grams of a kind of run whose first ones stand in one text, one behind the other: their numbers are bits of a mask
     known = each.select("seed", "like", "at", "gram").join(firsts, (F.col("seed") == F.col("s")) & (F.col("gram") == F.col("g")))
     known = known.groupBy(F.col("seed").alias("ks"), F.col("like").alias("kl"), "fdoc", "frid", (F.col("fstart") - F.col("at")).alias("fstart"))
-    known = stored(known.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.bit_or(F.expr("shiftleft(1, at)")).alias("mask")), "known-runs")
-    dropped(kinds)
+    known = stored(known.agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("mask")).unionByName(alone), "known-runs")
+    dropped(kinds_)
     dropped(firsts)
-    met = runs_.select("doc_id", "rid", "start", "seed", "like").join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
-    # a run is shorter than a gram, so such grams cover one span, unless they overlap their own like
-    span = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
+    met = found.select("doc_id", "rid", "start", "seed", "like").join(known, (F.col("seed") == F.col("ks")) & (F.col("like") == F.col("kl")))
     own = F.col("doc_id").eqNullSafe(F.col("fdoc")) & (F.col("rid") == F.col("frid"))
-    whole = span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + GRAM)
-    here = own & (F.col("start") == F.col("fstart"))
-    bits = F.filter(F.sequence("low", "high"), lambda k: F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) != 0)
-    again = F.transform(bits, lambda k: span(F.greatest(F.col("start"), F.col("fstart") + GRAM) + k, F.col("start") + GRAM + k))
-    line = span(F.xxhash64("fdoc", "frid"), (F.col("fstart") - F.col("start")).cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
-    met = met.groupBy("doc_id", "rid").agg(
-        F.collect_list(F.when(~own, whole)).alias("gone"), F.collect_list(F.when(~own, line)).alias("lines"), F.flatten(F.collect_list(F.when(own & ~here, again))).alias("again"),
-        F.collect_list(F.when(here, whole)).alias("stay"), F.collect_set(F.when(~here, F.col("fdoc"))).alias("keeps"),
-    )
-    met = met.select("doc_id", "rid", "gone", "again", "lines", "keeps", "stay")
-
-    def make(piece: pa.RecordBatch) -> pa.RecordBatch:
-        doc_id, rid, gone, again, lines, keeps, stay = piece.columns
-        columns = [doc_id, rid, _merged(gone, again), keeps, _merged(stay), _bridges(gone, lines)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept", "bridges"])
-
+    mask = F.when(own, F.col("mask") + OWN).otherwise(F.col("mask")).alias("mask")
+    met = met.select("doc_id", "rid", F.xxhash64("doc_id", "rid").alias("name"), "start", mask, "fdoc", F.xxhash64("fdoc").alias("fid"), F.xxhash64("fdoc", "frid").alias("fname"), "fstart")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "rid", "name").sortWithinPartitions("rid", "name")
     spans = "array<struct<start:int,stop:int>>"
-    out = stored(_over(met, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}, bridges {spans}", make), "exact-passages")
+    out = stored(met.mapInArrow(_of_texts, f"doc_id {kind}, rid long, spans {spans}, keeps array<{kind}>, kept {spans}, bridges {spans}"), "exact-passages")
     dropped(found)
     dropped(known)
     return out
 
 
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text that met first ones, which stand together, as one row of ``passages``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rid, name = (np.asarray(batch.column(k)) for k in (1, 2))
+        ends = np.flatnonzero((rid[1:] != rid[:-1]) | (name[1:] != name[:-1])) + 1
+        if held and batch.num_rows and (held[-1].column(1)[-1], held[-1].column(2)[-1]) != (batch.column(1)[0], batch.column(2)[0]):
+            ends = np.append(0, ends)
+        if len(ends):  # the last text may go on
+            yield _passages_of([*held, batch.slice(0, int(ends[-1]))])
+            batch, held = batch.slice(int(ends[-1])), []
+        held += [batch] if batch.num_rows else []
+    if held:
+        yield _passages_of(held)
+
+
+def _passages_of(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A row for each text of these runs."""
+    table = pa.Table.from_batches(batches).combine_chunks()
+    doc_id, fdoc = (table[k].combine_chunks() for k in ("doc_id", "fdoc"))
+    rid, name, start, mask, fid, fname, fstart = (table[k].to_numpy().astype(np.int64) for k in ("rid", "name", "start", "mask", "fid", "fname", "fstart"))
+    bits = mask[:, None] >> np.arange(SEED) & 1 > 0
+    low, high, own = bits.argmax(1), SEED - 1 - bits[:, ::-1].argmax(1), mask >= OWN
+    here = own & (start == fstart)
+    heads = np.flatnonzero(np.append(True, (rid[1:] != rid[:-1]) | (name[1:] != name[:-1])))
+    n, row = len(heads), np.repeat(np.arange(len(heads)), np.diff(heads, append=len(rid)))
+    span = lambda a, b: (a << 32) + b
+    # a run is shorter than a gram, so such grams cover one span, unless they overlap their own like
+    whole = span(start + low, start + high + GRAM)
+    at, k = np.nonzero(bits & (own & ~here)[:, None])
+    again = span(np.maximum(start[at], fstart[at] + GRAM) + k, start[at] + GRAM + k)
+    line = (fname & ~((1 << 32) - 1)) + ((fstart - start) & ((1 << 32) - 1))
+    told = np.flatnonzero(~here & np.asarray(fdoc.is_valid()))
+    told = told[np.lexsort((fid[told], row[told]))]
+    told = told[np.append(True, (fid[told][1:] != fid[told][:-1]) | (row[told][1:] != row[told][:-1]))] if len(told) else told
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], np.arange(n + 1)).astype(np.int32)), values)
+    others, stay = np.flatnonzero(~own), np.flatnonzero(here)
+    gone = lists(others, pa.array(whole[others]))
+    columns = [
+        doc_id.take(pa.array(heads)), pa.array(rid[heads]), _merged(gone, lists(at, pa.array(again))), lists(told, fdoc.take(pa.array(told))),
+        _merged(lists(stay, pa.array(whole[stay]))), _bridges(gone, lists(others, pa.array(line[others]))),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "spans", "keeps", "kept", "bridges"])
+
+
 def _flat(*lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The values of columns of lists, and the row of each."""
     rows = [np.repeat(np.arange(len(x)), np.diff(np.asarray(x.offsets))) for x in lists]
@@ -381,14 +500,14 @@ def repeats(docs: DataFrame, similarity: float = 0.8, most: int = 4000) -> DataF
     found = stored(_found(rows, kind), "paragraphs")
     bands = [f"b{k}" for k in range(BANDS)]
     names = stored(found.groupBy("p").agg(F.count("*").alias("n"), *(F.min(b).alias(b) for b in bands)), "names")
-    keys = names.select(F.explode(F.array(*bands)).alias("key"), "p")
-    shared = stored(keys.groupBy("key").agg(F.count("*").alias("g")).filter("g > 1").select(F.col("key").alias("k"), "g"), "shared-bands")
+    keys = stored(_shared_keys(names.select("p", *bands)), "shared-bands")
+    shared = keys.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("g")).filter("g > 1")
     members = stored(keys.join(shared, F.col("key") == F.col("k")).select("key", "p", "g"), "candidates")
     sets = _shingle_sets(rows, members.select("p").distinct())
     classes = components(_links(members, sets, similarity, most)).withColumnRenamed("node", "m")
     marks = names.select("p", "n").join(classes, F.col("p") == F.col("m"), "left").filter("n > 1 or m is not null")
     marks = stored(marks.select(F.col("p").alias("kp"), F.coalesce("root", "p").alias("class")), "repeated-names")
-    for t in (shared, members, sets, names):
+    for t in (keys, members, sets, names):
         dropped(t)
     hits = stored(found.drop(*bands).join(marks, F.col("p") == F.col("kp")).drop("p", "kp"), "repeats")
     dropped(found)

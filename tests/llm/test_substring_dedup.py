@@ -207,3 +207,52 @@ def test_short_lines_and_edited_lines_are_removed_whole(spark):
     for i in (21, 22):  # a near paragraph may reach a word beyond the line
         a, b = map(int, got[i].split("-"))
         assert a <= 40 and 100 <= b <= 105
+
+
+def test_repeated_hashes_equal_a_count(spark, monkeypatch):
+    """Hashes in many rows and buckets, one of them in every row, dealt out a few at a time."""
+    rng = random.Random(3)
+    values = [[7, *(rng.randrange(-(1 << 63), 1 << 63) >> rng.choice((0, 54)) for _ in range(rng.randrange(20)))] for _ in range(200)]
+    monkeypatch.setattr(S, "DEALT", 16)
+    rows = spark.createDataFrame([(v,) for v in values], "v array<long>").repartition(5)
+    got = [r.h for r in S.repeated_hashes(rows, lambda piece: np.asarray(piece.column(0).flatten()).view(np.uint64)).collect()]
+    flat = [v for vs in values for v in vs]
+    assert sorted(got) == sorted(v for v in set(flat) if flat.count(v) > 1) and len(got) > 50
+    assert S.repeated_hashes(rows.limit(0), lambda piece: np.zeros(0, np.uint64)).count() == 0
+
+
+def test_copies_are_not_looked_up_gram_by_gram(spark, monkeypatch):
+    """What only whole copies share has one kind of run for each seed: no gram of it is dealt out."""
+    made, real = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: made.setdefault(name, []).append(out := real(df, name)) or out)
+    monkeypatch.setattr(S, "dropped", lambda df: None)
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(300))
+    docs = spark.createDataFrame([row(i, text) for i in range(6)], SCHEMA)
+    assert {(r.doc_id, tuple(map(tuple, r.spans)), tuple(r.keeps)) for r in S.exact_passages(docs).collect()} == {(i, ((0, 300),), (0,)) for i in range(1, 6)}
+    assert made["gram-firsts"][0].count() == 0 and made["known-runs"][0].count() > 20
+
+
+def test_runs_are_short_where_shingles_overlap_their_like():
+    text = " ".join(["a"] * 14 + ["b"] + list("cdefghi") * 2 + ["j"])
+    first, sizes, seeds, hashes = S.grams(words.Words(pa.array([text, " ".join(f"w{k % 23}" for k in range(90)), "x " * 14 + "y"])))
+    assert len(first) == len(sizes) == len(seeds) and sizes.sum() == len(hashes) == 16 + 76 + 1 and sizes.max() <= S.SEED
+
+
+def test_texts_go_on_from_batch_to_batch():
+    """Runs of a few texts in batches of any size give the rows that one batch gives."""
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(4), rng.randrange(3), *(rng.randrange(n) for n in (60, 255, 3, 60))) for _ in range(150))
+    rows = [(*r[:5], max(0, r[2] - r[5] % 4) if r[4] == r[1] else r[5]) for r in rows]  # first ones of a text's own stand before
+    columns = {
+        "doc_id": pa.array([n for _, n, *_ in rows]), "rid": pa.array([r for r, *_ in rows], pa.int64()), "name": pa.array([n for _, n, *_ in rows]),
+        "start": pa.array([r[2] for r in rows], pa.int32()), "mask": pa.array([r[3] + 1 + (S.OWN if r[4] == r[1] else 0) for r in rows], pa.int32()),
+        "fdoc": pa.array([r[4] or None for r in rows], pa.int64()), "fid": pa.array([r[4] for r in rows]), "fname": pa.array([r[4] for r in rows]), "fstart": pa.array([r[5] for r in rows], pa.int32()),
+    }
+    whole = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    told = lambda batches: [r for b in S._of_texts(iter(batches)) for r in b.to_pylist()]
+    want = told([whole])
+    assert len(want) == 12 and any(r["spans"] for r in want) and any(r["keeps"] for r in want) and any(r["kept"] for r in want)
+    for size in (1, 2, 5, 13, 60):
+        assert told([whole.slice(k, size) for k in range(0, 150, size)] + [whole.slice(0, 0)]) == want
+    assert told([]) == [] == told([whole.slice(0, 0)])
