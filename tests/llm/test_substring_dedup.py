@@ -234,9 +234,11 @@ def test_copies_are_not_looked_up_gram_by_gram(spark, monkeypatch):
 
 
 def test_runs_are_short_where_shingles_overlap_their_like():
-    text = " ".join(["a"] * 14 + ["b"] + list("cdefghi") * 2 + ["j"])
-    first, sizes, seeds, hashes = S.grams(words.Words(pa.array([text, " ".join(f"w{k % 23}" for k in range(90)), "x " * 14 + "y"])))
-    assert len(first) == len(sizes) == len(seeds) and sizes.sum() == len(hashes) == 16 + 76 + 1 and sizes.max() <= S.SEED
+    rng = random.Random(1)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [" ".join([*some(20), *(some(d) * 14)[: 8 + d], *some(20)]) for d in (1, 3, 5, 7, 8) for _ in range(40)]
+    first, sizes, seeds, hashes = S.grams(words.Words(pa.array(texts)))
+    assert len(first) == len(sizes) == len(seeds) and sizes.sum() == len(hashes) and sizes.max() == S.SEED
 
 
 def test_texts_go_on_from_batch_to_batch():
